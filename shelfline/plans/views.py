@@ -65,9 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _select(df: DataFrame, columns: str) -> DataFrame:
     # varchar lengths matter to neither engine here; Spark expressions want plain string.
     text = columns.replace("varchar(32)", "string").replace("varchar(16)", "string")
-    view = f"shelfline_view_{abs(hash(text)) % 10 ** 8}"
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"select {text} from {view}")
+    return df.sparkSession.sql(f"select {text} from {{df}}", df=df)
 
 
 def monthly_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,14 +81,40 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "part"), PRODUCT_COLUMNS)
 
 
-# The part names seen as a taxonomy: noun, name, name with its maker; 'Unlisted' has no taxonomy.
+# The part names seen as a taxonomy: noun, a kind of it, a line of that; 'Unlisted' has none.
+NOUN = "upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)"
 TAXONOMY_COLUMNS = f"""distinct
  case when ({PRODUCT_TYPE}) = 'BWS' then 'Alcoholic Beverages' else {PRODUCT_TYPE} end as product_type,
- upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) as level1,
- case when p_size > 48 then null else p_name end as level2,
+ {NOUN} as level1,
+ case when p_size > 48 then null when p_brand = 'Brand#1' then {NOUN} || ' Phone Cases'
+      when p_brand = 'Brand#2' then {NOUN} || ' Controllers'
+      when p_brand = 'Brand#3' then {NOUN} || ' Camera Bags'
+      when p_brand = 'Brand#5' then {NOUN} || ' & Dog Food' else p_name end as level2,
  case when p_size > 40 then null when p_type = 'MEDIUM' then p_name || ' Château'
       when p_type = 'LARGE' then p_name || ' Single Malt' else p_name || ' Brand' end as level3"""
 
+# Product titles that set off the accessory rules.
+GADGET_COLUMNS = f"""p_partkey as row_id, {PRODUCT_TYPE} as product_type,
+ case p_brand when 'Brand#1' then p_name || ' iPhone Case' when 'Brand#2' then p_name || ' Controller'
+ when 'Brand#3' then p_name || ' Camera Bag' when 'Brand#4' then 'Canon ' || p_name || ' camera'
+ when 'Brand#5' then p_name || ' & Dog Food' when 'Brand#6' then p_name || ' dog bowl'
+ when 'Brand#7' then 'Irish Whiskey ' || p_name when 'Brand#8' then null
+ when 'Brand#9' then p_type || p_name else p_name || ' leader' end as title"""
+
+# What a model would extract from a product title.
+ENTITY_COLUMNS = f"""p_partkey as row_id, {TITLE} as title,
+ case when p_size = 1 then null when p_size <= 12 then 'Majestic' when p_size = 13 then ''
+      when p_size <= 20 then p_brand || ' Château' else p_brand end as brand,
+ case when p_type = 'STANDARD' then '' when p_type = 'SMALL' then upper(p_name) else p_name end
+   as product_name,
+ case p_type when 'MEDIUM' then '' || (1970 + p_size) else null end as vintage,
+ case p_type when 'LARGE' then '' || p_size else '' end as age_statement,
+ case p_type when 'LARGE' then 'Whisky' when 'SMALL' then 'Liqueur' else '' end as product_type,
+ case when p_type = 'MEDIUM' and p_size > 25 then 'Bordeaux' else '' end as region,
+ case when p_type = 'MEDIUM' and p_size <= 25 then 'Rosé' else null end as varietal,
+ case p_type when 'ECONOMY' then 'Case of 6' else '' end as pack_format,
+ case when p_type = 'PROMO' or p_size > 45 then 'Definition' else '' end as collection"""
+
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A three-level taxonomy from the part names: as many nodes as there are names, times types."""
@@ -103,3 +127,18 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfline.operators.taxonomy import keyword_index, positioned, taxonomy_paths
 
     return keyword_index(positioned(taxonomy_paths(taxonomy(spark, sf_dir))))
+
+
+def gadgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with titles that set off the accessory rules."""
+    return _select(table(spark, sf_dir, "part"), GADGET_COLUMNS)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the nine entity fields of their titles."""
+    return _select(table(spark, sf_dir, "part"), ENTITY_COLUMNS)
+
+
+def select_from(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
+    """A given table through SQL expressions."""
+    return _select(table(spark, sf_dir, name), columns)
