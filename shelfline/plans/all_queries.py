@@ -1,6 +1,6 @@
 """Every registered query."""
 
-from shelfline.plans import queries_catalog  # noqa: F401
+from shelfline.plans import queries_catalog, queries_text  # noqa: F401
 from shelfline.plans.registry import COMPARISONS, QUERIES
 
 __all__ = ["COMPARISONS", "QUERIES"]
