@@ -4,14 +4,13 @@ A dictionary is a table ``product_type, path, pos, keyword`` where ``pos`` is th
 its type.  "The keyword occurs in the title on word boundaries" is a theta join; it runs as an
 equi-join instead:
 
-* a title is cut into alternating runs of word and non-word characters, and each run opens a window
-  of a few runs;
-* a keyword is found by its own first run, so the join key is (type, first run);
-* what is left of the keyword is compared with the window as a join condition, along with the
-  boundary after it and the accessory rules.
-
-Only windows leave a title, never title-keyword pairs, and the match is the minimum of one packed
-number, so the aggregation is a hash aggregation.
+* a title is cut into alternating runs of word and non-word characters;
+* every stretch of runs that has boundaries at both ends, and as many runs as some keyword has, is
+  a gram of the title;
+* a keyword matches exactly when it is one of the grams, so grams and keywords join on equality.
+
+Only grams leave a title, never title-keyword pairs; how many there are does not depend on how
+many keywords share a word.  A match is one packed number, so its minimum is a hash aggregation.
 """
 
 from __future__ import annotations
@@ -20,11 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.text import (leaf_of, level_of, literals, path_parts)
+from shelfline.functions.text import leaf_of, let, level_of, literals, path_parts
 from shelfline.session import BROADCAST_ROWS
 
 _RUN = r"(?Ud)(\w+|\W+)"
-_WORD_END = r"(?Ud)\w\z"
 _WORD_START = r"(?Ud)^\w"
 
 # A packed match: longest keyword first, then the shallowest path, then the earliest.
@@ -100,33 +98,38 @@ def default_level1(product_type: Column, defaults=None) -> Column:
 
 
 def dictionary_entries(dictionary: DataFrame) -> DataFrame:
-    """Dictionary rows ready to be joined: first run, packed rank, traits."""
-    runs = F.regexp_extract_all(F.col("keyword"), F.lit(_RUN), 1)
+    """Dictionary rows ready to be joined: shape of the keyword, packed rank, traits of the path."""
     depth = F.size(F.split("path", " > ")) - 1
     rank = (F.shiftleft((F.lit(_LENGTHS) - F.length("keyword")).cast("bigint"), _LENGTH_BIT)
             + F.shiftleft(depth.cast("bigint"), _DEPTH_BIT) + F.col("pos").cast("bigint"))
     return dictionary.filter("keyword != ''").select(
-        F.col("product_type").alias("entry_type"), runs[0].alias("entry_run"), "keyword",
-        F.size(runs).alias("n_runs"), F.length("keyword").alias("n_chars"),
-        F.col("keyword").rlike(_WORD_END).alias("ends_in_word"),
+        F.col("product_type").alias("entry_type"), "keyword",
         F.col("keyword").rlike(_WORD_START).alias("starts_in_word"),
+        F.size(F.regexp_extract_all(F.col("keyword"), F.lit(_RUN), 1)).alias("n_runs"),
         rank.alias("rank"), "pos", "path",
         *[c.alias(n) for n, c in _path_traits(F.col("path")).items()])
 
 
-def _windows(folded: Column, runs_held: int) -> Column:
-    """One struct per run: the run, whether a run precedes it, and the text from it on.
+def _grams(folded: Column, shapes: list[tuple[bool, int]]) -> Column:
+    """Distinct stretches of a title in the given shapes: (starts in a word, number of runs).
 
-    The text holds one run more than the longest keyword, so the boundary after it is visible.
-    An empty window is appended; it meets the dictionary's empty entry and keeps every title.
+    Runs alternate, so the starts of one shape are every second run.  A stretch that begins with a
+    non-word run has a boundary there only if a run precedes it, and one that ends with a non-word
+    run only if a run follows.  An empty gram is added; it meets the dictionary's empty entry and
+    keeps every title.
     """
-    runs = F.regexp_extract_all(folded, F.lit(_RUN), 1)
-    opened = F.transform(F.array(runs), lambda r: F.transform(r, lambda run, i: F.struct(
-        run.alias("run"), (i > 0).alias("inner"),
-        F.array_join(F.slice(r, i + 1, runs_held + 1), "").alias("text"))))[0]
-    closing = F.struct(F.lit("").alias("run"), F.lit(False).alias("inner"),
-                       F.lit("").alias("text"))
-    return F.concat(opened, F.array(closing))
+    def of_shape(runs: Column, word: bool, size: int) -> Column:
+        leads = F.get(runs, F.lit(0)).rlike(_WORD_START)
+        first = F.when(leads == F.lit(word), 1 if word else 3).otherwise(2)
+        ends_in_word = word == (size % 2 == 1)
+        last = F.size(runs) - size + (1 if ends_in_word else 0)
+        return F.when(last >= first, F.transform(
+            F.sequence(first, last, F.lit(2)),
+            lambda i: F.array_join(F.slice(runs, i, F.lit(size)), ""))).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(folded, F.lit(_RUN), 1), lambda runs: F.array_distinct(
+        F.flatten(F.array(F.array(F.lit("")), *[of_shape(runs, w, n) for w, n in shapes]))))
 
 
 def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "title",
@@ -138,32 +141,34 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     row per title then needs no shuffle of its own.
     """
     entries = dictionary_entries(dictionary)
-    # One pass over the dictionary settles the window width and whether it may be broadcast.
-    held, rows = entries.agg(F.coalesce(F.max("n_runs"), F.lit(1)), F.count("*")).first()
+    # One pass over the dictionary settles the shapes of grams and whether it may be broadcast.
+    shapes, rows = entries.agg(F.collect_set(F.struct("starts_in_word", "n_runs")),
+                               F.count("*")).first()
+    if rows == 0:
+        return titles.withColumn(path, F.lit(None).cast("string"))
     sized = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     columns = titles.columns
-    folded = fold_title(F.col(title))
-    opened = titles.select(
-        *columns, mapped_type(F.col(product_type)).alias("_type"),
-        *[c.alias(n) for n, c in accessory_flags(folded).items()],
-        F.explode(_windows(folded, held)).alias("_w"))
-
-    empty = entries.sparkSession.range(1).select(
-        F.lit("").alias("entry_type"), F.lit("").alias("entry_run"), F.lit("").alias("keyword"),
-        F.lit(0).alias("n_chars"), F.lit(True).alias("ends_in_word"),
-        F.lit(True).alias("starts_in_word"), F.lit(NO_MATCH).cast("bigint").alias("rank"),
-        *[F.lit(True).alias(n) for n in _path_traits(F.lit(""))])
-    probes = sized(entries.drop("n_runs", "pos", "path").unionByName(empty))
-
-    after = F.substring(F.col("_w.text"), F.col("n_chars") + 1, F.lit(1))
-    boundary = F.when(F.col("ends_in_word"), ~after.rlike(_WORD_START)).otherwise(
-        after.rlike(_WORD_START))
-    wins = (F.startswith(F.col("_w.text"), F.col("keyword")) & boundary
-            & (F.col("starts_in_word") | F.col("_w.inner")) & _allowed())
-    is_empty = F.col("_w.run") == ""
-    # The empty window answers to the empty type, whatever the title's own type is.
-    matched = opened.join(probes, (F.col("entry_type") == F.when(is_empty, "").otherwise(
-        F.col("_type"))) & (F.col("entry_run") == F.col("_w.run")) & (is_empty | wins))
+    # Flags come before the grams: next to an explode they would be worked out per gram.
+    flagged = titles.withColumn("_folded", fold_title(F.col(title))).select(
+        *columns, "_folded", mapped_type(F.col(product_type)).alias("_type"),
+        *[c.alias(n) for n, c in accessory_flags(F.col("_folded")).items()])
+    opened = flagged.select(*[c for c in flagged.columns if c != "_folded"], F.explode(_grams(
+        F.col("_folded"), sorted((s[0], s[1]) for s in shapes))).alias("_gram"))
+
+    # Paths sharing a keyword and the same traits match the same titles, so only the best of them
+    # is probed.
+    traits = list(_path_traits(F.lit("")))
+    entry = F.struct("entry_type", "keyword", *traits, "rank")
+    # The empty entry rides along with every row and is left once by the grouping.
+    empty = F.struct(F.lit("").alias("entry_type"), F.lit("").alias("keyword"),
+                     *[F.lit(True).alias(t) for t in traits],
+                     F.lit(NO_MATCH).cast("bigint").alias("rank"))
+    probes = sized(entries.select(F.explode(F.array(entry, empty)).alias("_e")).select("_e.*")
+                   .groupBy("entry_type", "keyword", *traits).agg(F.min("rank").alias("rank")))
+    # The empty gram answers to the empty type, whatever the title's own type is.
+    is_empty = F.col("_gram") == ""
+    matched = opened.join(probes, (F.col("_gram") == F.col("keyword")) & (F.col("entry_type") == F.when(
+        is_empty, "").otherwise(F.col("_type"))) & (is_empty | _allowed()))
     best = matched.groupBy(*columns, "_type").agg(F.min("rank").alias("_rank"))
 
     places = entries.select(F.col("entry_type").alias("_type"), F.col("pos").alias("_pos"),

@@ -65,6 +65,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _select(df: DataFrame, columns: str) -> DataFrame:
     # varchar lengths matter to neither engine here; Spark expressions want plain string.
     text = columns.replace("varchar(32)", "string").replace("varchar(16)", "string")
+    # Braces in a text expression are not placeholders.
+    text = text.replace("{", "{{").replace("}", "}}")
     return df.sparkSession.sql(f"select {text} from {{df}}", df=df)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
@@ -50,19 +49,18 @@ def file_status(files: DataFrame, archive: str = "archive", order: str = "file_s
     """Add ``accepted`` and ``issue`` to ``archive, file_seq, file_name, month, error`` rows.
 
     The first file of a month that could be read takes the month; the year is not part of it.
-    An archive's files are a handful of rows, so ranking them is a small window.
+    Whatever comes later is a duplicate, readable or not.
     """
     usable = F.col("month").isNotNull() & F.col("error").isNull()
-    place = F.row_number().over(W.partitionBy(archive, "month", "_usable").orderBy(order))
-    # Later files of a month are told apart from unreadable ones that came before it.
-    taken = F.min(F.when(F.col("_usable"), F.col(order))).over(W.partitionBy(archive, "month"))
-    ranked = files.withColumn("_usable", usable).withColumn("_place", place).withColumn(
-        "_taken", taken)
-    late = F.col("month").isNotNull() & (F.col(order) > F.coalesce("_taken", F.col(order)))
+    taken = files.filter(usable).groupBy(F.col(archive).alias("_a"), F.col("month").alias("_m")).agg(
+        F.min(order).alias("_taken"))
+    joined = files.join(taken, (F.col(archive) == F.col("_a")) & (F.col("month") == F.col("_m")),
+                        "left")
     issue = (F.when(F.col("month").isNull(), F.concat(
                 F.lit("Invalid filename format: "), F.col("file_name")))
-             .when(late, F.concat(F.lit("Duplicate file for month: "), F.col("month")))
+             .when(F.col(order) > F.col("_taken"), F.concat(
+                 F.lit("Duplicate file for month: "), F.col("month")))
              .when(F.col("error").isNotNull(), F.concat(
                  F.lit("Error reading "), F.col("file_name"), F.lit(": "), F.col("error"))))
-    return ranked.withColumn("issue", issue).withColumn(
-        "accepted", F.col("issue").isNull()).drop("_usable", "_place", "_taken")
+    return joined.withColumn("issue", issue).withColumn(
+        "accepted", F.col("issue").isNull()).drop("_a", "_m", "_taken")
