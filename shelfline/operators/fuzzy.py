@@ -29,11 +29,12 @@ def _common(needle_bits: dict[str, int], width: int, window: str) -> int:
     return width - state.bit_count()
 
 
-def partial_ratio(a: str, b: str) -> float:
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
     """Best match of the shorter text with any stretch of the longer, 0 to 100.
 
     Stretches are as long as the shorter text; at either end of the longer text they may be
-    shorter.  A stretch scores twice the common subsequence over both lengths.
+    shorter.  A stretch scores twice the common subsequence over both lengths.  Results below
+    ``floor`` may come back as 0.
     """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     width = len(short)
@@ -44,27 +45,45 @@ def partial_ratio(a: str, b: str) -> float:
     bits: dict[str, int] = {}
     for i, char in enumerate(short):
         bits[char] = bits.get(char, 0) | (1 << i)
-    best = 0.0
+    best, goal = 0.0, max(0.0, floor / 100 - 1e-12)
     for start in range(1 - width, len(long)):
-        window = long[max(start, 0):start + width]
-        # A window that cannot beat the best one even if it matched whole is not compared.
-        if 2 * len(window) / (width + len(window)) > best:
+        end = start + width
+        # A stretch ending in a foreign character is no better than the one ending before it,
+        # unless it is cut off by the end of the text.
+        if end <= len(long) and long[end - 1] not in bits:
+            continue
+        window = long[max(start, 0):end]
+        # Nor is one worth comparing that could not pass the goal by matching whole.
+        if 2 * len(window) / (width + len(window)) > goal:
             best = max(best, 2 * _common(bits, width, window) / (width + len(window)))
+            goal = max(goal, best)
     return 100.0 * best
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _ratios(leaves: pd.Series, title: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
+def best_rival(scores, leaves, text: str) -> tuple[int, float]:
+    """(place, total) of the best of some nodes in order; the first of equals.
+
+    High keyword scores go first: once no ratio can lift a score past the best total, none of the
+    lower ones can win either.
+    """
+    place, best = -1, -1.0
+    for i in sorted(range(len(scores)), key=lambda i: (-scores[i], i)):
+        if scores[i] + 100 * fv.FUZZY_WEIGHT < best:
+            break
+        total = scores[i] + fv.FUZZY_WEIGHT * partial_ratio(
+            leaves[i], text, (best - scores[i]) / fv.FUZZY_WEIGHT)
+        if total > best or (total == best and i < place):
+            place, best = i, total
+    return place, best
+
+
+_WON = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("total", T.DoubleType())])
 
-    def ratio(leaf: str, text: str) -> float:
-        pair = (leaf, text)
-        if pair not in known:
-            known[pair] = partial_ratio(leaf, text)
-        return known[pair]
 
-    return pd.Series([[ratio(leaf, text) for leaf in row] for row, text in zip(leaves, title)],
-                     index=title.index)
+@F.pandas_udf(_WON)
+def _best_rivals(scores: pd.Series, leaves: pd.Series, text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_rival(list(s), list(v), t) for s, v, t in zip(scores, leaves, text)],
+                        columns=["place", "total"])
 
 
 _NODES_PER_ROW = 1000
@@ -115,14 +134,15 @@ def fuzzy_category(titles: DataFrame, paths: DataFrame, title: str = "title",
         F.coalesce(F.array_max(F.transform(all_, lambda s: s["score"])), F.lit(0)),
         lambda top: F.filter(all_, lambda s: s["score"] + reach >= top)))
     cut = met.select("_title", "_kind", "_text", rivals.alias("_rivals"))
-    rated = cut.withColumn("_ratio", _ratios(
-        F.transform("_rivals", lambda s: s["leaf"]), F.col("_text")))
-    total = F.transform("_rivals", lambda s, i: F.struct(
-        (s["score"] + F.get("_ratio", i) * fv.FUZZY_WEIGHT).alias("score"),
-        (-s["pos"]).alias("place"), s["path"].alias("path")))
+    rated = cut.withColumn("_won", _best_rivals(
+        F.transform("_rivals", lambda s: s["score"]), F.transform("_rivals", lambda s: s["leaf"]),
+        F.col("_text")))
+    rival = F.get("_rivals", F.col("_won.place"))
     # Titles stay clustered as the distinct left them, so this needs no shuffle.
-    best = rated.select("_title", "_kind", F.array_max(total).alias("_best")).groupBy(
-        "_title", "_kind").agg(F.max("_best").alias("_best"))
+    best = rated.select("_title", "_kind", F.when(F.col("_won.place") >= 0, F.struct(
+        F.col("_won.total").alias("score"), (-rival["pos"]).alias("place"),
+        rival["path"].alias("path"))).alias("_best")).groupBy("_title", "_kind").agg(
+        F.max("_best").alias("_best"))
     won = F.col("_best.score") > fv.FUZZY_THRESHOLD
     # A null title or type joins like any other value.
     back = (titles.withColumn("_kind", mapped_type(F.col(product_type)))
