@@ -15,21 +15,23 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from shelfline.functions import fixed_values as fv
 from shelfline.sources.columns import FIELDS, header_map, header_of
 from shelfline.sources.filenames import file_status, parse_file_name
 from shelfline.session import shared_folder
 
-_MEMBERS = "archive string, file_seq bigint, file_name string, content binary"
 _FEED_FIELDS = list(FIELDS)
-_DECODED = ("archive string, file_seq bigint, file_name string, kind string, row_seq bigint, "
-            "header array<string>, error string, n_rows bigint, "
-            + ", ".join(f"{f} string" for f in _FEED_FIELDS))
-_ROWS_PER_FRAME = 20_000
+_FILE = [("archive", pa.string()), ("file_seq", pa.int64()), ("file_name", pa.string())]
+_MEMBERS = pa.schema(_FILE + [("content", pa.binary())])
+_DECODED = pa.schema(_FILE + [("kind", pa.string()), ("row_seq", pa.int64()),
+                              ("header", pa.list_(pa.string())), ("error", pa.string())]
+                     + [(f, pa.string()) for f in _FEED_FIELDS])
+_ROWS_PER_BATCH = 20_000
 _JUNK = ("\x00", "﻿", "￾", "\xff\xfe", "\xfe\xff")
 
 
@@ -59,19 +61,27 @@ def feed_members(names: list[str]) -> list[tuple[str, str]]:
 def archive_members(archives: DataFrame) -> DataFrame:
     """One row per feed file, its bytes included; an empty archive gives one row without a name."""
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content in zip(frame["archive"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                    held = feed_members(opened.namelist())
-                    for place, (base, member) in enumerate(held):
-                        yield pd.DataFrame({"archive": [archive], "file_seq": [place],
-                                            "file_name": [base], "content": [opened.read(member)]})
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(archive, place, name, content):
+            return pa.RecordBatch.from_pylist([{
+                "archive": archive, "file_seq": place, "file_name": name, "content": content}],
+                _MEMBERS)
+
+        for batch in batches:
+            for archive, content in zip(batch["archive"].to_pylist(), batch["content"]):
+                held = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as opened:
+                        held = feed_members(opened.namelist())
+                        for place, (base, member) in enumerate(held):
+                            yield one(archive, place, base, opened.read(member))
+                except zipfile.BadZipFile:
+                    # One broken upload is an issue of its own, not the end of the job.
+                    pass
                 if not held:
-                    yield pd.DataFrame({"archive": [archive], "file_seq": [0],
-                                        "file_name": [None], "content": [b""]})
+                    yield one(archive, 0, None, b"")
 
-    return archives.mapInPandas(unpack, _MEMBERS)
+    return archives.select("archive", "content").mapInArrow(unpack, from_arrow_schema(_MEMBERS))
 
 
 # --- tables -------------------------------------------------------------------------------------
@@ -86,6 +96,7 @@ def scrub_cell(cell: str | None) -> str | None:
 
 def _records(text: str, delimiter: str, skip: int) -> list[list[str]]:
     """Non-blank records after ``skip`` lines."""
+    csv.field_size_limit(2 ** 31 - 1)
     lines = io.StringIO(text, newline="")
     for _ in range(skip):
         lines.readline()
@@ -214,35 +225,37 @@ def decode_members(members: DataFrame) -> DataFrame:
     names = parse_file_name(F.col("file_name"))
     typed = members.withColumn("extension", names["extension"])
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in _DECODED.split(", ")]
-        for frame in frames:
-            for m in frame.itertuples():
-                base = {"archive": m.archive, "file_seq": m.file_seq, "file_name": m.file_name}
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.select(["archive", "file_seq", "file_name", "extension"]).to_pylist()
+            for head, content in zip(heads, batch["content"]):
+                extension = head.pop("extension")
                 header, rows, error = [], [], None
-                if m.extension in ("csv", "xlsx"):
+                if extension in ("csv", "xlsx"):
                     try:
-                        table = (csv_table if m.extension == "csv" else xlsx_table)(m.content)
+                        read = csv_table if extension == "csv" else xlsx_table
+                        table = read(content.as_py())
                         header = [scrub_cell(h) or "" for h in table[0]]
                         rows = table[1:]
                     except Exception as failure:
                         error = str(failure)[:200] or type(failure).__name__
-                yield pd.DataFrame([{**base, "kind": "file", "row_seq": -1, "header": header,
-                                     "error": error, "n_rows": len(rows)}]).reindex(
-                                         columns=columns)
+                yield pa.RecordBatch.from_pylist([{**head, "kind": "file", "row_seq": -1,
+                                                   "header": header, "error": error}], _DECODED)
                 places = header_map(header)
-                for start in range(0, len(rows), _ROWS_PER_FRAME):
-                    piece = rows[start:start + _ROWS_PER_FRAME]
-                    out = {**{k: [v] * len(piece) for k, v in base.items()}, "kind": "row",
-                           "row_seq": range(start, start + len(piece))}
+                for start in range(0, len(rows), _ROWS_PER_BATCH):
+                    piece = rows[start:start + _ROWS_PER_BATCH]
+                    out = {name: [value] * len(piece) for name, value in head.items()}
+                    out |= {"kind": ["row"] * len(piece),
+                            "row_seq": list(range(start, start + len(piece))),
+                            "header": [None] * len(piece), "error": [None] * len(piece)}
                     for field in _FEED_FIELDS:
                         i = places.get(field)
                         cells = [None if i is None or i >= len(r) else scrub_cell(r[i])
                                  for r in piece]
                         out[field] = [None if c in _EMPTY else c for c in cells]
-                    yield pd.DataFrame(out).reindex(columns=columns)
+                    yield pa.RecordBatch.from_pydict(out, _DECODED)
 
-    return typed.mapInPandas(decode, _DECODED)
+    return typed.mapInArrow(decode, from_arrow_schema(_DECODED))
 
 
 def ingest_archives(spark: SparkSession, path: str, tasks: int | None = None,

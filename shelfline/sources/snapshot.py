@@ -64,27 +64,29 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 def read_taxonomy_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """Taxonomy workbooks: one sheet per product type, its first row the header."""
-    import pandas as pd
+    import pyarrow as pa
 
     from shelfline.sources.archive import xlsx_sheets, xlsx_table
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-
-    def rows(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                for sheet in xlsx_sheets(content):
-                    table = xlsx_table(content, sheet)
+    fields = ["product_type", "level1", "level2", "level3"]
+    schema = pa.schema([(f, pa.string()) for f in fields])
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                book = content.as_py()
+                for sheet in xlsx_sheets(book):
+                    table = xlsx_table(book, sheet)
                     header = [h.strip() for h in table[0]] if table else []
                     places = [header.index(f"Level {i}") if f"Level {i}" in header else None
                               for i in (1, 2, 3)]
                     cell = lambda r, p: r[p] if p is not None and p < len(r) and r[p] else None
-                    yield pd.DataFrame([[sheet, *[cell(r, p) for p in places]]
-                                        for r in table[1:]],
-                                       columns=["product_type", "level1", "level2", "level3"])
+                    yield pa.RecordBatch.from_pylist(
+                        [dict(zip(fields, [sheet, *[cell(r, p) for p in places]]))
+                         for r in table[1:]], schema)
 
-    return files.select("content").mapInPandas(
-        rows, "product_type string, level1 string, level2 string, level3 string")
+    return files.select("content").mapInArrow(rows, ", ".join(f"{f} string" for f in fields))
 
 
 def read_text_taxonomy(spark: SparkSession, path: str, types=None) -> DataFrame:
