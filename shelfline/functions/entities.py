@@ -78,31 +78,45 @@ def candidates() -> Column:
         F.size(found) > 0, found).otherwise(present(fallback))))
 
 
-def candidate_score(candidate: Column, title: Column) -> Column:
-    """Weight of one candidate given the row's entities and its normalised title."""
-    brand, product, vintage, age, kind, _, _, pack, collection = map(_folded, fv.ENTITY_FIELDS)
+def _evidence(title: Column) -> Column:
+    """What candidates of a row are weighed against, worked out once per row."""
+    brand, age = _folded("brand"), _folded("age_statement")
+    pack = _folded("pack_format")
+    return F.struct(
+        *[_folded(f).alias(f) for f in fv.ENTITY_FIELDS],
+        brand.isin(fv.ENTITY_RETAILER_BRANDS).alias("retailer"),
+        (F.contains(F.lower(title), F.lit("case")) | F.contains(pack, F.lit("case"))).alias("case"),
+        F.concat(F.regexp_extract_all(brand, F.lit(r"(\d+)"), 1),
+                 F.filter(F.array(age), lambda a: a != "")).alias("critical"))
+
+
+def candidate_score(candidate: Column, e: Column) -> Column:
+    """Weight of one candidate given the row's evidence."""
     text = F.lower(candidate)
     zero = F.lit(0)
     points = lambda test, weight: F.when(test, F.lit(weight)).otherwise(zero)
-    held = lambda part: (part != "") & F.contains(text, part)
-    lacks = lambda part: ~F.contains(text, part)
-    join = lambda *parts: F.concat_ws(" ", *parts)
-    retailer = brand.isin(fv.ENTITY_RETAILER_BRANDS)
-    is_case = F.contains(F.lower(title), F.lit("case")) | F.contains(pack, F.lit("case"))
-    critical = F.concat(F.regexp_extract_all(brand, F.lit(r"(\d+)"), 1),
-                        F.filter(F.array(age), lambda a: a != ""))
-    lost = F.size(F.filter(critical, lambda t: ~F.contains(text, t)))
-    generic = (brand != "") & lacks(brand) & ~retailer & ((collection == "") | lacks(collection))
-    return (points(held(product), fv.W_PRODUCT)
-            + points(held(vintage), fv.W_VINTAGE)
-            + F.when(held(brand), F.when(retailer, F.lit(fv.W_RETAILER_BRAND)).otherwise(
+    given = lambda *fields: [e[f] != "" for f in fields]
+    held = lambda field: (e[field] != "") & F.contains(text, e[field])
+    lacks = lambda field: ~F.contains(text, e[field])
+
+    def exactly(*fields: str) -> Column:
+        test = F.concat_ws(" ", *[e[f] for f in fields]) == text
+        for one in given(*fields):
+            test = one & test
+        return test
+
+    lost = F.size(F.filter(e["critical"], lambda t: ~F.contains(text, t)))
+    generic = ((e["brand"] != "") & lacks("brand") & ~e["retailer"]
+               & ((e["collection"] == "") | lacks("collection")))
+    return (points(held("product_name"), fv.W_PRODUCT)
+            + points(held("vintage"), fv.W_VINTAGE)
+            + F.when(held("brand"), F.when(e["retailer"], F.lit(fv.W_RETAILER_BRAND)).otherwise(
                 F.lit(fv.W_BRAND))).otherwise(zero)
-            + points((brand != "") & (age != "") & (join(brand, age) == text), fv.W_BRAND_AGE)
-            + points((brand != "") & (kind != "") & (age == "") & (join(brand, kind) == text),
+            + points(exactly("brand", "age_statement"), fv.W_BRAND_AGE)
+            + points((e["age_statement"] == "") & exactly("brand", "product_type"),
                      fv.W_BRAND_TYPE)
-            + points((brand != "") & (product != "") & (kind != "")
-                     & (join(brand, product, kind) == text), fv.W_BRAND_PRODUCT_TYPE)
-            + points(is_case & F.contains(text, F.lit("case")), fv.W_CASE)
+            + points(exactly("brand", "product_name", "product_type"), fv.W_BRAND_PRODUCT_TYPE)
+            + points(e["case"] & F.contains(text, F.lit("case")), fv.W_CASE)
             + lost * F.lit(fv.W_LOST_TOKEN)
             + points(F.contains(text, F.lit("year old")) | F.contains(text, F.lit("years old")),
                      fv.W_VERBOSE_AGE)
@@ -114,9 +128,9 @@ def scored_candidates(found: Column, title: Column) -> Column:
 
     Ties on score and length go to the alphabetically first text.
     """
-    return F.transform(found, lambda c: F.struct(
-        (-candidate_score(c, title)).alias("rank"), F.length(c).alias("length"),
-        c.alias("candidate")))
+    return let(_evidence(title), lambda e: F.transform(found, lambda c: F.struct(
+        (-candidate_score(c, e)).alias("rank"), F.length(c).alias("length"),
+        c.alias("candidate"))))
 
 
 def has_entities() -> Column:

@@ -8,6 +8,7 @@ score can still win, and only their leaves go to the Python worker.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,11 @@ def _common(needle_bits: dict[str, int], width: int, window: str) -> int:
     return width - state.bit_count()
 
 
-def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+def partial_ratio(a: str, b: str) -> float:
     """Best match of the shorter text with any stretch of the longer, 0 to 100.
 
     Stretches are as long as the shorter text; at either end of the longer text they may be
-    shorter.  A stretch scores twice the common subsequence over both lengths.  Results below
-    ``floor`` may come back as 0.
+    shorter.  A stretch scores twice the common subsequence over both lengths.
     """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     width = len(short)
@@ -45,7 +45,7 @@ def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
     bits: dict[str, int] = {}
     for i, char in enumerate(short):
         bits[char] = bits.get(char, 0) | (1 << i)
-    best, goal = 0.0, max(0.0, floor / 100 - 1e-12)
+    best = 0.0
     for start in range(1 - width, len(long)):
         end = start + width
         # A stretch ending in a foreign character is no better than the one ending before it,
@@ -53,27 +53,85 @@ def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
         if end <= len(long) and long[end - 1] not in bits:
             continue
         window = long[max(start, 0):end]
-        # Nor is one worth comparing that could not pass the goal by matching whole.
-        if 2 * len(window) / (width + len(window)) > goal:
+        # Nor is one worth comparing that could not pass the best by matching whole.
+        if 2 * len(window) / (width + len(window)) > best:
             best = max(best, 2 * _common(bits, width, window) / (width + len(window)))
-            goal = max(goal, best)
     return 100.0 * best
 
 
-def best_rival(scores, leaves, text: str) -> tuple[int, float]:
+_CHUNK = 16
+_CODES = 512
+_MAX_WIDTH = 63
+
+
+class LeafMasks:
+    """Character masks of leaves as table rows, so that leaves of one length are compared at once."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.rows: dict[str, np.ndarray | None] = {}
+
+    def row(self, leaf: str) -> np.ndarray | None:
+        """``mask[code]`` of a leaf; None for a leaf the tables cannot hold."""
+        if leaf not in self.rows:
+            table = np.zeros(_CODES, dtype=np.uint64)
+            fits = 0 < len(leaf) <= _MAX_WIDTH
+            for i, char in enumerate(leaf if fits else ""):
+                code = self.codes.setdefault(char, len(self.codes) + 1)
+                if code >= _CODES:
+                    fits = False
+                    break
+                table[code] |= np.uint64(1 << i)
+            self.rows[leaf] = table if fits else None
+        return self.rows[leaf]
+
+    def ratios(self, leaves: list[str], text: str) -> list[float]:
+        """:func:`partial_ratio` of every leaf with the text."""
+        out = [0.0] * len(leaves)
+        by_width: dict[int, list[int]] = {}
+        for i, leaf in enumerate(leaves):
+            if len(leaf) > len(text) or leaf in text or self.row(leaf) is None:
+                out[i] = partial_ratio(leaf, text)
+            else:
+                by_width.setdefault(len(leaf), []).append(i)
+        # Code 0 has no bit in any mask: it stands for foreign characters and beyond either end.
+        coded = np.array([self.codes.get(c, 0) for c in text], dtype=np.intp)
+        for width, members in by_width.items():
+            pad = np.zeros(width - 1, dtype=np.intp)
+            windows = np.lib.stride_tricks.sliding_window_view(
+                np.concatenate([pad, coded, pad]), width)
+            starts = np.arange(1 - width, len(text))
+            lengths = np.minimum(starts + width, len(text)) - np.maximum(starts, 0)
+            masks = np.stack([self.rows[leaves[i]] for i in members])
+            full = np.uint64((1 << width) - 1)
+            state = np.full((len(members), len(starts)), full)
+            for step in range(width):
+                hit = state & masks[:, windows[:, step]]
+                state = ((state + hit) | (state - hit)) & full
+            common = width - np.bitwise_count(state).astype(np.int64)
+            best = (2 * common / (width + lengths)).max(axis=1)
+            for i, value in zip(members, best):
+                out[i] = 100.0 * float(value)
+        return out
+
+
+def best_rival(scores, leaves, text: str, masks: LeafMasks) -> tuple[int, float]:
     """(place, total) of the best of some nodes in order; the first of equals.
 
-    High keyword scores go first: once no ratio can lift a score past the best total, none of the
-    lower ones can win either.
+    High keyword scores go first, some at a time: once no ratio can lift a score past the best
+    total, none of the lower ones can win either.
     """
     place, best = -1, -1.0
-    for i in sorted(range(len(scores)), key=lambda i: (-scores[i], i)):
-        if scores[i] + 100 * fv.FUZZY_WEIGHT < best:
+    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    for start in range(0, len(order), _CHUNK):
+        chunk = [i for i in order[start:start + _CHUNK]
+                 if scores[i] + 100 * fv.FUZZY_WEIGHT >= best]
+        if not chunk:
             break
-        total = scores[i] + fv.FUZZY_WEIGHT * partial_ratio(
-            leaves[i], text, (best - scores[i]) / fv.FUZZY_WEIGHT)
-        if total > best or (total == best and i < place):
-            place, best = i, total
+        for i, ratio in zip(chunk, masks.ratios([leaves[i] for i in chunk], text)):
+            total = scores[i] + fv.FUZZY_WEIGHT * ratio
+            if total > best or (total == best and i < place):
+                place, best = i, total
     return place, best
 
 
@@ -82,35 +140,46 @@ _WON = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("tot
 
 @F.pandas_udf(_WON)
 def _best_rivals(scores: pd.Series, leaves: pd.Series, text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_rival(list(s), list(v), t) for s, v, t in zip(scores, leaves, text)],
-                        columns=["place", "total"])
+    masks = LeafMasks()
+    return pd.DataFrame([best_rival(list(s), list(v), t, masks)
+                         for s, v, t in zip(scores, leaves, text)], columns=["place", "total"])
 
 
 _NODES_PER_ROW = 1000
 
 
 def taxonomy_nodes(paths: DataFrame) -> DataFrame:
-    """Arrays of a type's nodes in order, from ``product_type, path, pos``.
+    """``product_type, words, nodes``: arrays of a type's nodes in order, from ``product_type,
+    path, pos``.
 
-    An array holds at most 1000 nodes; a larger type takes several rows.
+    An array holds at most 1000 nodes; a larger type takes several rows.  Nodes name their keywords
+    by place in ``words``, so a title looks for each word once however many nodes share it.
     """
     node = F.struct("pos", F.col("path"), F.lower(F.element_at(F.split("path", " > "), -1)).alias(
         "leaf"), taxonomy_keywords(F.col("path")).alias("keywords"))
-    return (paths.groupBy("product_type", F.floor(F.col("pos") / _NODES_PER_ROW).alias("part"))
-            .agg(F.array_sort(F.collect_list(node)).alias("nodes")).drop("part"))
+    parts = (paths.groupBy("product_type", F.floor(F.col("pos") / _NODES_PER_ROW).alias("part"))
+             .agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+             .withColumn("words", F.array_distinct(F.flatten(F.transform(
+                 "nodes", lambda n: n["keywords"])))))
+    return parts.select("product_type", "words", let(F.col("words"), lambda words: F.transform(
+        "nodes", lambda n: F.struct(
+            n["pos"].alias("pos"), n["path"].alias("path"), n["leaf"].alias("leaf"),
+            F.transform(n["keywords"], lambda k: F.array_position(words, k).cast("int") - 1).alias(
+                "keywords")))).alias("nodes"))
 
 
-def _keyword_score(title: Column, keywords: Column) -> Column:
-    """Twice the length of every keyword in the title, three times on word boundaries.
+def _word_points(title: Column, words: Column) -> Column:
+    """Points of every word: twice its length in the title, three times on word boundaries.
 
     The boundary test reads the spaced-out title first and a pattern only where that says no.
     """
     literal = lambda k: F.concat(F.lit(r"(?Ud)\b\Q"), k, F.lit(r"\E\b"))
-    return F.aggregate(keywords, F.lit(0), lambda acc, k: acc + F.when(
-        F.contains(title, k), F.length(k) * F.when(
-            F.contains(F.concat(F.lit(" "), title, F.lit(" ")), F.concat(F.lit(" "), k, F.lit(" ")))
+    spaced = F.concat(F.lit(" "), title, F.lit(" "))
+    return let(spaced, lambda wide: F.transform(words, lambda k: F.when(
+        F.contains(wide, k) & F.contains(title, k), F.length(k) * F.when(
+            F.contains(wide, F.concat(F.lit(" "), k, F.lit(" ")))
             & k.rlike(r"^[a-z0-9].*[a-z0-9]$"), 3)
-        .when(F.regexp_like(title, literal(k)), 3).otherwise(2)).otherwise(0))
+        .when(F.regexp_like(title, literal(k)), 3).otherwise(2)).otherwise(0)))
 
 
 def fuzzy_category(titles: DataFrame, paths: DataFrame, title: str = "title",
@@ -126,9 +195,13 @@ def fuzzy_category(titles: DataFrame, paths: DataFrame, title: str = "title",
                              rows=BROADCAST_ROWS // _NODES_PER_ROW)
     met = pairs.join(nodes, "_kind", "left").withColumn(
         "_text", F.lower(F.coalesce("_title", F.lit(""))))
-    scored = F.transform(F.coalesce("nodes", F.array()), lambda n: F.struct(
-        _keyword_score(F.col("_text"), n["keywords"]).alias("score"), n["pos"].alias("pos"),
-        n["path"].alias("path"), n["leaf"].alias("leaf")))
+    # Both are bound, not named by a column: a column read once inside a lambda is worked out
+    # again for every element.
+    scored = let(F.col("_text"), lambda text: let(_word_points(text, F.col("words")), lambda points: (
+        F.transform(F.coalesce("nodes", F.array()), lambda n: F.struct(
+            F.aggregate(n["keywords"], F.lit(0), lambda acc, i: acc + F.get(points, i)).alias(
+                "score"), n["pos"].alias("pos"), n["path"].alias("path"),
+            n["leaf"].alias("leaf"))))))
     reach = F.lit(int(100 * fv.FUZZY_WEIGHT))
     rivals = let(scored, lambda all_: let(
         F.coalesce(F.array_max(F.transform(all_, lambda s: s["score"])), F.lit(0)),

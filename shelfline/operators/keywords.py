@@ -105,13 +105,15 @@ def hybrid_keyword(df: DataFrame, title: str = "title", brand: str = "brand",
     staged = (df.withColumn("_brand", tx.brand_words(F.col(brand)))
               .withColumn("_clean", tx.preprocess_title(
                   F.col(title), F.col(merchant) if merchant else None, noise)))
-    staged = (staged.withColumn("_type", tx.first_type_word(F.col("_clean")))
-              .withColumn("_names", F.transform("_brand", lambda b: F.lower(b))))
+    staged = staged.withColumn("_type", tx.first_type_word(F.col("_clean")))
     room = F.lit(max_words) - F.size("_brand")
-    rest = F.filter(words_of(F.col("_clean")), lambda w: (
+    # Words already said by the brand or the type; bound once for all words of the title.
+    said = F.concat(F.transform("_brand", lambda b: F.lower(b)), F.when(
+        F.col("_type").isNotNull() & (room > 0), F.array("_type")).otherwise(
+        F.array().cast("array<string>")))
+    rest = let(said, lambda taken: F.filter(words_of(F.col("_clean")), lambda w: (
         (F.length(w) >= 3) & ~w.isin(fv.HYBRID_TITLE_STOP_WORDS)
-        & ~F.array_contains(F.col("_names"), w)
-        & ~F.coalesce((w == F.col("_type")) & (room > 0), F.lit(False)) & ~w.isin(noise)))
+        & ~F.array_contains(taken, w) & ~w.isin(noise))))
     slots = F.greatest(room - F.when(F.col("_type").isNotNull(), 1).otherwise(0), F.lit(0))
     staged = staged.withColumn("_parts", F.concat(
         F.col("_brand"), F.slice(rest, F.lit(1), slots)))

@@ -48,8 +48,7 @@ parsed as (select file_seq, archive, file_name, error,
 
 
 def _files(spark, sf):
-    files = views.select_from(spark, sf, "orders", FILE_COLUMNS)
-    return files.withColumns(fn.parse_file_name(F.col("file_name")))
+    return fn.with_file_parts(views.select_from(spark, sf, "orders", FILE_COLUMNS))
 
 
 @query("filename_parse", f"""with {_PARSED} select file_seq, file_name, month,

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from shelfline.functions import fixed_values as fv
 from shelfline.sources.columns import FIELDS, header_map, header_of
-from shelfline.sources.filenames import file_status, parse_file_name
+from shelfline.sources.filenames import file_status, parse_file_name, with_file_parts
 from shelfline.session import shared_folder
 
 _FEED_FIELDS = list(FIELDS)
@@ -222,8 +222,7 @@ _EMPTY = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 def decode_members(members: DataFrame) -> DataFrame:
     """Rows of every readable member (kind ``row``) and one ``file`` row per member."""
-    names = parse_file_name(F.col("file_name"))
-    typed = members.withColumn("extension", names["extension"])
+    typed = members.withColumn("extension", parse_file_name(F.col("file_name"))["extension"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,10 +275,8 @@ def ingest_archives(spark: SparkSession, path: str, tasks: int | None = None,
 def split_decoded(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """The feed and the issues of a decoded store."""
     decoded = spark.read.parquet(store)
-    names = parse_file_name(F.col("file_name"))
-    files = decoded.filter("kind = 'file'").select(
-        "archive", "file_seq", "file_name", "header", "error", names["month"].alias("month"),
-        names["year"].alias("year"))
+    files = with_file_parts(decoded.filter("kind = 'file'").select(
+        "archive", "file_seq", "file_name", "header", "error")).drop("extension")
     empty = files.filter("file_name is null").select(
         "archive", F.lit(None).cast("string").alias("file_name"),
         F.lit("No valid files found in archive").alias("issue"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.text import literals
+from shelfline.functions.text import let, literals
 
 
 def _month_name(raw: Column) -> Column:
@@ -17,22 +17,36 @@ def _month_name(raw: Column) -> Column:
     return F.when(name.isin(fv.MONTHS), name)
 
 
-def parse_file_name(name: Column) -> dict[str, Column]:
-    """``month, year, extension`` of a file name; all null when it is no feed file.
+def parse_file_name(name: Column) -> Column:
+    """``struct<month, year, extension>`` of a file name; all null when it is no feed file.
 
     Only the first shape that fits is read, so a name is not rescued by a later one.
     """
     shapes = [f"(?idU){p}" for p in fv.FILE_NAME_PATTERNS]
+    fitting = F.lit(None).cast("int")
+    for i in reversed(range(len(shapes))):
+        fitting = F.when(name.rlike(shapes[i]), F.lit(i)).otherwise(fitting)
 
-    def group(n: int) -> Column:
+    def group(shape: Column, n: int) -> Column:
         chosen = F.lit(None).cast("string")
-        for shape in reversed(shapes):
-            chosen = F.when(name.rlike(shape), F.regexp_extract(name, shape, n)).otherwise(chosen)
+        for i, pattern in enumerate(shapes):
+            chosen = F.when(shape == i, F.regexp_extract(name, pattern, n)).otherwise(chosen)
         return chosen
 
-    month = _month_name(group(1))
-    return {"month": month, "year": F.when(month.isNotNull(), group(2).try_cast("int")),
-            "extension": F.when(month.isNotNull(), F.lower(group(3)))}
+    def read(shape: Column, month: Column) -> Column:
+        return F.struct(
+            month.alias("month"),
+            F.when(month.isNotNull(), group(shape, 2).try_cast("int")).alias("year"),
+            F.when(month.isNotNull(), F.lower(group(shape, 3))).alias("extension"))
+
+    return let(fitting, lambda shape: let(
+        let(group(shape, 1), _month_name), lambda month: read(shape, month)))
+
+
+def with_file_parts(files: DataFrame, name: str = "file_name") -> DataFrame:
+    """Add ``month, year, extension`` of a file name column."""
+    return files.withColumn("_parts", parse_file_name(F.col(name))).select("*", "_parts.*").drop(
+        "_parts")
 
 
 def month_number(month: Column) -> Column:

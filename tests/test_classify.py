@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import classify as cl
 from shelfline.operators import taxonomy as ta
-from shelfline.operators.fuzzy import fuzzy_category, partial_ratio
+from shelfline.operators.fuzzy import LeafMasks, fuzzy_category, partial_ratio
 
 DICT_SCHEMA = "product_type string, path string, pos long, keyword string"
 ENTRIES = [
@@ -152,6 +152,7 @@ def test_partial_ratio():
         a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 8)))
         b = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 14)))
         assert partial_ratio(a, b) == pytest.approx(_slow_ratio(a, b))
+        assert LeafMasks().ratios([a, "ab", a], b) == [partial_ratio(x, b) for x in (a, "ab", a)]
 
 
 def test_fuzzy_category_equals_search_over_all_pairs(spark):

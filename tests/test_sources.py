@@ -113,8 +113,7 @@ def test_later_member_of_a_base_name_keeps_the_first_place():
     ("a b Feb 2020.csv", ("Feb", 2020, "csv")), (None, (None, None, None))])
 def test_file_names(spark, name, want):
     df = spark.createDataFrame([(name,)], "n string")
-    parts = fn.parse_file_name(F.col("n"))
-    assert tuple(df.select(*[c.alias(k) for k, c in parts.items()]).first()) == want
+    assert tuple(fn.with_file_parts(df, "n").drop("n").first()) == want
 
 
 def test_unreadable_file_does_not_take_its_month(spark):
