@@ -221,7 +221,8 @@ def deduplicate_stems(text: Column) -> Column:
 def first_type_word(text: Column, types=fv.HYBRID_TYPE_WORDS) -> Column:
     """A listed word occurring anywhere in the text: the longest, then the alphabetically first."""
     ordered = sorted(types, key=lambda t: (-len(t), t))
-    return F.get(F.filter(literals(ordered), lambda t: F.contains(F.lower(text), t)), F.lit(0))
+    return let(F.lower(text), lambda low: F.get(
+        F.filter(literals(ordered), lambda t: F.contains(low, t)), F.lit(0)))
 
 
 def brand_words(brand: Column, stop=fv.HYBRID_BRAND_STOP_WORDS, limit: int = 2) -> Column:

@@ -15,11 +15,14 @@ many keywords share a word.  A match is one packed number, so its minimum is a h
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.text import leaf_of, let, level_of, literals, path_parts
+from shelfline.functions.text import leaf_of, let, level_of, path_parts
 from shelfline.session import BROADCAST_ROWS
 
 _RUN = r"(?Ud)(\w+|\W+)"
@@ -41,7 +44,7 @@ def fold_title(title: Column) -> Column:
 
 
 def _holds_any(text: Column, terms) -> Column:
-    return F.exists(literals(terms), lambda t: F.contains(text, t))
+    return reduce(or_, [F.contains(text, F.lit(t)) for t in terms])
 
 
 def accessory_flags(folded: Column) -> dict[str, Column]:
