@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.text import ascii_fold, let, literals
+from shelfline.functions.text import ascii_fold, let
 
 
 def _field(name: str) -> Column:

@@ -38,6 +38,10 @@ CSV_EXPECTED_COLUMNS = ["popularity rank", "title", "brand", "availability", "pr
 CSV_MATCH_WEIGHT = 1000
 CSV_COLUMN_WEIGHT = 10
 
+# Cells that mean "no value" in a feed file.
+EMPTY_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+               "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 NO_PRICE = "N/A"
 NO_AVAILABILITY = "Potential Gap"
 NO_CATEGORY = "Other"

@@ -126,9 +126,10 @@ def _grams(folded: Column, shapes: list[tuple[bool, int]]) -> Column:
         first = F.when(leads == F.lit(word), 1 if word else 3).otherwise(2)
         ends_in_word = word == (size % 2 == 1)
         last = F.size(runs) - size + (1 if ends_in_word else 0)
+        text = lambda i: F.get(runs, i - 1) if size == 1 else F.array_join(
+            F.slice(runs, i, F.lit(size)), "")
         return F.when(last >= first, F.transform(
-            F.sequence(first, last, F.lit(2)),
-            lambda i: F.array_join(F.slice(runs, i, F.lit(size)), ""))).otherwise(
+            F.sequence(first, last, F.lit(2)), text)).otherwise(
             F.array().cast("array<string>"))
 
     return let(F.regexp_extract_all(folded, F.lit(_RUN), 1), lambda runs: F.array_distinct(

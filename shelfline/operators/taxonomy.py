@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.text import _U, literals, strip_space, words_of
+from shelfline.functions.text import _U, strip_space, words_of
 from shelfline.operators.classify import mapped_type
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.operators.classify import with_category_levels
-from shelfline.operators.consolidate import KEYS, output_row, product_records
+from shelfline.operators.consolidate import output_row, product_records
 
 
 def consolidate(feed: DataFrame, dictionary: DataFrame, product_type) -> DataFrame:

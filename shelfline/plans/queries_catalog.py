@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.peaks import to_number
 from shelfline.functions.text import leaf_of, level1_of, level_of, product_key
 from shelfline.operators import classify as cl
 from shelfline.operators import consolidate as co
@@ -14,8 +13,7 @@ from shelfline.operators.fuzzy import fuzzy_category
 from shelfline.plans import views
 from shelfline.plans.catalog import consolidate
 from shelfline.plans.registry import (DICTIONARY, FEED, GADGETS, PRODUCTS, TAXONOMY,
-                                      default_level1_sql, key_of, mapped, matches, query, quoted,
-                                      any_of)
+                                      default_level1_sql, key_of, mapped, matches, query, quoted)
 
 RANK = "try_cast(popularity_rank as double)"
 RANK_COLUMNS = ",\n  ".join(

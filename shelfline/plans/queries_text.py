@@ -305,16 +305,6 @@ def _ascii(expr: str) -> str:
     return rf"trim(regexp_replace(strip_accents(lower({expr})), '[^\x00-\x7F]', '', 'g'))"
 
 
-def _normal(expr: str) -> str:
-    text = f"lower({expr})"
-    for i, sep in enumerate(fv.TITLE_SEPARATORS):
-        keep = f"list_filter(string_split_regex(x, '{sep}'), lambda p: not {any_of('p', fv.PROMO_PART_TERMS)})"
-        text = (f"(select case when regexp_matches(x, '{sep}') then array_to_string({keep}, ' ') "
-                f"else x end from (select {text} as x))")
-    ascii_ = rf"regexp_replace(strip_accents({text}), '[^\x00-\x7F]', '', 'g')"
-    return squeezed(rf"regexp_replace({ascii_}, '[^\w\s-]', '', 'g')")
-
-
 def _normal_steps(source: str, column: str = "title") -> str:
     """CTEs n0..n4: one separator each; ``normal`` has the finished text."""
     steps = [f"n0 as (select *, lower(coalesce({column}, '')) as x from {source})"]

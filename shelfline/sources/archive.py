@@ -215,15 +215,12 @@ def _cell_text(cell, shared: list[str]) -> str:
 
 # --- decoding -----------------------------------------------------------------------------------
 
-# Cells that mean "no value" in a feed file.
-_EMPTY = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-          "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"}
-
-
 def decode_members(members: DataFrame) -> DataFrame:
     """Rows of every readable member (kind ``row``) and one ``file`` row per member."""
     typed = members.withColumn("extension", parse_file_name(F.col("file_name"))["extension"])
 
+    empty = frozenset(fv.EMPTY_CELLS)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = batch.select(["archive", "file_seq", "file_name", "extension"]).to_pylist()
@@ -251,7 +248,7 @@ def decode_members(members: DataFrame) -> DataFrame:
                         i = places.get(field)
                         cells = [None if i is None or i >= len(r) else scrub_cell(r[i])
                                  for r in piece]
-                        out[field] = [None if c in _EMPTY else c for c in cells]
+                        out[field] = [None if c in empty else c for c in cells]
                     yield pa.RecordBatch.from_pydict(out, _DECODED)
 
     return typed.mapInArrow(decode, from_arrow_schema(_DECODED))

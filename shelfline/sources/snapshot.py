@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.functions.text import strip_space
 from shelfline.operators.metrics import catalog_stats
 from shelfline.operators.taxonomy import parse_text_taxonomy
 from shelfline.sources.columns import first_of_each_column, rename_date_columns, trimmed_columns
