@@ -1,6 +1,6 @@
 """Every registered query of this package."""
 
-from shelfline.llm import bpe, merkle, ngram_lm, simhash  # noqa: F401
+from shelfline.llm import bpe, merkle, ngram_lm, simhash, tiling  # noqa: F401
 from shelfline.llm.registry import COMPARISONS, QUERIES
 
 __all__ = ["COMPARISONS", "QUERIES"]
