@@ -1,6 +1,6 @@
 """Every registered query of this package."""
 
-from shelfline.llm import bpe, language, merkle, ngram_lm, quality, simhash, tiling  # noqa: F401
+from shelfline.llm import bpe, language, merkle, ngram_lm, quality, simhash, tiling, toxicity  # noqa: F401
 from shelfline.llm.registry import COMPARISONS, QUERIES
 
 __all__ = ["COMPARISONS", "QUERIES"]
