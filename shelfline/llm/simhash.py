@@ -172,6 +172,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return fps.join(named, "fp", "left").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3,
+                 distance: int = 3) -> DataFrame:
+    """The rows of ``df`` of which one stays for each component, with all their columns.
+
+    The row of smallest key stays, of equal keys that of smallest text hash, of equal rows one.
+    """
+    names = df.columns
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.struct(
+        F.col(f"`{key}`").alias("key"), F.xxhash64(whole(text)).alias("hash")).alias("mark"),
+        whole(text).alias("body"))
+    kept = near_duplicates(marked, "mark", "body", words, distance).select(
+        F.col("component_id.key").alias("k"), F.col("component_id.hash").alias("h")).distinct()
+    return marked.select("row", F.col("mark.key").alias("key"), F.col("mark.hash").alias("hash")).join(
+        kept, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi"
+    ).groupBy("key", "hash").agg(F.first("row").alias("row")).select(
+        *[F.col("row")[c].alias(c) for c in names])
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(

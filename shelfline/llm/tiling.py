@@ -202,6 +202,35 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return out.withColumnsRenamed({"key": key, "item": item})
 
 
+def uncontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
+                   item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE,
+                   block: int = BLOCK_TEXT) -> DataFrame:
+    """The rows of ``df`` that cover no item by ``coverage`` or more, with all their columns.
+
+    Rows are dropped where they stand; nothing is shuffled.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
+    at = df.columns.index(text)
+    for ids, texts in blocks(benchmark, item, item_text, block):
+        sent = spark.sparkContext.broadcast((ids, texts))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = Items(*sent.value, window)
+            for batch in batches:
+                body = pa.compute.fill_null(batch.column(at), "")
+                keep = np.ones(batch.num_rows, bool)
+                for a, b in text_slices(body):
+                    for doc, number, w, pairs in items.seeds(body.slice(a, b - a).to_pylist()):
+                        if keep[a + doc]:
+                            covered = sum(t[2] for t in tiles(pairs, w))
+                            keep[a + doc] = covered < coverage * len(items.keys[number])
+                yield batch.filter(pa.array(keep))
+
+        df = df.mapInArrow(run, df.schema)
+    return df
+
+
 @query("op8_string_tiling")
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
