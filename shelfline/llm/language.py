@@ -53,19 +53,18 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
-def _vectors(texts: list[str]) -> Iterator[np.ndarray]:
-    for t in texts:
-        yield counts(t).astype(np.float32)
-
-
 class Model:
-    def __init__(self, rows: list[np.ndarray], languages: list[str]):
+    def __init__(self, rows: Iterator[tuple[np.ndarray, np.ndarray]], languages: list[str]):
+        """``rows`` has (places, counts) of each training text."""
         self.languages: list[str] = []
-        if not rows:
+        if not languages:
             return
-        dense = np.stack(rows)
-        self.idf = np.log((1 + len(dense)) / (1 + (dense > 0).sum(axis=0))).astype(np.float32) + 1
-        unit = np.stack([self.vector(r) for r in dense])
+        unit = np.zeros((len(languages), PLACES), np.float32)
+        for own, (places, count) in zip(unit, rows):
+            own[places] = count
+        self.idf = np.log((1 + len(unit)) / (1 + (unit > 0).sum(axis=0))).astype(np.float32) + 1
+        for own in unit:
+            own[:] = self.vector(own)
         names, centroids, floors = np.array(languages), [], []
         for name in sorted(set(languages)):
             own = unit[names == name]
@@ -119,7 +118,7 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     # One row per language.
     sizes = {r[0]: r[1] for r in known.groupBy("name").count().collect()}
     if not sizes:
-        return Model([], [])
+        return Model(iter(()), [])
     shares = spark.createDataFrame([(n, float(max(1, rows // len(sizes)) / c))
                                     for n, c in sizes.items()], "name string, share double")
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
@@ -129,15 +128,21 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
         for batch in batches:
             body = batch.column(2)
             for a, b in text_slices(body, 1 << 19):
+                dense = [counts(t) for t in body.slice(a, b - a).to_pylist()]
+                places = [np.flatnonzero(x).astype(np.int32) for x in dense]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(list(_vectors(body.slice(a, b - a).to_pylist())),
-                              pa.list_(pa.float32()))], names=["key", "name", "x"])
+                     pa.array(places, pa.list_(pa.int32())),
+                     pa.array([x[p].astype(np.int32) for x, p in zip(dense, places)],
+                              pa.list_(pa.int32()))], names=["key", "name", "places", "counts"])
 
+    kind = df.schema[key].dataType.simpleString()
     got = chosen.select("key", "name", "body").mapInArrow(
-        run, f"key {df.schema[key].dataType.simpleString()}, name string, x array<float>").toArrow()
+        run, f"key {kind}, name string, places array<int>, counts array<int>").toArrow()
     got = got.sort_by([("key", "ascending"), ("name", "ascending")])
-    return Model([x.values.to_numpy() for x in got.column("x")], got.column("name").to_pylist())
+    rows_of = zip(got.column("places"), got.column("counts"))
+    return Model(((p.values.to_numpy(), c.values.to_numpy()) for p, c in rows_of),
+                 got.column("name").to_pylist())
 
 
 def predictions(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
 from shelfline.llm.common import bounded_batches, table, text_slices, whole
@@ -168,6 +169,7 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     spark = df.sparkSession
     bounded_batches(spark)
     key_type, item_type = df.schema[key].dataType, benchmark.schema[item].dataType
+    item_arrow = to_arrow_type(item_type)
     schema = f"key {key_type.simpleString()}, item {item_type.simpleString()}, {SCHEMA}"
     rows = df.select(F.col(f"`{key}`").alias("key"), whole(text).alias("body")).where("body <> ''")
     out = None
@@ -188,7 +190,7 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                     names = ["doc_word", "item_word", "words"]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([m[0] for m in made])),
-                         pa.array([items.ids[m[1]] for m in made]),
+                         pa.array([items.ids[m[1]] for m in made], item_arrow),
                          pa.array([m[2] for m in made], pa.int32()),
                          pa.array([m[3] for m in made], pa.int32()),
                          pa.array([m[4] for m in made], pa.float64()),
