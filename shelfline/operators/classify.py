@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
 from shelfline.functions.text import leaf_of, let, level_of, path_parts
-from shelfline.session import BROADCAST_ROWS
+from shelfline.session import BROADCAST_BYTES, BROADCAST_ROWS
 
 _RUN = r"(?Ud)(\w+|\W+)"
 _WORD_START = r"(?Ud)^\w"
@@ -32,7 +32,6 @@ _WORD_START = r"(?Ud)^\w"
 _LENGTHS = 1 << 16
 _DEPTH_BIT = 40
 _LENGTH_BIT = 44
-NO_MATCH = _LENGTHS << _LENGTH_BIT
 
 FLAGS = ["phone_accessory", "controller", "camera_accessory", "main_camera", "pet_food",
          "pet_accessory"]
@@ -118,8 +117,7 @@ def _grams(folded: Column, shapes: list[tuple[bool, int]]) -> Column:
 
     Runs alternate, so the starts of one shape are every second run.  A stretch that begins with a
     non-word run has a boundary there only if a run precedes it, and one that ends with a non-word
-    run only if a run follows.  An empty gram is added; it meets the dictionary's empty entry and
-    keeps every title.
+    run only if a run follows.
     """
     def of_shape(runs: Column, word: bool, size: int) -> Column:
         leads = F.get(runs, F.lit(0)).rlike(_WORD_START)
@@ -133,28 +131,33 @@ def _grams(folded: Column, shapes: list[tuple[bool, int]]) -> Column:
             F.array().cast("array<string>"))
 
     return let(F.regexp_extract_all(folded, F.lit(_RUN), 1), lambda runs: F.array_distinct(
-        F.flatten(F.array(F.array(F.lit("")), *[of_shape(runs, w, n) for w, n in shapes]))))
+        F.flatten(F.array(*[of_shape(runs, w, n) for w, n in shapes]))))
 
 
 def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "title",
                      product_type: str = "product_type", path: str = "category_path") -> DataFrame:
     """Add the path of the longest matching keyword, or null.
 
-    Rows of ``titles`` must be distinct.  They keep their partitioning when they are already
-    clustered by some of their columns (a consolidated table is), so the aggregation back to one
-    row per title then needs no shuffle of its own.
+    Every row stays, equal rows included.  Each distinct (title, type) is matched once: only those
+    two and the accessory flags are laid out gram by gram, and the answer joins back to the rows.
     """
     entries = dictionary_entries(dictionary)
     # One pass over the dictionary settles the shapes of grams and whether it may be broadcast.
-    shapes, rows = entries.agg(F.collect_set(F.struct("starts_in_word", "n_runs")),
-                               F.count("*")).first()
+    shapes, rows, size, deepest = entries.agg(
+        F.collect_set(F.struct("starts_in_word", "n_runs")), F.count("*"),
+        F.sum(F.octet_length("keyword") + F.octet_length("path")),
+        F.max(F.size(F.split("path", " > ")))).first()
     if rows == 0:
         return titles.withColumn(path, F.lit(None).cast("string"))
-    sized = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
-    columns = titles.columns
+    if deepest > 1 << (_LENGTH_BIT - _DEPTH_BIT):
+        raise ValueError(f"a path of {deepest} levels is deeper than a packed match can say")
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    sized = F.broadcast if small else (lambda df: df)
+    kind = mapped_type(F.col(product_type))
     # Flags come before the grams: next to an explode they would be worked out per gram.
-    flagged = titles.withColumn("_folded", fold_title(F.col(title))).select(
-        *columns, "_folded", mapped_type(F.col(product_type)).alias("_type"),
+    flagged = titles.select(F.col(title).alias("_title"), kind.alias("_type")).distinct().withColumn(
+        "_folded", fold_title(F.col("_title"))).select(
+        "_title", "_type", "_folded",
         *[c.alias(n) for n, c in accessory_flags(F.col("_folded")).items()])
     opened = flagged.select(*[c for c in flagged.columns if c != "_folded"], F.explode(_grams(
         F.col("_folded"), sorted((s[0], s[1]) for s in shapes))).alias("_gram"))
@@ -162,25 +165,21 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     # Paths sharing a keyword and the same traits match the same titles, so only the best of them
     # is probed.
     traits = list(_path_traits(F.lit("")))
-    entry = F.struct("entry_type", "keyword", *traits, "rank")
-    # The empty entry rides along with every row and is left once by the grouping.
-    empty = F.struct(F.lit("").alias("entry_type"), F.lit("").alias("keyword"),
-                     *[F.lit(True).alias(t) for t in traits],
-                     F.lit(NO_MATCH).cast("bigint").alias("rank"))
-    probes = sized(entries.select(F.explode(F.array(entry, empty)).alias("_e")).select("_e.*")
-                   .groupBy("entry_type", "keyword", *traits).agg(F.min("rank").alias("rank")))
-    # The empty gram answers to the empty type, whatever the title's own type is.
-    is_empty = F.col("_gram") == ""
-    matched = opened.join(probes, (F.col("_gram") == F.col("keyword")) & (F.col("entry_type") == F.when(
-        is_empty, "").otherwise(F.col("_type"))) & (is_empty | _allowed()))
-    best = matched.groupBy(*columns, "_type").agg(F.min("rank").alias("_rank"))
+    probes = sized(entries.groupBy("entry_type", "keyword", *traits).agg(
+        F.min("rank").alias("rank")))
+    matched = opened.join(probes, (F.col("_gram") == F.col("keyword"))
+                          & (F.col("entry_type") == F.col("_type")) & _allowed())
+    position = F.col("_rank").bitwiseAND((1 << _DEPTH_BIT) - 1)
+    best = matched.groupBy("_title", "_type").agg(F.min("rank").alias("_rank")).select(
+        "_title", "_type", position.alias("_pos"))
 
     places = entries.select(F.col("entry_type").alias("_type"), F.col("pos").alias("_pos"),
                             F.col("path").alias(path)).distinct()
-    position = F.when(F.col("_rank") < NO_MATCH, F.col("_rank").bitwiseAND((1 << _DEPTH_BIT) - 1))
-    return (best.withColumn("_pos", position)
-            .join(sized(places), ["_type", "_pos"], "left")
-            .select(*columns, path))
+    named = best.join(sized(places), ["_type", "_pos"]).select("_title", "_type", path)
+    return (titles.withColumn("_kind", kind).alias("t")
+            .join(named.alias("b"), (F.col(f"t.{title}") == F.col("b._title"))
+                  & (F.col("t._kind") == F.col("b._type")), "left")
+            .select(*[F.col(f"t.`{c}`") for c in titles.columns], F.col(f"b.{path}")))
 
 
 def with_category_levels(titles: DataFrame, dictionary: DataFrame, title: str = "title",

@@ -13,6 +13,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from hashlib import blake2b
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from shelfline.session import shared_folder
 
 _FEED_FIELDS = list(FIELDS)
 _FILE = [("archive", pa.string()), ("file_seq", pa.int64()), ("file_name", pa.string())]
-_MEMBERS = pa.schema(_FILE + [("content", pa.binary())])
+_MEMBERS = pa.schema(_FILE + [("content", pa.binary()), ("member_error", pa.string())])
 _DECODED = pa.schema(_FILE + [("kind", pa.string()), ("row_seq", pa.int64()),
                               ("header", pa.list_(pa.string())), ("error", pa.string())]
                      + [(f, pa.string()) for f in _FEED_FIELDS])
@@ -59,13 +60,23 @@ def feed_members(names: list[str]) -> list[tuple[str, str]]:
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
-    """One row per feed file, its bytes included; an empty archive gives one row without a name."""
+    """One row per feed file, its bytes included; an empty archive gives one row without a name.
+
+    A member that cannot be read (a wrong checksum, encryption, an unknown method) gives its row
+    with ``member_error`` and no bytes; the members after it are read as ever.
+    """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(archive, place, name, content):
+        def one(archive, place, name, content, error=None):
             return pa.RecordBatch.from_pylist([{
-                "archive": archive, "file_seq": place, "file_name": name, "content": content}],
-                _MEMBERS)
+                "archive": archive, "file_seq": place, "file_name": name, "content": content,
+                "member_error": error}], _MEMBERS)
+
+        def read(opened, member):
+            try:
+                return opened.read(member), None
+            except Exception as failure:
+                return b"", str(failure)[:200] or type(failure).__name__
 
         for batch in batches:
             for archive, content in zip(batch["archive"].to_pylist(), batch["content"]):
@@ -74,7 +85,7 @@ def archive_members(archives: DataFrame) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content.as_py())) as opened:
                         held = feed_members(opened.namelist())
                         for place, (base, member) in enumerate(held):
-                            yield one(archive, place, base, opened.read(member))
+                            yield one(archive, place, base, *read(opened, member))
                 except zipfile.BadZipFile:
                     # One broken upload is an issue of its own, not the end of the job.
                     pass
@@ -103,44 +114,59 @@ def _records(text: str, delimiter: str, skip: int) -> list[list[str]]:
     return [r for r in csv.reader(lines, delimiter=delimiter) if any(c.strip() for c in r)]
 
 
-def _score(records: list[list[str]]) -> int:
+def _score(text: str, delimiter: str, skip: int) -> int:
     """Worth of one reading: expected columns, then columns, then rows; 0 if it is no table.
 
-    A record longer than the header is no table either.
+    A record longer than the header is no table either.  Records are counted as they are read, and
+    reading ends with the first that rules the table out.
     """
-    if len(records) < 2 or len(records[0]) < 2:
-        return 0
-    width = len(records[0])
-    if any(len(r) > width for r in records):
+    csv.field_size_limit(2 ** 31 - 1)
+    lines = io.StringIO(text, newline="")
+    for _ in range(skip):
+        lines.readline()
+    header, rows = None, 0
+    for record in csv.reader(lines, delimiter=delimiter):
+        if not any(c.strip() for c in record):
+            continue
+        if header is None:
+            header = record
+            if len(header) < 2:
+                return 0
+        elif len(record) > len(header):
+            return 0
+        else:
+            rows += 1
+    if not rows:
         return 0
-    names = {scrub_cell(h).lower() for h in records[0]}
+    names = {scrub_cell(h).lower() for h in header}
     known = sum(e in names or e + "." in names for e in fv.CSV_EXPECTED_COLUMNS)
-    return fv.CSV_MATCH_WEIGHT * known + fv.CSV_COLUMN_WEIGHT * width + len(records) - 1
+    return fv.CSV_MATCH_WEIGHT * known + fv.CSV_COLUMN_WEIGHT * len(header) + rows
 
 
 def sniff_csv(content: bytes) -> tuple[str, str, int] | None:
     """Encoding, delimiter and lines to skip of the best reading; the earlier one of equals.
 
     NUL characters go before parsing, so two encodings that agree on everything else read alike
-    and the text of an encoding already tried is not parsed again.
+    and the text of an encoding already tried is not parsed again.  One decoded text is held at a
+    time; of those tried only a digest is kept.
     """
     best, chosen, tried = 0, None, set()
     for encoding in fv.CSV_ENCODINGS:
         try:
-            text = content.decode(encoding).replace("\x00", "")
+            bare = content.decode(encoding).replace("\x00", "").lstrip("﻿")
         except (UnicodeDecodeError, UnicodeError):
             continue
-        bare = text.lstrip("﻿")
-        if bare in tried:
+        digest = blake2b(bare.encode("utf-8", "surrogatepass")).digest()
+        if digest in tried:
             continue
-        tried.add(bare)
+        tried.add(digest)
         for delimiter in fv.CSV_DELIMITERS:
             # Without the delimiter no line has two columns.
             if delimiter not in bare:
                 continue
             for skip in fv.CSV_SKIP_ROWS:
                 try:
-                    score = _score(_records(bare, delimiter, skip))
+                    score = _score(bare, delimiter, skip)
                 except csv.Error:
                     continue
                 if score > best:
@@ -217,17 +243,20 @@ def _cell_text(cell, shared: list[str]) -> str:
 
 def decode_members(members: DataFrame) -> DataFrame:
     """Rows of every readable member (kind ``row``) and one ``file`` row per member."""
+    if "member_error" not in members.columns:
+        members = members.withColumn("member_error", F.lit(None).cast("string"))
     typed = members.withColumn("extension", parse_file_name(F.col("file_name"))["extension"])
 
     empty = frozenset(fv.EMPTY_CELLS)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = batch.select(["archive", "file_seq", "file_name", "extension"]).to_pylist()
+            heads = batch.select(["archive", "file_seq", "file_name", "extension",
+                                  "member_error"]).to_pylist()
             for head, content in zip(heads, batch["content"]):
                 extension = head.pop("extension")
-                header, rows, error = [], [], None
-                if extension in ("csv", "xlsx"):
+                header, rows, error = [], [], head.pop("member_error")
+                if error is None and extension in ("csv", "xlsx"):
                     try:
                         read = csv_table if extension == "csv" else xlsx_table
                         table = read(content.as_py())
@@ -258,13 +287,14 @@ def ingest_archives(spark: SparkSession, path: str, tasks: int | None = None,
                     store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Archives below ``path`` to (feed, issues).
 
-    ``tasks`` is the number of tasks members are spread over.  ``store`` is where the decoded rows
-    are written; a new folder under the cluster's shared folder if not given.
+    ``tasks`` is the number of tasks members are spread over; by default the session's shuffle
+    partitions, put together by size.  ``store`` is where the decoded rows are written; a new folder
+    under the cluster's shared folder if not given.
     """
     store = store or f"{shared_folder(spark)}/decoded-{uuid.uuid4().hex}"
     members = archive_members(read_archives(spark, path))
-    spread = members.repartition(tasks or spark.sparkContext.defaultParallelism * 3,
-                                 "archive", "file_seq")
+    place = ["archive", "file_seq"]
+    spread = members.repartition(tasks, *place) if tasks else members.repartition(*place)
     decode_members(spread).write.partitionBy("kind").parquet(store)
     return split_decoded(spark, store)
 
@@ -297,7 +327,3 @@ def split_decoded(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame
         F.col("archive").alias("feed_id"), "month", "year", "file_seq", "row_seq", *_FEED_FIELDS)
     return feed, issues
 
-
-def read_feed_csv(spark: SparkSession, path: str, encoding: str, delimiter: str) -> DataFrame:
-    """A loose, very large CSV whose dialect is known: Spark splits it over tasks, all text."""
-    return spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, multiLine=False)
