@@ -42,13 +42,17 @@ def review_item(number: Column, title: Column, brand: Column, category: Column)
         F.concat(F.lit("   Assigned Category: "), category))
 
 
-def category_list(categories: Column) -> Column:
-    """The category line of a request: a long list shows its first entries and its size."""
+def category_list(categories: Column, limit: int = fv.CATEGORY_LIST_LIMIT,
+                  shown_first: int = fv.CATEGORY_LIST_SHOWN) -> Column:
+    """The category line of a request.
+
+    A list of more than ``limit`` entries shows the first ``shown_first`` and its size.
+    """
     shown = F.concat(F.lit("Available categories ("), F.size(categories).cast("string"),
                      F.lit(" total): "),
-                     F.array_join(F.slice(categories, 1, fv.CATEGORY_LIST_SHOWN), ", "),
+                     F.array_join(F.slice(categories, 1, shown_first), ", "),
                      F.lit("... and more"))
-    return F.when(F.size(categories) > fv.CATEGORY_LIST_LIMIT, shown).otherwise(
+    return F.when(F.size(categories) > limit, shown).otherwise(
         F.concat(F.lit("Available categories: "), F.array_join(categories, ", ")))
 
 
@@ -71,14 +75,18 @@ def braces(reply: Column) -> Column:
 
 
 def id_values(text: Column, loose: bool = False) -> Column:
-    """``map<id, value>`` from a JSON object; ``loose`` falls back to its "digits": "text" pairs."""
-    strict = F.from_json(text, "map<string,string>")
+    """``map<id, value>`` from a JSON object; ``loose`` falls back to its "digits": "text" pairs.
+
+    A repeated id keeps its last value either way.
+    """
+    read = F.map_entries(F.from_json(text, "map<string,string>"))
+    strict = F.map_from_entries(let(read, lambda es: F.filter(es, lambda e, i: ~F.exists(
+        F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]))))
     if not loose:
         return strict
     pairs = F.regexp_extract_all(text, F.lit(r'("\d+"\s*:\s*"[^"]*")'), 1)
     key = lambda p: F.regexp_extract(p, r'^"(\d+)"', 1)
     value = lambda p: F.trim(F.regexp_extract(p, r':\s*"([^"]*)"$', 1))
-    # A repeated id keeps its last value.
     last = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(
         F.slice(ps, i + 2, F.size(ps)), lambda q: key(q) == key(p))))
     found = F.map_from_entries(F.transform(last, lambda p: F.struct(key(p), value(p))))

@@ -5,7 +5,10 @@ The model itself is the caller's ``Callable[[list[str]], list[str]]``: requests
 
 from __future__ import annotations
 
+import json
+import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,16 +23,21 @@ _SPAN_BITS = 12
 
 
 def with_ordinal(df: DataFrame, row_id: str = "row_id", into: str = "ordinal",
-                 levels: int = 3) -> DataFrame:
+                 levels: int = 5) -> DataFrame:
     """Number the rows 0, 1, 2, ... in ``row_id`` order (unique, not negative).
 
+    A null or negative id is an error when the plan runs.
+
     Ids fall into spans of 4096.  A row's number is its place in its span plus the rows of all
     earlier spans, and the counts of spans are summed the same way one level up, so no window ever
-    holds more than 4096 rows of the data.  The last level counts spans of 2**36 ids each: one row
-    per 68 billion ids.  The rows are shuffled once, by span; no sort of the whole, no sampling.
+    holds more than 4096 rows, whether the ids are dense or hashed.  The last level counts spans of
+    2**60 ids each: eight rows at most.  The rows are shuffled once, by span; no sort of the whole, no sampling.
     """
     span = lambda level: F.shiftright(F.col(row_id), _SPAN_BITS * level)
-    keyed = df.withColumn("_s1", span(1))
+    bad = F.col(row_id).isNull() | (F.col(row_id) < 0)
+    keyed = df.withColumn(row_id, F.when(bad, F.raise_error(F.lit(
+        f"{row_id} must be neither null nor negative"))).otherwise(F.col(row_id))).withColumn(
+        "_s1", span(1))
     counts = keyed.groupBy("_s1").agg(F.count("*").alias("_n"))
 
     def before(counted: DataFrame, level: int) -> DataFrame:
@@ -69,30 +77,54 @@ def assemble(df: DataFrame, item: Column, size: int, row_id: str = "row_id",
 
 def quota_error(error: Exception) -> bool:
     text = str(error).lower()
-    return "429" in text or "quota" in text
+    return "429" in text or "quota" in text or "resource" in text
+
+
+def holds_object(reply: str) -> bool:
+    """Does a reply hold a JSON object between its first and last brace."""
+    try:
+        return isinstance(json.loads(reply[reply.index("{"):reply.rindex("}") + 1]), dict)
+    except ValueError:
+        return False
+
+
+def holds_pairs(reply: str) -> bool:
+    """Does a reply hold at least one pair of an id and a text, whole object or not."""
+    return holds_object(reply) or re.search(r'"\d+"\s*:\s*"', reply) is not None
 
 
 def call_model(batches: DataFrame, model: Callable[[list[str]], list[str]],
                request: str = "request", reply: str = "reply", error: str = "call_error",
                attempts: int = fv.MAX_ATTEMPTS, pause: float = 1.0,
-               parallelism: int | None = None) -> DataFrame:
+               parallelism: int | None = None, readable: Callable[[str], bool] | None = None,
+               store: str | None = None) -> DataFrame:
     """Add the model's reply to each row, or the error of its last attempt.
 
     Rows go out one request at a time per task, so ``parallelism`` tasks are the number of calls
-    under way at once.  Only quota errors and empty replies are tried again, after a growing pause.
+    under way at once.  Quota and resource errors, empty replies and, where ``readable`` is given,
+    replies it refuses are tried again, after a growing pause; the last unreadable reply stands.
+
+    The answers are a plan: each action asks again.  With ``store``, a folder that all executors
+    reach, the requests it has no reply to are asked once and written there, and the result reads
+    what is written; a later call with the same folder asks only what is missing.
     """
+    if store:
+        return _stored(batches, model, store, request, reply, error, attempts=attempts, pause=pause,
+                       parallelism=parallelism, readable=readable)
     if parallelism:
         batches = batches.repartition(parallelism)
     schema = T.StructType(batches.schema.fields + [
         T.StructField(reply, T.StringType()), T.StructField(error, T.StringType())])
 
     def ask(text: str) -> tuple[str | None, str | None]:
-        problem = "empty reply"
+        problem, last = "empty reply", None
         for attempt in range(attempts):
             try:
                 answer = model([text])[0]
                 if answer:
-                    return answer, None
+                    last = answer
+                    if readable is None or readable(answer):
+                        return answer, None
                 problem = "empty reply"
             except Exception as failure:
                 problem = str(failure)[:150]
@@ -100,7 +132,7 @@ def call_model(batches: DataFrame, model: Callable[[list[str]], list[str]],
                     break
             if attempt + 1 < attempts:
                 time.sleep(pause * (attempt + 1))
-        return None, problem
+        return (last, None) if last else (None, problem)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -112,6 +144,27 @@ def call_model(batches: DataFrame, model: Callable[[list[str]], list[str]],
     return batches.mapInPandas(run, schema)
 
 
+def _stored(batches: DataFrame, model, store: str, request: str, reply: str, error: str, **call
+            ) -> DataFrame:
+    """Replies by request from a folder, after asking for those it lacks."""
+    spark = batches.sparkSession
+    schema = f"`{request}` string, `{reply}` string, `{error}` string"
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
+    else:
+        known = spark.createDataFrame([], schema)
+    todo = batches.select(request).distinct().join(
+        known.where(F.col(reply).isNotNull()).select(request), request, "left_anti")
+    call_model(todo, model, request, reply, error, **call).write.parquet(
+        f"{store}/run-{uuid.uuid4().hex}")
+    answers = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
+    # A reply goes before an error of an earlier run.
+    single = answers.groupBy(request).agg(F.min(reply).alias(reply), F.max(error).alias(error))
+    return batches.join(single.withColumn(error, F.when(F.col(reply).isNull(), F.col(error))),
+                        request, "left").select(*batches.columns, reply, error)
+
+
 def apply_answers(df: DataFrame, answers: DataFrame, column: str, row_id: str = "row_id"
                   ) -> DataFrame:
     """Overwrite ``column`` where there is an answer (``row_id, answer``); keep it elsewhere.

@@ -34,9 +34,15 @@ def partial_ratio(a: str, b: str) -> float:
     """Best match of the shorter text with any stretch of the longer, 0 to 100.
 
     Stretches are as long as the shorter text; at either end of the longer text they may be
-    shorter.  A stretch scores twice the common subsequence over both lengths.
+    shorter.  A stretch scores twice the common subsequence over both lengths.  Texts of one length
+    are tried both ways.
     """
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) == len(b):
+        return max(_directed_ratio(a, b), _directed_ratio(b, a))
+    return _directed_ratio(a, b) if len(a) < len(b) else _directed_ratio(b, a)
+
+
+def _directed_ratio(short: str, long: str) -> float:
     width = len(short)
     if not width:
         return 100.0 if not long else 0.0
@@ -90,7 +96,7 @@ class LeafMasks:
         out = [0.0] * len(leaves)
         by_width: dict[int, list[int]] = {}
         for i, leaf in enumerate(leaves):
-            if len(leaf) > len(text) or leaf in text or self.row(leaf) is None:
+            if len(leaf) >= len(text) or leaf in text or self.row(leaf) is None:
                 out[i] = partial_ratio(leaf, text)
             else:
                 by_width.setdefault(len(leaf), []).append(i)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
-from shelfline.operators.consolidate import VOLUME_COLUMNS
+from shelfline.sources.columns import volume_columns
 
 
 def _one_per_title(side: DataFrame, title: str, order: str | None) -> DataFrame:
@@ -43,8 +43,11 @@ def additive_merge(catalog: DataFrame, upload: DataFrame, title: str = "title",
 
 
 def volumes_long(wide: DataFrame, ids: list[str]) -> DataFrame:
-    """"Mon YYYY" columns to ``ids, year, month, volume``; blank volumes are left out."""
-    present = [c for c in VOLUME_COLUMNS if c in wide.columns]
+    """Every "Mon YYYY" column to ``ids, year, month, volume``; blank volumes are left out."""
+    present = volume_columns(wide.columns)["monthly"]
+    if not present:
+        return wide.select(*ids).limit(0).select(
+            *ids, F.lit(0).alias("year"), F.lit("").alias("month"), F.lit(0.0).alias("volume"))
     cells = F.array(*[F.struct(F.lit(int(c[-4:])).alias("year"), F.lit(c[:3]).alias("month"),
                                F.col(f"`{c}`").try_cast("double").alias("volume"))
                       for c in present])
@@ -52,8 +55,14 @@ def volumes_long(wide: DataFrame, ids: list[str]) -> DataFrame:
             .filter("volume is not null"))
 
 
-def volumes_wide(long: DataFrame, ids: list[str]) -> DataFrame:
-    """The 36 month columns of a report; one aggregation, the columns known ahead."""
+def volumes_wide(long: DataFrame, ids: list[str], years: list[int] | None = None) -> DataFrame:
+    """Month columns of the given years, by default of all years there are; one aggregation.
+
+    Finding the years is a small job of its own; a report asks for ``fixed_values.VOLUME_YEARS``.
+    """
+    if years is None:
+        years = sorted(r[0] for r in long.select("year").where("year is not null").distinct()
+                       .collect())
     cell = lambda m, y: F.sum(F.when((F.col("month") == m) & (F.col("year") == y),
                                      F.col("volume"))).alias(f"{m} {y}")
-    return long.groupBy(*ids).agg(*[cell(m, y) for y in fv.VOLUME_YEARS for m in fv.MONTHS])
+    return long.groupBy(*ids).agg(*[cell(m, y) for y in years for m in fv.MONTHS])

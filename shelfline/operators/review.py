@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shelfline.functions import fixed_values as fv
 from shelfline.functions import replies as rp
 from shelfline.functions.text import leaf_of, normalize_title
-from shelfline.operators.batches import apply_answers, assemble, call_model
+from shelfline.operators.batches import (apply_answers, assemble, call_model, holds_object,
+                                          holds_pairs)
 from shelfline.operators.keywords import entity_keyword
 
 
@@ -32,6 +33,7 @@ def request_text(items: Column, head: str = "") -> Column:
 def batch_answers(batches: DataFrame, model, head: str = "", known_ids_only: bool = True,
                   loose: bool = False, **call) -> DataFrame:
     """Ask once per batch; one row per answered id: ``row_id, answer``."""
+    call.setdefault("readable", holds_pairs if loose else holds_object)
     asked = call_model(batches.withColumn("request", request_text(F.col("items"), head)),
                        model, **call)
     return parse_answers(asked, known_ids_only, loose)
@@ -97,9 +99,15 @@ def entity_keywords(df: DataFrame, model, **call) -> DataFrame:
     asked = call_model(df.withColumn("request", normalize_title(F.col("title"))), model, **call)
     fields = rp.entity_struct(F.coalesce("reply", F.lit("")))
     staged = asked.withColumn("_e", fields).select(*df.columns, "call_error", "_e.*")
+    if "keyword" in df.columns:
+        staged = staged.withColumnRenamed("keyword", "_keyword")
     picked = entity_keyword(staged)
-    return picked.select(*[c for c in df.columns if c != "keyword"], "keyword", F.coalesce(
-        "call_error", "keyword_error").alias("keyword_error"))
+    # Only a keyword that was found replaces the one there is.
+    found = F.nullif(F.col("keyword"), F.lit(""))
+    kept = F.coalesce(found, "_keyword", F.lit("")) if "keyword" in df.columns else F.coalesce(
+        found, F.lit(""))
+    return picked.select(*[F.col(c) for c in df.columns if c != "keyword"], kept.alias("keyword"),
+                         F.coalesce("call_error", "keyword_error").alias("keyword_error"))
 
 
 # --- category review ----------------------------------------------------------------------------

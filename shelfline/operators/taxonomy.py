@@ -128,13 +128,18 @@ def taxonomy_keywords(path: Column) -> Column:
 def parse_text_taxonomy(lines: DataFrame, types=None) -> DataFrame:
     """``ID - A > B > C`` lines (column ``value``) to type, path and place; the rest is skipped.
 
-    ``line_no`` orders the paths of a type; without one the path's own order is used.
+    With a ``line_no`` the paths of a type are numbered in its order from 0 in ``pos``.
     """
     text = strip_space(F.col("value"))
     pairs = [(top, kind) for top, kind in (types or fv.TOP_LEVEL_TYPES).items()]
     tops = lines.sparkSession.createDataFrame(pairs, "top string, product_type string")
     path = strip_space(F.element_at(F.split(text, " - ", 2), 2))
     keep = (text != "") & ~text.startswith("#") & text.contains(" - ")
-    return (lines.filter(keep).select(path.alias("path"))
-            .withColumn("top", F.element_at(F.split("path", " > "), 1))
-            .join(F.broadcast(tops), "top").select("product_type", "path"))
+    order = ["line_no"] if "line_no" in lines.columns else []
+    found = (lines.filter(keep).select(path.alias("path"), *order)
+             .withColumn("top", F.element_at(F.split("path", " > "), 1))
+             .join(F.broadcast(tops), "top").select("product_type", "path", *order))
+    if not order:
+        return found
+    place = F.row_number().over(W.partitionBy("product_type").orderBy("line_no")) - 1
+    return found.select("product_type", "path", place.alias("pos"))

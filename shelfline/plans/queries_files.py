@@ -153,8 +153,8 @@ def _(spark, sf):
 
 # --- volumes ------------------------------------------------------------------------------------
 
-# A part's search volume in a month: what was kept of it, 28 years on.
-VOLUMES = """l_partkey as row_id, cast(year(l_shipdate) as int) + 28 as year,
+# A part's search volume in a month: what was kept of it.
+VOLUMES = """l_partkey as row_id, cast(year(l_shipdate) as int) as year,
  substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * cast(month(l_shipdate) as int) - 2, 3) as month,
  case when l_returnflag = 'N' then l_quantity else 0.0e0 end as volume"""
 _VOLUMES = f"""volumes as (select row_id, year, month, sum(volume) as volume from (
@@ -182,15 +182,18 @@ def _(spark, sf):
     return mt.peak_seasonality(_volumes(spark, sf), ["row_id"])
 
 
+# Every year of the table.
+VOLUME_YEARS = list(range(1995, 2002))
+
+
 @query("volumes_wide", f"""with {_VOLUMES} select row_id, {', '.join(
     f'''sum(volume) filter (where month = '{c[:3]}' and year = {c[-4:]}) as "{c}"'''
-    for c in co.VOLUME_COLUMNS)} from volumes group by all""")
+    for c in [f"{m} {y}" for y in VOLUME_YEARS for m in fv.MONTHS])} from volumes group by all""")
 def _(spark, sf):
-    return me.volumes_wide(_volumes(spark, sf), ["row_id"])
+    return me.volumes_wide(_volumes(spark, sf), ["row_id"], VOLUME_YEARS)
 
 
-@query("volumes_long", f"""with {_VOLUMES} select row_id, year, month, volume from volumes
- where year between 2023 and 2025""")
+@query("volumes_long", f"""with {_VOLUMES} select row_id, year, month, volume from volumes""")
 def _(spark, sf):
     wide = me.volumes_wide(_volumes(spark, sf), ["row_id"])
     return me.volumes_long(wide, ["row_id"])

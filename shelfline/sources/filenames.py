@@ -54,11 +54,6 @@ def month_number(month: Column) -> Column:
     return F.coalesce(F.array_position(literals(fv.MONTHS), month), F.lit(0)).cast("int")
 
 
-def month_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [(m, i + 1) for i, m in enumerate(fv.MONTHS)], "month string, month_no int")
-
-
 def file_status(files: DataFrame, archive: str = "archive", order: str = "file_seq") -> DataFrame:
     """Add ``accepted`` and ``issue`` to ``archive, file_seq, file_name, month, error`` rows.
 

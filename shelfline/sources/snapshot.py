@@ -2,47 +2,68 @@
 
 from __future__ import annotations
 
-import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.operators.metrics import catalog_stats
 from shelfline.operators.taxonomy import parse_text_taxonomy
 from shelfline.sources.columns import first_of_each_column, rename_date_columns, trimmed_columns
 
 
-def _file_names(columns: list[str]) -> dict[str, str]:
-    """Column names with the characters a parquet file refuses replaced; reversible by place."""
-    return {c: re.sub(r"[ ,;{}()\n\t=]", "_", c) for c in columns}
+def _files(spark: SparkSession, folder: str):
+    """(Hadoop file system, path) of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Whole versions of a snapshot, oldest first; one that was not finished does not count."""
+    system, path = _files(spark, folder)
+    if not system.exists(path):
+        return []
+    names = sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory())
+    done = [f"{folder}/{n}" for n in names if n.startswith("version-")]
+    return [d for d in done if system.exists(spark._jvm.org.apache.hadoop.fs.Path(
+        f"{d}/meta/_SUCCESS"))]
 
 
 def save_snapshot(catalog: DataFrame, folder: str, **meta: str) -> None:
-    """Write the catalogue and one row about it."""
+    """Write the catalogue and one row about it as a new version, then drop the versions before it.
+
+    The facts are written last, so a version either counts as a whole or not at all.
+    """
+    spark = catalog.sparkSession
     table = first_of_each_column(catalog)
-    names = _file_names(table.columns)
-    table.toDF(*names.values()).write.mode("overwrite").parquet(f"{folder}/catalog")
+    before = _versions(spark, folder)
+    version = f"{folder}/version-{time.time_ns():020d}"
+    table.write.parquet(f"{version}/catalog")
     facts = [(k, str(v)) for k, v in meta.items()] + [
         (f"column:{i:04d}", c) for i, c in enumerate(table.columns)]
-    table.sparkSession.createDataFrame(facts, "key string, value string").coalesce(1).write.mode(
-        "overwrite").parquet(f"{folder}/meta")
+    spark.createDataFrame(facts, "key string, value string").coalesce(1).write.parquet(
+        f"{version}/meta")
+    for old in before:
+        clear_snapshot(spark, old)
 
 
 def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]] | None:
-    """The saved catalogue and its facts; None unless both parts are there and readable."""
-    try:
-        facts = {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/meta").collect()}
-        table = spark.read.parquet(f"{folder}/catalog")
-    except Exception:
+    """The last saved catalogue and its facts; None if nothing was saved.
+
+    Faults of the storage are raised: they do not mean that nothing was saved.
+    """
+    found = _versions(spark, folder)
+    if not found:
         return None
+    facts = {r["key"]: r["value"] for r in spark.read.parquet(f"{found[-1]}/meta").collect()}
+    table = spark.read.parquet(f"{found[-1]}/catalog")
     columns = [facts[k] for k in sorted(facts) if k.startswith("column:")]
     return table.toDF(*columns), {k: v for k, v in facts.items() if not k.startswith("column:")}
 
 
 def clear_snapshot(spark: SparkSession, folder: str) -> bool:
     """Remove a saved catalogue through the file system it lies on."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = _files(spark, folder)
+    return system.delete(path, True)
 
 
 def write_report(report: DataFrame, path: str, form: str = "csv") -> None:
@@ -51,7 +72,7 @@ def write_report(report: DataFrame, path: str, form: str = "csv") -> None:
     if form == "csv":
         writer.option("header", True).csv(path)
     else:
-        report.toDF(*_file_names(report.columns).values()).write.mode("overwrite").parquet(path)
+        writer.parquet(path)
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -89,26 +110,34 @@ def read_taxonomy_workbooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_taxonomy(spark: SparkSession, path: str, types=None) -> DataFrame:
-    return parse_text_taxonomy(spark.read.text(path), types)
+    """A text taxonomy file, its paths in the order of its lines."""
+    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    return parse_text_taxonomy(lines, types)
 
 
-def read_side_file(spark: SparkSession, path: str) -> DataFrame:
-    """A keyword or volume upload: trimmed headers, dates as "Mon YYYY", all text."""
-    raw = spark.read.csv(path, header=True)
-    return first_of_each_column(rename_date_columns(trimmed_columns(raw)))
+def _workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook, its first row the header, all text."""
+    import pyarrow as pa
 
+    from shelfline.sources.archive import xlsx_table
 
-def volume_columns(columns: list[str]) -> dict[str, list[str]]:
-    """Which columns of a side file carry volumes: monthly ones, the average, the peak."""
-    monthly = [c for c in columns if re.fullmatch(
-        r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4}", c)]
-    lower = {c: c.lower() for c in columns}
-    return {"monthly": monthly,
-            "average": [c for c in columns if "avg" in lower[c] and (
-                "msv" in lower[c] or "volume" in lower[c])],
-            "peak": [c for c in columns if lower[c] == "peak seasonality"]}
+    def rows(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                table = xlsx_table(content.as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(table)), pa.int64()), pa.array(table, pa.list_(pa.string()))],
+                    names=["row_no", "cells"])
 
+    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(
+        rows, "row_no long, cells array<string>")
+    header = cells.where("row_no = 0").first()["cells"]
+    return cells.where("row_no > 0").select(*[
+        F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(header)])
 
-def snapshot_stats(catalog: DataFrame, category: str = "Product Category L3",
-                   keyword: str = "Product Keyword") -> DataFrame:
-    return catalog_stats(catalog, f"`{category}`", f"`{keyword}`")
+
+def read_side_file(spark: SparkSession, path: str) -> DataFrame:
+    """A keyword or volume upload, CSV or XLSX: trimmed headers, dates as "Mon YYYY", all text."""
+    raw = (_workbook(spark, path) if path.lower().endswith(".xlsx")
+           else spark.read.csv(path, header=True))
+    return first_of_each_column(rename_date_columns(trimmed_columns(raw)))

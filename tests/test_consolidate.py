@@ -82,8 +82,11 @@ def test_report_has_59_columns_in_order(spark, tables):
 
 
 def test_consolidation_shuffles_the_feed_once(spark, tables):
-    report = consolidate(views.monthly_feed(spark, tables), views.dictionary(spark, tables), "BWS")
-    plan = report._jdf.queryExecution().executedPlan().toString()
+    feed = views.monthly_feed(spark, tables)
+    plan = co.product_records(feed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(feed_id") == 1
-    for node in ("NestedLoopJoin", "CartesianProduct", "Python", "SortMergeJoin"):
-        assert node not in plan
+    report = consolidate(feed, views.dictionary(spark, tables), "BWS")
+    rest = report._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in rest  # the feed is not read again
+    for node in ("NestedLoopJoin", "CartesianProduct", "Python"):
+        assert node not in plan and node not in rest

@@ -159,7 +159,7 @@ def test_report_and_side_files(spark, tmp_path):
     (tmp_path / "side.csv").write_text(
         "Product Title , Product Keyword,Product Keyword Avg MSV,2023-02-01 00:00:00,Peak Seasonality\nGin,dry gin,10,4,Feb\n")
     side = sn.read_side_file(spark, str(tmp_path / "side.csv"))
-    assert sn.volume_columns(side.columns) == {
+    assert sc.volume_columns(side.columns) == {
         "monthly": ["Feb 2023"], "average": ["Product Keyword Avg MSV"], "peak": ["Peak Seasonality"]}
 
 
