@@ -86,6 +86,19 @@ def test_archives_to_feed_and_issues(spark, archives, tmp_path):
     assert master["red wine"].title == "Red Wine" and master["red wine"].brand == "Acme"
 
 
+def test_a_damaged_member_does_not_take_others_with_it(spark, tmp_path):
+    rows = f"{HEADER}\nAle,B,in,1,2\n"
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        for month in ("Jan", "Feb", "Mar", "Dec"):
+            z.writestr(f"{month}-2025.csv", rows.replace("Ale", f"Ale {month}"))
+    data = (tmp_path / "f.zip").read_bytes()
+    (tmp_path / "f.zip").write_bytes(data.replace(b"Ale Feb", b"Ale Fxb", 1))
+    feed, issues = ar.ingest_archives(spark, str(tmp_path), store=str(tmp_path / "store"))
+    assert {r.month for r in feed.collect()} == {"Jan", "Mar", "Dec"}
+    (issue,) = issues.collect()
+    assert issue.file_name == "Feb-2025.csv" and issue.issue.startswith("Error reading Feb-2025.csv")
+
+
 @pytest.mark.parametrize("encoding", ["utf-16", "utf-8", "utf-8-sig", "utf-16-le", "utf-16-be", "latin-1"])
 @pytest.mark.parametrize("delimiter", [",", ";", "\t", "|"])
 def test_sniffing(encoding, delimiter):
