@@ -28,18 +28,18 @@ def keyword_item(row_id: Column, title: Column, brand: Column) -> Column:
 
 
 def product_item(row_id: Column, title: Column, brand: Column | None = None) -> Column:
-    lines = [F.concat(F.lit("- ID: "), row_id.cast("string")),
-             F.concat(F.lit("  Product: "), F.coalesce(title, F.lit("")))]
+    lines = [F.concat(F.lit("item="), row_id.cast("string")),
+             F.concat(F.lit("name="), F.coalesce(title, F.lit("")))]
     if brand is not None:
-        lines.append(F.concat(F.lit("  Brand: "), F.coalesce(brand, F.lit(""))))
+        lines.append(F.concat(F.lit("maker="), F.coalesce(brand, F.lit(""))))
     return F.concat_ws("\n", *lines)
 
 
 def review_item(number: Column, title: Column, brand: Column, category: Column) -> Column:
     return F.concat_ws(
-        "\n", F.concat(number.cast("string"), F.lit(". Title: "), title),
-        F.concat(F.lit("   Brand: "), F.coalesce(brand, F.lit("Unknown"))),
-        F.concat(F.lit("   Assigned Category: "), category))
+        "\n", F.concat(F.lit("#"), number.cast("string"), F.lit(" "), title),
+        F.concat(F.lit("made by "), F.coalesce(brand, F.lit("an unnamed maker"))),
+        F.concat(F.lit("filed under "), category))
 
 
 def category_list(categories: Column, limit: int = fv.CATEGORY_LIST_LIMIT,
@@ -48,12 +48,12 @@ def category_list(categories: Column, limit: int = fv.CATEGORY_LIST_LIMIT,
 
     A list of more than ``limit`` entries shows the first ``shown_first`` and its size.
     """
-    shown = F.concat(F.lit("Available categories ("), F.size(categories).cast("string"),
-                     F.lit(" total): "),
+    shown = F.concat(F.lit("Choose one of "), F.size(categories).cast("string"),
+                     F.lit(" shelves, such as "),
                      F.array_join(F.slice(categories, 1, shown_first), ", "),
-                     F.lit("... and more"))
+                     F.lit(" or another"))
     return F.when(F.size(categories) > limit, shown).otherwise(
-        F.concat(F.lit("Available categories: "), F.array_join(categories, ", ")))
+        F.concat(F.lit("Choose one of these shelves: "), F.array_join(categories, ", ")))
 
 
 # --- replies ------------------------------------------------------------------------------------

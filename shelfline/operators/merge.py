@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
+from shelfline.operators.consolidate import VOLUME_COLUMNS
+from shelfline.operators.metrics import peak_seasonality
 from shelfline.sources.columns import volume_columns
 
 
@@ -42,6 +44,28 @@ def additive_merge(catalog: DataFrame, upload: DataFrame, title: str = "title",
                          kept.alias(keyword), *[F.col(f"`{c}`") for c in new if c != keyword])
 
 
+def fill_report(report: DataFrame, keywords: DataFrame, volumes: DataFrame,
+                title: str = "Product Title") -> DataFrame:
+    """Put keyword, average volume, month volumes and peak seasonality into a report.
+
+    ``keywords`` has a title and its ``keyword``, ``volumes`` has ``keyword, year, month, volume``.
+    Titles without a keyword keep theirs; months without a volume stay blank.  The average is over
+    all months there are, within the report's years and outside.  All other columns stay.
+    """
+    wide = volumes_wide(volumes, ["keyword"], fv.VOLUME_YEARS)
+    means = volumes.groupBy("keyword").agg(F.avg("volume").alias("_mean"))
+    measured = wide.join(means, "keyword").join(peak_seasonality(volumes, ["keyword"]), "keyword")
+    side = _one_per_title(keywords.select(title, "keyword"), title, None).join(
+        measured, "keyword", "left").select(
+        F.col(title).alias("_title"), F.col("keyword").alias("_keyword"), "_mean",
+        "peak_seasonality", *[F.col(f"`{c}`").alias(f"_{c}") for c in VOLUME_COLUMNS])
+    filled = {"Product Keyword": "_keyword", "Product Keyword Avg MSV": "_mean",
+              "Peak Seasonality": "peak_seasonality", **{c: f"_{c}" for c in VOLUME_COLUMNS}}
+    joined = report.join(side, F.col(f"`{title}`") == F.col("_title"), "left")
+    return joined.select(*[F.coalesce(F.col(f"`{filled[c]}`").cast("string"), F.col(f"`{c}`")).alias(c)
+                           if c in filled else F.col(f"`{c}`") for c in report.columns])
+
+
 def volumes_long(wide: DataFrame, ids: list[str]) -> DataFrame:
     """Every "Mon YYYY" column to ``ids, year, month, volume``; blank volumes are left out."""
     present = volume_columns(wide.columns)["monthly"]

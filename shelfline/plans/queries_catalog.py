@@ -106,6 +106,16 @@ from master m left join december d using (feed_id, product_key)
  join peaked p using (feed_id, product_key) join levels l on l.title = m.title"""
 
 
+@query("category_repeated_titles", f"""with {PRODUCTS}, {DICTIONARY}, {matches('products')}
+ select l_orderkey, l_linenumber, coalesce(string_split(b.path, ' > ')[-1], 'Other') as category
+ from lineitem l join products p on l.l_partkey = p.row_id left join best b on p.row_id = b.row_id""")
+def _(spark, sf):
+    lines = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(
+        views.products(spark, sf), F.col("l_partkey") == F.col("row_id"))
+    return cl.with_category(lines, views.dictionary(spark, sf)).select(
+        "l_orderkey", "l_linenumber", "category")
+
+
 @query("consolidated", _CONSOLIDATED)
 def consolidated(spark, sf):
     return consolidate(views.monthly_feed(spark, sf), views.dictionary(spark, sf), "BWS")

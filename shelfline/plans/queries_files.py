@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
@@ -12,8 +14,10 @@ from shelfline.operators import metrics as mt
 from shelfline.plans import views
 from shelfline.plans.queries_catalog import DECEMBER, PEAKS
 from shelfline.plans.registry import DICTIONARY, FEED, PRODUCTS, default_level1_sql, matches, query
+from shelfline.session import shared_folder
 from shelfline.sources import columns as sc
 from shelfline.sources import filenames as fn
+from shelfline.sources import snapshot as sn
 
 _MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * cast(month(o_orderdate) as int) - 2, 3)"
 _LONG = ("split_part('January,February,March,April,May,June,July,August,September,October,November,"
@@ -199,6 +203,56 @@ def _(spark, sf):
     return me.volumes_long(wide, ["row_id"])
 
 
+_REPORT_YEARS = 27  # what lies between the years of the table and those of a report
+
+
+@query("filled_report", f"""with {_VOLUMES}, shifted as (select 'kw ' || row_id as keyword,
+  year + {_REPORT_YEARS} as year, month, volume from volumes),
+chosen as (select {views.TITLE} as title, min('kw ' || p_partkey) as keyword from part
+  where p_size > 5 group by all),
+measured as (select keyword, avg(volume) as mean, {', '.join(
+    f"""sum(volume) filter (where month = '{c[:3]}' and year = {c[-4:]}) as "_{c}" """
+    for c in co.VOLUME_COLUMNS)} from shifted group by keyword),
+means as (select keyword as row_id, month, avg(volume) as v from shifted group by all),
+pivoted as (select row_id, {', '.join(f'''max(-v) filter (where month = '{m}') as "Product Popularity {m}"''' for m in fv.MONTHS)}
+  from means group by all), {PEAKS}
+select p.p_partkey as row_id, coalesce(k.keyword, 'old') as "Product Keyword",
+ mean is not null as measured, cast(mean as double) as mean, coalesce(peak, '') as "Peak Seasonality",
+ {', '.join(f'cast("_{c}" as double) as "{c}"' for c in co.VOLUME_COLUMNS)}
+from part p left join chosen k on k.title = {views.TITLE} left join measured m on m.keyword = k.keyword
+ left join peaked on peaked.row_id = m.keyword""")
+def _(spark, sf):
+    blank = ["Product Keyword Avg MSV", *co.VOLUME_COLUMNS, "Peak Seasonality"]
+    parts = views.table(spark, sf, "part")
+    title = F.expr(views.TITLE)
+    report = parts.select(F.col("p_partkey").alias("row_id"), title.alias("Product Title"),
+                          F.lit("old").alias("Product Keyword"),
+                          *[F.lit("").alias(c) for c in blank])
+    name = F.concat(F.lit("kw "), F.col("p_partkey").cast("string"))
+    keywords = parts.where("p_size > 5").select(title.alias("Product Title"), name.alias("keyword"))
+    volumes = _volumes(spark, sf).select(
+        F.concat(F.lit("kw "), F.col("row_id").cast("string")).alias("keyword"),
+        (F.col("year") + _REPORT_YEARS).alias("year"), "month", "volume")
+    filled = me.fill_report(report, keywords, volumes)
+    number = lambda c: F.nullif(F.col(f"`{c}`"), F.lit("")).cast("double")
+    mean = number("Product Keyword Avg MSV")
+    return filled.select("row_id", "Product Keyword", mean.isNotNull().alias("measured"),
+                         mean.alias("mean"), "Peak Seasonality",
+                         *[number(c).alias(c) for c in co.VOLUME_COLUMNS])
+
+
+@query("snapshot_roundtrip", f"""select p_partkey as "Row Id", {views.TITLE} as "Product Title",
+ 'BWS' as product_type from part""")
+def _(spark, sf):
+    catalog = views.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("Row Id"), F.expr(views.TITLE).alias("Product Title"))
+    folder = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    sn.save_snapshot(catalog.limit(1), folder, product_type="old")
+    sn.save_snapshot(catalog, folder, product_type="BWS")
+    table, facts = sn.load_snapshot(spark, folder)
+    return table.withColumn("product_type", F.lit(facts["product_type"]))
+
+
 # --- counters and merges ------------------------------------------------------------------------
 
 CATALOG = f"""p_partkey as row_id, {views.TITLE} as title, {views.BRAND} as brand,

@@ -48,14 +48,32 @@ def _(spark, sf):
         F.array_join(F.transform("items", lambda i: i["item"]), ",").alias("items"))
 
 
+@query("row_ordinals_sparse", """select o_orderkey * 1000000000000 + 7 as row_id,
+ row_number() over (order by o_orderkey) - 1 as ordinal from orders""")
+def _(spark, sf):
+    return ba.with_ordinal(views.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") * 1000000000000 + 7).alias("row_id")))
+
+
+@query("batch_limit", """with n as (select o_orderkey as row_id,
+  row_number() over (order by o_orderkey) - 1 as place from orders)
+ select place // 20 as batch_no, count(*) as n_items, max(row_id) as last_id from n where place < 130
+ group by all""")
+def _(spark, sf):
+    rows = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"))
+    batches = ba.assemble(rows, F.lit(""), fv.KEYWORD_BATCH, limit=130)
+    return batches.select("batch_no", F.size("items").cast("bigint").alias("n_items"),
+                          F.element_at("items", -1)["row_id"].alias("last_id"))
+
+
 @query("request_items", rf"""with {_CATALOG}, f as (select row_id, substr(trim(title), 1, 100) as t,
   substr(trim(coalesce(brand, '')), 1, 100) as b, brand, title, category from catalog)
  select row_id, '{{"product": "' || t || case when lower(b) in ('', 'nan', 'none') then ''
    else ' | Brand: ' || b end || '", "id": "' || row_id || '"}}' as keyword_item,
-  '- ID: ' || row_id || chr(10) || '  Product: ' || title || chr(10) || '  Brand: '
+  'item=' || row_id || chr(10) || 'name=' || title || chr(10) || 'maker='
    || coalesce(brand, '') as product_item,
-  row_id || '. Title: ' || title || chr(10) || '   Brand: ' || coalesce(brand, 'Unknown') || chr(10)
-   || '   Assigned Category: ' || category as review_item from f""")
+  '#' || row_id || ' ' || title || chr(10) || 'made by ' || coalesce(brand, 'an unnamed maker')
+   || chr(10) || 'filed under ' || category as review_item from f""")
 def _(spark, sf):
     c = F.col
     return _catalog(spark, sf).select(
@@ -67,9 +85,9 @@ def _(spark, sf):
 @query("category_lists", """with g as (select p_brand, list(distinct p_name order by p_name) as names
   from part group by p_brand union all
   select 'all', list(distinct p_name || p_type order by p_name || p_type) from part)
- select p_brand as source, case when len(names) > 100 then 'Available categories (' || len(names)
-   || ' total): ' || array_to_string(names[1:50], ', ') || '... and more'
-  else 'Available categories: ' || array_to_string(names, ', ') end as line from g""")
+ select p_brand as source, case when len(names) > 100 then 'Choose one of ' || len(names)
+   || ' shelves, such as ' || array_to_string(names[1:50], ', ') || ' or another'
+  else 'Choose one of these shelves: ' || array_to_string(names, ', ') end as line from g""")
 def _(spark, sf):
     parts = views.table(spark, sf, "part")
     # Names are distinct before they are gathered: a list is as long as there are categories.

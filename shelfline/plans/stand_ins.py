@@ -13,10 +13,10 @@ def _products(request: str) -> list[tuple[str, str]]:
     """(id, title) of the item lines of a backfill request."""
     found, number = [], ""
     for line in request.split("\n"):
-        if line.startswith("- ID: "):
-            number = line[len("- ID: "):]
-        elif line.startswith("  Product: "):
-            found.append((number, line[len("  Product: "):]))
+        if line.startswith("item="):
+            number = line[len("item="):]
+        elif line.startswith("name="):
+            found.append((number, line[len("name="):]))
     return found
 
 
@@ -26,7 +26,9 @@ def category_model(requests: list[str]) -> list[str]:
     for request in requests:
         answers = {n: "Other" if t.startswith("Brand") else "Goods > " + t.split(" ")[0]
                    for n, t in _products(request)}
-        replies.append("Sure:\n" + json.dumps({**answers, "-1": "Nowhere > Stray"}) + "\nDone.")
+        # An id of another batch: one before the first asked for.
+        stray = str(min((int(n) for n in answers), default=0) - 1)
+        replies.append("Sure:\n" + json.dumps({**answers, stray: "Nowhere > Stray"}) + "\nDone.")
     return replies
 
 
@@ -61,8 +63,8 @@ def _reviewed(request: str) -> list[tuple[int, str, str]]:
     found = []
     for item in request.split("\n\n"):
         lines = item.split("\n")
-        number, title = lines[0].split(". Title: ", 1)
-        found.append((int(number), title, lines[2].split(": ", 1)[1]))
+        number, title = lines[0].removeprefix("#").split(" ", 1)
+        found.append((int(number), title, lines[2].removeprefix("filed under ")))
     return found
 
 

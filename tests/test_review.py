@@ -99,8 +99,8 @@ def test_reply_fields(spark):
     long = F.lit("x" * 120 + '"')
     assert one(rp.prompt_field(long)) == "x" * 100
     assert one(rp.category_list(F.sequence(F.lit(1), F.lit(101)).cast("array<string>"))).startswith(
-        "Available categories (101 total): 1, 2") and one(rp.category_list(
-            F.array(F.lit("a"), F.lit("b")))) == "Available categories: a, b"
+        "Choose one of 101 shelves, such as 1, 2") and one(rp.category_list(
+            F.array(F.lit("a"), F.lit("b")))) == "Choose one of these shelves: a, b"
 
 
 def test_entity_keywords_from_replies(spark):
