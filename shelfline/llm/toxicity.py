@@ -39,8 +39,8 @@ SECOND_PERSON = """you your yours yourself u ur du dich dir dein deine deiner eu
 ta tes vous votre vos usted ustedes ti tú vosotros""".split()
 # Letters that signs stand for.
 SIGNS = str.maketrans("013457@$!|€", "oieastasile")
-LEXICON, LEAST_SUPPORT, LEAST_SURENESS = 400, 4, 3.5
-BEGINNINGS = (4, 5, 6, 7, 8)
+LEXICON, LEAST_SUPPORT, LEAST_EVIDENCE = 400, 4, 15.0
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 NEAR = 5
 THRESHOLD = 0.3
 FEATURES = 18
@@ -160,7 +160,10 @@ def unit_counts(found: DataFrame) -> DataFrame:
 
 def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...],
                   size: int = LEXICON) -> dict[str, float]:
-    """Units with the surest log odds of standing in a toxic text, with those log odds."""
+    """The units that tell most about toxicity, of those that speak for it, with their log odds.
+
+    What a unit tells is the likelihood ratio of its two-by-two table of texts.
+    """
     texts = [sum(sizes.get((y, h), 0) for h in halves) for y in (0, 1)]
     if not all(texts):
         return {}
@@ -169,10 +172,18 @@ def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves:
           for y, name in ((1, "toxic"), (0, "other"))])
     toxic, other = F.col("toxic") + 0.5, F.col("other") + 0.5
     odds = F.log(toxic / (texts[1] + 1 - toxic)) - F.log(other / (texts[0] + 1 - other))
-    spread = F.sqrt(1 / toxic + 1 / other)
+    total = float(sum(texts))
+    held = F.col("toxic") + F.col("other")
+
+    def share(seen: Column, row: int, column: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * total / (row * column))).otherwise(0.0)
+
+    evidence = 2 * (share(F.col("toxic"), texts[1], held) + share(F.col("other"), texts[0], held)
+                    + share(texts[1] - F.col("toxic"), texts[1], total - held)
+                    + share(texts[0] - F.col("other"), texts[0], total - held))
     best = by.where(F.col("toxic") >= LEAST_SUPPORT).withColumn("odds", odds).withColumn(
-        "sureness", odds / spread).where(F.col("sureness") >= LEAST_SURENESS).orderBy(
-        F.desc("sureness"), "unit").limit(size)
+        "evidence", evidence).where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") > 0)
+                                    ).orderBy(F.desc("evidence"), "unit").limit(size)
     return {r["unit"]: r["odds"] for r in best.collect()}
 
 
