@@ -2,7 +2,7 @@
 
 A text is cut into paragraphs at line feeds; a section ends at a blank paragraph, or after a
 paragraph whose own hash says so (one in eight), so an edit moves no cut far from it.  Long
-paragraphs are cut into segments at sentence ends, or after 96 characters.  The pieces cover the
+paragraphs are cut into segments at sentence ends, or after 32 characters.  The pieces cover the
 text, so equal roots mean equal texts, and unequal branches tell where two texts differ.
 
 Defined results: a null text is an empty text; an empty text has the root of no sections and is
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import bounded_batches, shuffle_width, table, whole
 from shelfline.llm.registry import query
 
-SEGMENT = re.compile(r"[^.!?]{1,96}[.!?]*|[.!?]+")
+SEGMENT = re.compile(r"[^.!?]{1,32}[.!?]*|[.!?]+")
 # One paragraph in so many ends a section.
 SECTION_CUT = 8
 
