@@ -188,28 +188,46 @@ def _word_points(title: Column, words: Column) -> Column:
         .when(F.regexp_like(title, literal(k)), 3).otherwise(2)).otherwise(0)))
 
 
-def fuzzy_category(titles: DataFrame, paths: DataFrame, title: str = "title",
-                   product_type: str = "product_type") -> DataFrame:
-    """Add ``category`` (a leaf or "Other") and ``confidence`` (0 to 1).
-
-    Each distinct (title, type) is scored once: repeated titles are common in feeds and scoring is
-    the costly part.  A type outside the taxonomy gives "Other" and 0.
-    """
+def _met(titles: DataFrame, paths: DataFrame, title: str, product_type: str) -> DataFrame:
+    """Each distinct (title, type) once per part of its type's nodes."""
     pairs = titles.select(F.col(title).alias("_title"), mapped_type(F.col(product_type)).alias(
         "_kind")).distinct()
     nodes = broadcast_within(taxonomy_nodes(paths).withColumnRenamed("product_type", "_kind"),
                              rows=BROADCAST_ROWS // _NODES_PER_ROW)
-    met = pairs.join(nodes, "_kind", "left").withColumn(
+    return pairs.join(nodes, "_kind", "left").withColumn(
         "_text", F.lower(F.coalesce("_title", F.lit(""))))
+
+
+def _scored() -> Column:
+    """The nodes of a row with the points of their keywords in its title."""
     # Both are bound, not named by a column: a column read once inside a lambda is worked out
     # again for every element.
-    scored = let(F.col("_text"), lambda text: let(_word_points(text, F.col("words")), lambda points: (
+    return let(F.col("_text"), lambda text: let(_word_points(text, F.col("words")), lambda points: (
         F.transform(F.coalesce("nodes", F.array()), lambda n: F.struct(
             F.aggregate(n["keywords"], F.lit(0), lambda acc, i: acc + F.get(points, i)).alias(
                 "score"), n["pos"].alias("pos"), n["path"].alias("path"),
             n["leaf"].alias("leaf"))))))
+
+
+def keyword_scores(titles: DataFrame, paths: DataFrame, title: str = "title",
+                   product_type: str = "product_type") -> DataFrame:
+    """``title, product_type, score``: the best keyword score of each distinct title and type."""
+    best = F.array_max(F.transform(_scored(), lambda s: s["score"]))
+    return (_met(titles, paths, title, product_type)
+            .groupBy(F.col("_title").alias(title), F.col("_kind").alias(product_type))
+            .agg(F.coalesce(F.max(best), F.lit(0)).alias("score")))
+
+
+def fuzzy_category(titles: DataFrame, paths: DataFrame, title: str = "title",
+                   product_type: str = "product_type") -> DataFrame:
+    """Add ``category`` (a leaf or "Other") and ``confidence`` (0 to 1).
+
+    Each distinct (title, type) is scored once: repeated titles are common in feeds and scoring is
+    the costly part.  A type outside the taxonomy gives "Other" and 0.
+    """
+    met = _met(titles, paths, title, product_type)
     reach = F.lit(int(100 * fv.FUZZY_WEIGHT))
-    rivals = let(scored, lambda all_: let(
+    rivals = let(_scored(), lambda all_: let(
         F.coalesce(F.array_max(F.transform(all_, lambda s: s["score"])), F.lit(0)),
         lambda top: F.filter(all_, lambda s: s["score"] + reach >= top)))
     cut = met.select("_title", "_kind", "_text", rivals.alias("_rivals"))

@@ -9,7 +9,7 @@ from shelfline.functions.text import leaf_of, level1_of, level_of, product_key
 from shelfline.operators import classify as cl
 from shelfline.operators import consolidate as co
 from shelfline.operators import taxonomy as ta
-from shelfline.operators.fuzzy import fuzzy_category
+from shelfline.operators.fuzzy import fuzzy_category, keyword_scores
 from shelfline.plans import views
 from shelfline.plans.catalog import consolidate
 from shelfline.plans.registry import (DICTIONARY, FEED, GADGETS, PRODUCTS, TAXONOMY,
@@ -178,6 +178,26 @@ def _(spark, sf):
         level_of(path, 2).alias("level2"), level_of(path, 3).alias("level3"))
 
 
+@query("fuzzy_keyword_score", rf"""with {PRODUCTS}, {TAXONOMY},
+levels as (select product_type, path, list_transform(string_split(path, ' > '),
+  lambda l: regexp_replace(trim(lower(l)), '[^a-z0-9\s&-]', '', 'g')) as ls from paths),
+words as (select distinct product_type, path, keyword from (
+ select product_type, path, unnest(ls) as keyword from levels union all
+ select product_type, path, w from (select product_type, path,
+  unnest(string_split_regex(array_to_string(ls, ' '), '\s+')) as w from levels)
+ where length(w) > 3 and w not in ({quoted(fv.TAXONOMY_STOP_WORDS)}))),
+pairs as (select distinct title, {mapped('product_type')} as kind from products),
+points as (select p.title, p.kind, w.path, sum(case when contains(lower(coalesce(p.title, '')), w.keyword)
+  then length(w.keyword) * case when regexp_matches(lower(p.title), '\b' || regexp_escape(w.keyword)
+   || '\b') then 3 else 2 end else 0 end) as s
+  from pairs p left join words w on w.product_type = p.kind group by all)
+select title, kind as product_type, cast(coalesce(max(s), 0) as integer) as score from points
+ group by all""")
+def _(spark, sf):
+    paths = ta.positioned(ta.taxonomy_paths(views.taxonomy(spark, sf)))
+    return keyword_scores(views.products(spark, sf), paths)
+
+
 # Partial ratios need a subsequence search, which SQL has no function for; a test compares this
 # query with a plain search over all pairs.
 @query("fuzzy_category")
