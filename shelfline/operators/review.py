@@ -98,15 +98,16 @@ def entity_keywords(df: DataFrame, model, **call) -> DataFrame:
     """Ask for entities of the normalised title, then pick the best candidate keyword."""
     asked = call_model(df.withColumn("request", normalize_title(F.col("title"))), model, **call)
     fields = rp.entity_struct(F.coalesce("reply", F.lit("")))
-    staged = asked.withColumn("_e", fields).select(*df.columns, "call_error", "_e.*")
-    if "keyword" in df.columns:
-        staged = staged.withColumnRenamed("keyword", "_keyword")
+    # The row is packed away: its columns may have the names of entity fields.
+    staged = asked.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                          "call_error", F.col("title"), fields.alias("_e")).select(
+        "_row", "call_error", "title", "_e.*")
     picked = entity_keyword(staged)
     # Only a keyword that was found replaces the one there is.
     found = F.nullif(F.col("keyword"), F.lit(""))
-    kept = F.coalesce(found, "_keyword", F.lit("")) if "keyword" in df.columns else F.coalesce(
-        found, F.lit(""))
-    return picked.select(*[F.col(c) for c in df.columns if c != "keyword"], kept.alias("keyword"),
+    old = [F.col("_row.keyword")] if "keyword" in df.columns else []
+    return picked.select(*[F.col("_row")[c].alias(c) for c in df.columns if c != "keyword"],
+                         F.coalesce(found, *old, F.lit("")).alias("keyword"),
                          F.coalesce("call_error", "keyword_error").alias("keyword_error"))
 
 

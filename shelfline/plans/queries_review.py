@@ -169,6 +169,14 @@ def _(spark, sf):
         "row_id", "keyword")
 
 
+@query("entity_keywords", f"""with {_CATALOG} select row_id,
+ case when contains(lower(title), 'gift') then keyword else 'Pick' end as keyword,
+ not contains(lower(title), 'gift') as found from catalog""")
+def _(spark, sf):
+    return re_.entity_keywords(_catalog(spark, sf), stand_ins.pick_model).select(
+        "row_id", "keyword", F.col("keyword_error").isNull().alias("found"))
+
+
 # --- reviews ------------------------------------------------------------------------------------
 
 _REVIEWED = f"""{_NUMBERED}, reviewed as (select row_id, title, category as assigned,

@@ -106,12 +106,7 @@ def check_model(requests: list[str]) -> list[str]:
     return replies
 
 
-def entity_model(requests: list[str]) -> list[str]:
-    """Brand and product from the first words, the year where the last word is one."""
-    replies = []
-    for request in requests:
-        words = request.split(" ")
-        replies.append("```json\n" + json.dumps(
-            {"brand": words[0], "product_name": words[1] if len(words) > 1 else None,
-             "vintage": None}) + "\n```")
-    return replies
+def pick_model(requests: list[str]) -> list[str]:
+    """One brand for every title; nothing for gift titles."""
+    return ["{}" if "gift" in r.lower() else '```json\n{"brand": "Pick", "vintage": null}\n```'
+            for r in requests]

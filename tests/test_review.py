@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from shelfline.functions import replies as rp
@@ -40,6 +41,77 @@ def test_call_model_retries_only_quota_and_empty_replies(spark):
     assert calls.value == 1 + 3 + 1 + 3
 
 
+def test_unreadable_replies_and_resource_errors_are_tried_again(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(requests):
+        calls.add(1)
+        if requests[0] == "busy":
+            raise RuntimeError("RESOURCE exhausted")
+        return ["no object"]
+
+    df = spark.createDataFrame([("a",), ("busy",)], "request string").coalesce(1)
+    got = {r.request: (r.reply, r.call_error) for r in ba.call_model(
+        df, model, pause=0, readable=ba.holds_object).collect()}
+    assert got == {"a": ("no object", None), "busy": (None, "RESOURCE exhausted")}
+    assert calls.value == 3 + 3
+    assert ba.holds_object('x {"a": 1} y') and not ba.holds_object("[1]")
+    assert ba.holds_pairs('{"12": "a",}') and not ba.holds_pairs('{"x": "a",}')
+
+
+def test_stored_answers_are_asked_once_and_resumed(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(requests):
+        calls.add(1)
+        if requests[0] == "down" and calls is not None and not (tmp_path / "up").exists():
+            raise ValueError("down")
+        return ["ok " + requests[0]]
+
+    store = str(tmp_path / "answers")
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "down")], "id int, request string")
+    first = ba.call_model(df, model, store=store)
+    for _ in range(2):
+        assert {(r.id, r.reply, r.call_error) for r in first.collect()} == {
+            (1, "ok a", None), (2, "ok a", None), (3, None, "down")}
+    assert calls.value == 2  # one call for each different request, over two actions
+    (tmp_path / "up").touch()
+    again = ba.call_model(df, model, store=store)
+    assert {(r.id, r.reply, r.call_error) for r in again.collect()} == {
+        (1, "ok a", None), (2, "ok a", None), (3, "ok down", None)}
+    assert calls.value == 3
+
+
+def test_entity_keywords_keep_what_is_there(spark):
+    def model(requests):
+        if "fail" in requests[0]:
+            raise ValueError("boom")
+        return ["{}" if "nothing" in requests[0] else '{"brand": "Acme", "product_name": "Gin"}']
+
+    df = spark.createDataFrame([("fail", "kept"), ("nothing", "kept"), ("gin", "old"), ("fail", None)],
+                               "title string, keyword string")
+    got = sorted((r.title, r.keyword) for r in rv.entity_keywords(df, model, pause=0).collect())
+    assert got == [("fail", ""), ("fail", "kept"), ("gin", "Acme Gin"), ("nothing", "kept")]
+    bare = rv.entity_keywords(df.drop("keyword"), model, pause=0).collect()
+    assert sorted(r.keyword for r in bare) == ["", "", "", "Acme Gin"]
+
+
+def test_a_repeated_id_keeps_its_last_value(spark):
+    df = spark.createDataFrame([('{"1": "a", "2": "b", "1": "c"}',)], "t string")
+    assert df.select(rp.id_values(F.col("t")).alias("m")).first().m == {"2": "b", "1": "c"}
+
+
+def test_ordinals_refuse_null_and_negative_ids(spark):
+    for bad in (None, -1):
+        df = spark.createDataFrame([(5,), (bad,)], "row_id long")
+        with pytest.raises(Exception, match="neither null nor negative"):
+            ba.with_ordinal(df).collect()
+    ids = [(x * 0x9E3779B97F4A7C15) >> 1 & (1 << 63) - 1 for x in range(1, 300)]
+    got = {r.row_id: r.ordinal for r in ba.with_ordinal(
+        spark.createDataFrame([(i,) for i in ids], "row_id long")).collect()}
+    assert got == {x: n for n, x in enumerate(sorted(ids))}
+
+
 def _review(spark, reply):
     df = spark.createDataFrame([(i, f"t{i}", "b", f"c{i}") for i in (1, 2, 3)],
                                "row_id long, title string, brand string, category string")

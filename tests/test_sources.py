@@ -180,3 +180,29 @@ def test_taxonomy_workbook(spark, tmp_path):
     (tmp_path / "t.xlsx").write_bytes(xlsx([["Level 1", "Level 2", "Level 3"], ["Games", "Board", None]]))
     rows = [tuple(r) for r in sn.read_taxonomy_workbooks(spark, str(tmp_path)).collect()]
     assert rows == [("Toys", "Games", "Board", None)]
+
+
+def test_side_files_may_be_workbooks(spark, tmp_path):
+    (tmp_path / "up.xlsx").write_bytes(xlsx([
+        [" Product Title ", "Product Keyword", "2024-03-01 00:00:00"], ["Gin", "dry gin", 7],
+        ["Rum", None, 0]]))
+    side = sn.read_side_file(spark, str(tmp_path / "up.xlsx"))
+    assert side.columns == ["Product Title", "Product Keyword", "Mar 2024"]
+    assert [tuple(r) for r in side.orderBy("Product Title").collect()] == [
+        ("Gin", "dry gin", "7"), ("Rum", None, "0")]
+
+
+def test_reports_keep_their_column_names_as_parquet(spark, tmp_path):
+    report = spark.createDataFrame([(1, 2)], ["Product Title", "Product_Title"])
+    sn.write_report(report, str(tmp_path / "r"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "r")).columns == report.columns
+
+
+def test_a_half_written_version_does_not_count(spark, tmp_path):
+    folder = str(tmp_path / "snap")
+    sn.save_snapshot(spark.createDataFrame([(1,)], "a int"), folder, n="1")
+    (tmp_path / "snap" / "version-99999999999999999999" / "catalog").mkdir(parents=True)
+    table, facts = sn.load_snapshot(spark, folder)
+    assert table.first().a == 1 and facts == {"n": "1"}
+    sn.save_snapshot(spark.createDataFrame([(2,)], "a int"), folder, n="2")
+    assert sn.load_snapshot(spark, folder)[1] == {"n": "2"}
