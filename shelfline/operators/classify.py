@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
 from shelfline.functions.text import leaf_of, let, level_of, path_parts
-from shelfline.session import BROADCAST_BYTES, BROADCAST_ROWS
+from shelfline.session import BROADCAST_BYTES, BROADCAST_ROWS, written
 
 _RUN = r"(?Ud)(\w+|\W+)"
 _WORD_START = r"(?Ud)^\w"
@@ -141,8 +141,8 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     Every row stays, equal rows included.  Each distinct (title, type) is matched once: only those
     two and the accessory flags are laid out gram by gram, and the answer joins back to the rows.
     """
-    entries = dictionary_entries(dictionary)
-    # One pass over the dictionary settles the shapes of grams and whether it may be broadcast.
+    # Worked out once: it is read for the shapes of grams and its size, the probes and the places.
+    entries = written(dictionary_entries(dictionary), "dictionary")
     shapes, rows, size, deepest = entries.agg(
         F.collect_set(F.struct("starts_in_word", "n_runs")), F.count("*"),
         F.sum(F.octet_length("keyword") + F.octet_length("path")),
@@ -155,8 +155,11 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     sized = F.broadcast if small else (lambda df: df)
     kind = mapped_type(F.col(product_type))
     # Flags come before the grams: next to an explode they would be worked out per gram.
-    flagged = titles.select(F.col(title).alias("_title"), kind.alias("_type")).distinct().withColumn(
-        "_folded", fold_title(F.col("_title"))).select(
+    # Titles are short and gramming them is not: left to their size in bytes they would be put
+    # together into a few tasks.
+    width = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flagged = titles.select(F.col(title).alias("_title"), kind.alias("_type")).distinct().repartition(
+        width, "_title", "_type").withColumn("_folded", fold_title(F.col("_title"))).select(
         "_title", "_type", "_folded",
         *[c.alias(n) for n, c in accessory_flags(F.col("_folded")).items()])
     opened = flagged.select(*[c for c in flagged.columns if c != "_folded"], F.explode(_grams(

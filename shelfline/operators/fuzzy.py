@@ -190,8 +190,10 @@ def _word_points(title: Column, words: Column) -> Column:
 
 def _met(titles: DataFrame, paths: DataFrame, title: str, product_type: str) -> DataFrame:
     """Each distinct (title, type) once per part of its type's nodes."""
+    # Scoring costs far more than a title's bytes say, so the tasks are not put together by size.
+    width = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = titles.select(F.col(title).alias("_title"), mapped_type(F.col(product_type)).alias(
-        "_kind")).distinct()
+        "_kind")).distinct().repartition(width, "_title", "_kind")
     nodes = broadcast_within(taxonomy_nodes(paths).withColumnRenamed("product_type", "_kind"),
                              rows=BROADCAST_ROWS // _NODES_PER_ROW)
     return pairs.join(nodes, "_kind", "left").withColumn(
