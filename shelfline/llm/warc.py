@@ -290,7 +290,25 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = True)
     return manifest.select("file").repartition(files, "file").mapInArrow(run, CHUNKS)
 
 
-@query("op6_warc")
+def _base32_sql(hexed: str) -> str:
+    """Base 32 of 40 hexadecimal digits in SQL: five digits make four letters."""
+    value = f"cast('0x' || substr({hexed}, 5 * g + 1, 5) as bigint)"
+    letters = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(({value} >> {shift}) & 31 as int) + 1, 1)"
+        for shift in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(8), lambda g: {letters}), '')"
+
+
+SQL = f"""with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as sha from pages),
+firsts as (select sha as own, min(page_id) as first from p group by sha)
+select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
+ {_base32_sql('sha')} as payload_digest,
+ case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+ case when first <> page_id then first end as refers_to, true as intact
+from p join firsts on own = sha"""
+
+
+@query("op6_warc", SQL)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = archive(table(spark, sf_dir, "pages"), Scratch(spark, "warc").root)
     return read_chunks(manifest, with_data=False).where("last").select(
