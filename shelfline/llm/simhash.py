@@ -13,7 +13,8 @@ do not name one.  Columns other than the key and the text are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -163,7 +164,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     scratch = Scratch(df.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(df, key, text, words))
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("key").alias("rep")))
-    roots = components(near_links(reps, scratch, distance), scratch).withColumnRenamed("node", "fp")
+    return component_ids(fps, reps, near_links(reps, scratch, distance), scratch, key)
+
+
+def component_ids(fps: DataFrame, reps: DataFrame, links: DataFrame, scratch: Scratch, key: str
+                  ) -> DataFrame:
+    """(key, fp, component_id) of the rows ``fps`` (key, fp); ``reps`` has the smallest key by fp."""
+    roots = components(links, scratch).withColumnRenamed("node", "fp")
     linked = scratch.keep(roots.join(reps, "fp"))
     firsts = scratch.keep(linked.groupBy("root").agg(F.min("rep").alias("first")))
     firsts = linked.join(firsts, "root").select("fp", "first")
@@ -174,7 +181,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3,
                  distance: int = 3) -> DataFrame:
-    """The rows of ``df`` of which one stays for each component, with all their columns.
+    """The rows of ``df`` of which one stays for each component; see ``one_of_each``."""
+    return one_of_each(df, key, text, partial(near_duplicates, words=words, distance=distance))
+
+
+def one_of_each(df: DataFrame, key: str, text: str, near: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of ``df`` of which one stays for each component that ``near`` finds, all columns.
 
     The row of smallest key stays, of equal keys that of smallest text hash, of equal rows one.
     """
@@ -182,7 +194,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     marked = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.struct(
         F.col(f"`{key}`").alias("key"), F.xxhash64(whole(text)).alias("hash")).alias("mark"),
         whole(text).alias("body"))
-    kept = near_duplicates(marked, "mark", "body", words, distance).select(
+    kept = near(marked, "mark", "body").select(
         F.col("component_id.key").alias("k"), F.col("component_id.hash").alias("h")).distinct()
     return marked.select("row", F.col("mark.key").alias("key"), F.col("mark.hash").alias("hash")).join(
         kept, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi"

@@ -13,7 +13,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, merkle, ngram_lm, simhash, tiling
+import corpus_pipeline
+from shelfline.llm import bpe, merkle, ngram_lm, overlap, simhash, tiling
 from shelfline.llm.common import remainder
 
 # Columns that the operators use inside, as extra columns of the input.
@@ -238,6 +239,63 @@ def test_one_of_each_group_stays(spark):
     assert simhash.deduplicated(docs(spark, [])).count() == 0
 
 
+def plain_copies(rows, words=5, least=0.8):
+    """{row number: smallest row number linked by Jaccard similarity} by trying every pair."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(rows))]
+
+
+@pytest.mark.parametrize("chunk", [512, 8])
+def test_near_copies_are_those_of_every_pair(spark, chunk):
+    rows, r = list(HARD), random.Random(12)
+    for k in range(40):  # light to heavy edits, so that similarity is on both sides of 0.8
+        text = words(r.randint(5, 260), 1000 + k, 5000).split()
+        rows.append((1000 + 10 * k, " ".join(text)))
+        for j in range(1, 5):
+            edited = list(text)
+            for _ in range(max(1, len(text) * j // 100)):
+                edited[r.randrange(len(edited))] = f"new{r.random()}"
+            rows.append((1000 + 10 * k + j, " ".join(edited)))
+    hot = words(300, 77, 5000)
+    rows += [(5000 + i, f"{hot} tail{i}") for i in range(60)]  # one bucket, many chunks of 8
+    rows += [(6000, "four words stand here"), (6001, "Four  words stand here"), (6002, "four words stand")]
+    got = overlap.near_copies(docs(spark, rows), chunk=chunk).collect()
+    parts, first = plain_copies(rows), {}
+    for (i, _), p in zip(rows, parts):
+        if i is not None:
+            first[p] = min(i, first.get(p, i))
+    assert Counter((x.doc_id, x.component_id) for x in got) == Counter(
+        (i, first.get(p)) for (i, _), p in zip(rows, parts))
+    assert len(set(parts)) > 60 and len(rows) - len(set(parts)) > 100
+
+
+def test_near_dedup_stage_drops_copies_beyond_three_bits(spark):
+    text = words(100, 31, 900).split()
+    light = " ".join(text[:50] + ["changed"] + text[51:])
+    heavy = " ".join(x if i % 9 else "changed" for i, x in enumerate(text))
+    rows = [(1, " ".join(text)), (2, light), (3, heavy), (4, None)]
+    a, b = (plain_simhash(t) for _, t in rows[:2])
+    assert (a ^ b).bit_count() > 3 and plain_copies(rows) == [0, 0, 2, 3]
+    kept = corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "")
+    assert kept.columns == [c.split()[0] for c in CLASHING.split(", ")]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert corpus_pipeline.near_dedup_stage(spark, docs(spark, []), "").count() == 0
+
+
 # --- tiling ---------------------------------------------------------------------------------------
 
 def plain_tiles(text, item, window):
