@@ -5,8 +5,10 @@ entities.  How strongly a term reveals an entity is estimated from the corpus: t
 information of "the text holds the term beside the entity" over the information of the entity
 itself, log(N n(t,e) / (n(t) n(e))) / log(N / n(e)), which is 1 where the term never stands without
 the entity.  In texts that hold the entity, every occurrence of a term beyond the threshold is a
-further span.  Counts are of all texts; a term must stand beside the entity in several different
-contexts, so that copies of one text do not make a term revealing.
+further span.  Counts are of all texts, but copies of a context of the entity count once, so that
+copying does not make a term revealing.  Small counts are smoothed: n(t,e) / n(e) is taken with PRIOR
+more contexts of the entity, in which the term stands as often as anywhere.  There is no least number
+of contexts; the fewer an entity has, the rarer a term must be to reveal it.
 
 Everything is DataFrame and SQL functions.  Texts themselves are shuffled only where they hold an
 entity that some term reveals, and in ``sanitised`` once.
@@ -44,8 +46,8 @@ TERM_KIND = "term"
 # A term is a word of four letters or more.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_])"
 # Characters on each side of an entity in which terms count as beside it; share of the entity's
-# information that a term must give away; different contexts that must show it.
-BESIDE, DISCLOSURE, CONTEXTS = 80, 0.8, 3
+# information that a term must give away; contexts without evidence that smooth small counts.
+BESIDE, DISCLOSURE, PRIOR = 80, 0.8, 2.0
 RUN = 512
 
 
@@ -129,12 +131,12 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
-def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, contexts: int, beside: int
+def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: float, beside: int
               ) -> DataFrame:
     """(entity, term, disclosure): terms that give the entity away, estimated from all texts.
 
-    ``bodies`` has every ``body``, ``rows`` is the written table of spans.  Copies of a text count
-    as often as they stand in the corpus, but rows of equal (entity, context) are one context.
+    ``bodies`` has every ``body``, ``rows`` is the written table of spans.  Rows of equal (entity,
+    context) count once, for the entity, the term and all texts alike; other copies count as they stand.
     """
     texts = rows.count()
     held = rows.where(F.size("spans") > 0).select("body", F.col("spans").alias("s"))
@@ -149,20 +151,22 @@ def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, contexts: i
         F.concat_ws(":", "x.kind", "x.value").alias("entity"),
         F.array_sort(F.array_distinct(inner)).alias("terms")).withColumn(
         "context", F.xxhash64("terms"))
-    entity_texts = held.select(F.explode(F.array_distinct(F.transform(
-        "s", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity")).groupBy(
-        "entity").agg(F.count("*").alias("n_e"))
-    pairs = beside_each.groupBy("entity", "context").agg(
-        F.count("*").alias("n"), F.first("terms").alias("terms")).select(
-        "entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
-        F.sum("n").alias("n_te"), F.count("*").alias("seen")).where(F.col("seen") >= contexts)
+    same = beside_each.groupBy("entity", "context").agg(
+        F.count("*").alias("n"), F.first("terms").alias("terms"))
+    entity_texts = same.groupBy("entity").agg(
+        F.count("*").alias("n_e"), F.sum(F.col("n") - 1).alias("copies_e"))
+    pairs = same.select("entity", "n", F.explode("terms").alias("term")).groupBy(
+        "entity", "term").agg(F.count("*").alias("n_te"), F.sum(F.col("n") - 1).alias("copies_te"))
     term_texts = bodies.select(F.explode(F.array_distinct(words_of(F.col("body")))).alias(
         "term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(entity_texts, "entity").join(term_texts, "term")
-    joint = F.least("n_te", "n_t", "n_e").cast("double")
-    own = F.log(texts / F.col("n_e"))
+    n_e, n_te = F.col("n_e"), F.col("n_te")
+    n = F.greatest(texts - F.col("copies_e"), n_e).cast("double")
+    # One text may be several contexts: a term stands in as many texts as it has contexts, at least.
+    share = F.greatest(F.col("n_t") - F.col("copies_te"), n_te) / n
+    own = F.log(n / n_e)
     return scored.withColumn("disclosure", F.when(own > 0, F.log(
-        texts * joint / (F.col("n_t") * F.col("n_e"))) / own)).where(
+        (n_te + prior * share) / (n_e + prior) / share) / own)).where(
         F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
 
 
@@ -194,7 +198,7 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
             s["value"].alias("value"))).alias("added"))
 
 
-def searched(df: DataFrame, key: str, text: str, disclosure: float, contexts: int, beside: int
+def searched(df: DataFrame, key: str, text: str, disclosure: float, prior: float, beside: int
              ) -> tuple[DataFrame, DataFrame]:
     """((key, hash, spans) of every row, (key, hash, added) of rows with revealing terms).
 
@@ -205,7 +209,7 @@ def searched(df: DataFrame, key: str, text: str, disclosure: float, contexts: in
     rows = Scratch(df.sparkSession, "privacy").keep(with_spans(bodies).select(
         "key", F.xxhash64("body").alias("hash"), "spans",
         F.when(F.size("spans") > 0, F.col("body")).alias("body")))
-    terms = revealing(bodies, rows, disclosure, contexts, beside)
+    terms = revealing(bodies, rows, disclosure, prior, beside)
     return rows, term_spans(rows, terms)
 
 
@@ -213,9 +217,9 @@ NO_SPANS = f"array<{SPAN}>"
 
 
 def found(df: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE,
-          contexts: int = CONTEXTS, beside: int = BESIDE) -> DataFrame:
+          prior: float = PRIOR, beside: int = BESIDE) -> DataFrame:
     """(key, spans, added): base spans and spans of revealing terms of every row."""
-    rows, added = searched(df, key, text, disclosure, contexts, beside)
+    rows, added = searched(df, key, text, disclosure, prior, beside)
     added = added.select(F.col("key").alias("k"), F.col("hash").alias("h"), "added")
     # Only keys, hashes and spans are shuffled here.
     return rows.select("key", "hash", "spans").join(
@@ -249,11 +253,11 @@ def redacted(body: Column, spans: Column) -> Column:
 
 
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text",
-              disclosure: float = DISCLOSURE, contexts: int = CONTEXTS, beside: int = BESIDE
+              disclosure: float = DISCLOSURE, prior: float = PRIOR, beside: int = BESIDE
               ) -> DataFrame:
     """``df`` with personal data in ``text`` generalised to its kind; all columns are kept."""
     names = df.columns
-    rows, added = searched(df, key, text, disclosure, contexts, beside)
+    rows, added = searched(df, key, text, disclosure, prior, beside)
     base = rows.where(F.size("spans") > 0).groupBy("key", "hash").agg(
         F.first("spans").alias("spans"))
     more = added.select(F.col("key").alias("k"), F.col("hash").alias("h"), "added")

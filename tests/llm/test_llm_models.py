@@ -245,6 +245,27 @@ def test_revealing_terms(spark):
     assert by[900] is None and by[100] == dict((i, t) for i, t, _ in rows)[100]
 
 
+def test_rare_entities_have_revealing_terms(spark):
+    r = random.Random(9)
+    filler = [f"common{chr(97 + i)}" for i in range(20)]
+
+    def text(middle):
+        return f"{' '.join(r.choices(filler, k=9))} {middle} {' '.join(r.choices(filler, k=9))}"
+
+    rows = [(1, text("Zorbatron wrote ann@corp.example"), None),
+            (2, text("Quellibar wrote bea@corp.example"), None),
+            (3, text("Quellibar asked bea@corp.example"), None)]
+    # Words that stand in many texts without the entity reveal nothing, in one context as in two.
+    rows += [(10 + i, text("wrote asked"), None) for i in range(400)]
+    # Copies count once: what a text gives away does not change with them.
+    copied = [(500 + i, rows[0][1], None) for i in range(30)]
+    for extra in ([], copied):
+        got = {x.doc_id: x for x in privacy.found(frame(spark, rows + extra)).collect()}
+        assert {i: [s.value for s in x.added] for i, x in got.items() if x.added} == {
+            1: ["Zorbatron"], 2: ["Quellibar"], 3: ["Quellibar"],
+            **{i: ["Zorbatron"] for i, _, _ in extra}}
+
+
 def test_overlapping_spans_become_one(spark):
     text = "to a@1.2.3.4 or 1.2.3.4, or +1 (23) 4567 89."
     assert len(plain_spans(text)) == 4
