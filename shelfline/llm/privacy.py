@@ -2,11 +2,12 @@
 
 Base spans are e-mail and IP addresses, card and phone numbers.  Their values are the protected
 entities.  How strongly a term reveals an entity is estimated from the corpus: the pointwise mutual
-information of "the text holds the term beside the entity" over the information of the entity
+information of "the text holds the term and the entity" over the information of the entity
 itself, log(N n(t,e) / (n(t) n(e))) / log(N / n(e)), which is 1 where the term never stands without
 the entity.  In texts that hold the entity, every occurrence of a term beyond the threshold is a
-further span.  Counts are of all texts, but copies of a context of the entity count once, so that
-copying does not make a term revealing.  Small counts are smoothed: n(t,e) / n(e) is taken with PRIOR
+further span.  Terms are the words of the whole text outside base spans.  Counts are of all texts,
+but texts of the same words are one context of the entity, so that copying does not make a term
+revealing.  Small counts are smoothed: n(t,e) / n(e) is taken with PRIOR
 more contexts of the entity, in which the term stands as often as anywhere.  There is no least number
 of contexts; the fewer an entity has, the rarer a term must be to reveal it.
 
@@ -43,11 +44,13 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM_KIND = "term"
-# A term is a word of four letters or more.
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_])"
-# Characters on each side of an entity in which terms count as beside it; share of the entity's
-# information that a term must give away; contexts without evidence that smooth small counts.
-BESIDE, DISCLOSURE, PRIOR = 80, 0.8, 2.0
+# A term is a word of letters and digits; of those that begin with a letter of a cased or marked
+# script, one of three characters or more.
+TERM = (r"(?<![\p{L}\p{N}])(?:\p{Lo}|[\p{L}&&[^\p{Lo}]][\p{L}\p{M}\p{N}]{2}|\p{N}++\p{L})"
+        r"[\p{L}\p{M}\p{N}]*+")
+# Share of the entity's information that a term must give away; contexts without evidence that smooth
+# small counts.
+DISCLOSURE, PRIOR = 0.8, 2.0
 RUN = 512
 
 
@@ -131,7 +134,28 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
-def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: float, beside: int
+def entities_of(spans: str) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["value"])))
+
+
+def masked(body: Column, spans: Column) -> Column:
+    """``body`` with blanks in place of its spans; all other characters keep their places."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"))))
+    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        start, end = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
+        return F.struct(
+            F.concat(a["parts"], F.array(F.substr(body, a["at"] + 1, start - a["at"]),
+                                         F.repeat(F.lit(" "), end - start))).alias("parts"),
+            end.alias("at"))
+
+    return F.aggregate(ordered, state, step, lambda a: F.concat(
+        F.array_join(a["parts"], ""), F.substr(body, a["at"] + 1, F.length(body))))
+
+
+def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: float
               ) -> DataFrame:
     """(entity, term, disclosure): terms that give the entity away, estimated from all texts.
 
@@ -139,19 +163,12 @@ def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: floa
     context) count once, for the entity, the term and all texts alike; other copies count as they stand.
     """
     texts = rows.count()
-    held = rows.where(F.size("spans") > 0).select("body", F.col("spans").alias("s"))
-    sides = F.array(
-        F.substr("body", F.greatest(F.lit(1), F.col("x.start") + 1 - beside),
-                 F.least(F.lit(beside), F.col("x.start"))),
-        F.substr("body", F.col("x.end") + 1, F.lit(beside)))
-    # A word cut off at the far end of a side is left out.
-    inner = F.concat(words_of(F.regexp_replace(sides[0], r"^\p{L}+", "")),
-                     words_of(F.regexp_replace(sides[1], r"\p{L}+$", "")))
-    beside_each = held.withColumn("x", F.explode("s")).select(
-        F.concat_ws(":", "x.kind", "x.value").alias("entity"),
-        F.array_sort(F.array_distinct(inner)).alias("terms")).withColumn(
-        "context", F.xxhash64("terms"))
-    same = beside_each.groupBy("entity", "context").agg(
+    held = rows.where(F.size("spans") > 0).select(
+        F.array_sort(F.array_distinct(words_of(masked(F.col("body"), F.col("spans"))))).alias("terms"),
+        entities_of("spans").alias("entities"))
+    each = held.withColumn("context", F.xxhash64("terms")).select(
+        F.explode("entities").alias("entity"), "context", "terms")
+    same = each.groupBy("entity", "context").agg(
         F.count("*").alias("n"), F.first("terms").alias("terms"))
     entity_texts = same.groupBy("entity").agg(
         F.count("*").alias("n_e"), F.sum(F.col("n") - 1).alias("copies_e"))
@@ -162,7 +179,7 @@ def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: floa
     scored = pairs.join(entity_texts, "entity").join(term_texts, "term")
     n_e, n_te = F.col("n_e"), F.col("n_te")
     n = F.greatest(texts - F.col("copies_e"), n_e).cast("double")
-    # One text may be several contexts: a term stands in as many texts as it has contexts, at least.
+    # A word that a span cuts is another word in the whole text, so n_t may be the smaller one.
     share = F.greatest(F.col("n_t") - F.col("copies_te"), n_te) / n
     own = F.log(n / n_e)
     return scored.withColumn("disclosure", F.when(own > 0, F.log(
@@ -175,12 +192,13 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
     Only those rows' words are laid out; a row's words are one window.
     """
-    entities = rows.where(F.size("spans") > 0).select("key", "hash", F.explode(F.array_distinct(
-        F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
+    entities = rows.where(F.size("spans") > 0).select("key", "hash", F.explode(
+        entities_of("spans")).alias("entity"))
     wanted = entities.distinct().join(terms, "entity").select("key", "hash", "term").distinct()
     touched = wanted.select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct()
     same = F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h"))
-    texts = rows.where(F.size("spans") > 0).select("key", "hash", "body").join(touched, same).groupBy(
+    texts = rows.where(F.size("spans") > 0).select("key", "hash", masked(
+        F.col("body"), F.col("spans")).alias("body")).join(touched, same).groupBy(
         "key", "hash").agg(F.first("body").alias("body"))
     laid = texts.select("key", "hash", F.regexp_extract_all("body", F.lit(TERM), F.lit(0)).alias(
         "words"), F.split("body", TERM, -1).alias("gaps")).select(
@@ -198,7 +216,7 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
             s["value"].alias("value"))).alias("added"))
 
 
-def searched(df: DataFrame, key: str, text: str, disclosure: float, prior: float, beside: int
+def searched(df: DataFrame, key: str, text: str, disclosure: float, prior: float
              ) -> tuple[DataFrame, DataFrame]:
     """((key, hash, spans) of every row, (key, hash, added) of rows with revealing terms).
 
@@ -209,7 +227,7 @@ def searched(df: DataFrame, key: str, text: str, disclosure: float, prior: float
     rows = Scratch(df.sparkSession, "privacy").keep(with_spans(bodies).select(
         "key", F.xxhash64("body").alias("hash"), "spans",
         F.when(F.size("spans") > 0, F.col("body")).alias("body")))
-    terms = revealing(bodies, rows, disclosure, prior, beside)
+    terms = revealing(bodies, rows, disclosure, prior)
     return rows, term_spans(rows, terms)
 
 
@@ -217,9 +235,9 @@ NO_SPANS = f"array<{SPAN}>"
 
 
 def found(df: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE,
-          prior: float = PRIOR, beside: int = BESIDE) -> DataFrame:
+          prior: float = PRIOR) -> DataFrame:
     """(key, spans, added): base spans and spans of revealing terms of every row."""
-    rows, added = searched(df, key, text, disclosure, prior, beside)
+    rows, added = searched(df, key, text, disclosure, prior)
     added = added.select(F.col("key").alias("k"), F.col("hash").alias("h"), "added")
     # Only keys, hashes and spans are shuffled here.
     return rows.select("key", "hash", "spans").join(
@@ -253,11 +271,11 @@ def redacted(body: Column, spans: Column) -> Column:
 
 
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text",
-              disclosure: float = DISCLOSURE, prior: float = PRIOR, beside: int = BESIDE
+              disclosure: float = DISCLOSURE, prior: float = PRIOR
               ) -> DataFrame:
     """``df`` with personal data in ``text`` generalised to its kind; all columns are kept."""
     names = df.columns
-    rows, added = searched(df, key, text, disclosure, prior, beside)
+    rows, added = searched(df, key, text, disclosure, prior)
     base = rows.where(F.size("spans") > 0).groupBy("key", "hash").agg(
         F.first("spans").alias("spans"))
     more = added.select(F.col("key").alias("k"), F.col("hash").alias("h"), "added")

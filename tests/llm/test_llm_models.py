@@ -266,6 +266,27 @@ def test_rare_entities_have_revealing_terms(spark):
             **{i: ["Zorbatron"] for i, _, _ in extra}}
 
 
+def test_terms_are_words_of_the_whole_text(spark):
+    r = random.Random(10)
+    filler = [f"common{chr(97 + i)}" for i in range(20)]
+
+    def some(n):
+        return " ".join(r.choices(filler, k=n))
+
+    # The first and the last word, far from the entity, short, after a sign, joined to the entity.
+    rows = [(i, f"Johnson {some(40)} j@x.org,{some(40)} -Kim Signature", None) for i in range(4)]
+    rows += [(10 + i, f"Zoltan j2@x.org {some(5)} kx19 j2@x.org end:Ybor", None) for i in range(4)]
+    rows += [(100 + i, f"{some(20)} j x org", None) for i in range(300)]
+    rows += [(900, "Lone 1.2.3.4 +12.3.4.5678 1.2.3.4", None)]
+    got = {x.doc_id: x for x in privacy.found(frame(spark, rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    for i, x in got.items():
+        want = (["Johnson", "Kim", "Signature"] if i < 4 else ["Zoltan", "kx19", "end", "Ybor"]
+                if i < 100 else ["Lone"] if i == 900 else [])
+        assert [s.value for s in x.added] == want
+        assert all(texts[i][s.start:s.end] == s.value for s in x.added)
+
+
 def test_overlapping_spans_become_one(spark):
     text = "to a@1.2.3.4 or 1.2.3.4, or +1 (23) 4567 89."
     assert len(plain_spans(text)) == 4
