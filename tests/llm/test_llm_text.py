@@ -406,3 +406,15 @@ def test_encode_and_decode_tables(spark, oracle):
         (i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in HARD)
     assert all(r.ids_sha256 == hashlib.sha256(",".join(map(str, oracle[1].encode_ordinary(
         dict(HARD)[r.doc_id] or ""))).encode()).hexdigest() for r in sums)
+
+
+def test_tokens_stage_decodes_its_ids(spark, oracle, monkeypatch):
+    rows = corpus_pipeline.tokens_stage(spark, docs(spark, HARD), "").collect()
+    assert len(rows) == len(HARD) and all(r.round_trip is True for r in rows)
+    assert all(r.piece_offsets is not None and r.ids == oracle[1].encode_ordinary(r.text or "")
+               for r in rows)
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda df, path: encode(df, path).withColumn(
+        "ids", F.slice("ids", 2, 1 << 30)))
+    rows = corpus_pipeline.tokens_stage(spark, docs(spark, HARD), "").collect()
+    assert all(r.round_trip is (not r.text) for r in rows)
