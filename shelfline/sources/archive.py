@@ -1,9 +1,11 @@
 """Feed archives: ZIP members, CSV and XLSX decoding, one long feed plus its issues.
 
-An archive is opened in one task that hands out its members one by one; members are then spread
-over tasks and decoded where they land.  Every decoded row carries its archive, file place and row
-place, so later steps can tell first from later.  Decoding happens once: the result is written to
-the shared folder and read back as the feed and the issues.
+An archive is opened where it lies: one task reads its directory from the end of the file, and each
+member is then read by a task of its own, from its place in the file, so an archive is never a cell and
+may be of any size.  A CSV member beyond one block is cut into blocks, which many tasks parse.  Every
+decoded row carries its archive, file place and row place, so later steps can tell first from later.
+Decoding happens once: the result is written to the shared folder and read back as the feed and the
+issues.
 """
 
 from __future__ import annotations
@@ -17,21 +19,26 @@ from hashlib import blake2b
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from shelfline.functions import fixed_values as fv
+from shelfline.session import broadcast_within, shared_folder, written
+from shelfline.sources import columns as sc
+from shelfline.sources import split_csv
 from shelfline.sources.columns import FIELDS, header_map, header_of
 from shelfline.sources.filenames import file_status, parse_file_name, with_file_parts
-from shelfline.session import shared_folder
+from shelfline.sources.files import open_input
 
 _FEED_FIELDS = list(FIELDS)
 _FILE = [("archive", pa.string()), ("file_seq", pa.int64()), ("file_name", pa.string())]
-_MEMBERS = pa.schema(_FILE + [("content", pa.binary()), ("member_error", pa.string())])
+_MEMBERS = pa.schema(_FILE + [("member", pa.string()), ("size", pa.int64()), ("member_error", pa.string())])
 _DECODED = pa.schema(_FILE + [("kind", pa.string()), ("row_seq", pa.int64()),
                               ("header", pa.list_(pa.string())), ("error", pa.string())]
-                     + [(f, pa.string()) for f in _FEED_FIELDS])
+                     + [(f, pa.string()) for f in _FEED_FIELDS]
+                     + [("content", pa.binary()), ("ahead", pa.binary()), ("lead", pa.binary())])
+NO_TABLE = "no encoding and delimiter make this file a table"
 _ROWS_PER_BATCH = 20_000
 _JUNK = ("\x00", "﻿", "￾", "\xff\xfe", "\xfe\xff")
 
@@ -39,10 +46,10 @@ _JUNK = ("\x00", "﻿", "
 # --- archives -----------------------------------------------------------------------------------
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, content``: one row per ZIP file below ``path``."""
+    """``archive``: one row per ZIP file below ``path``; no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option(
         "recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("archive"), "content")
+    return files.select(F.col("path").alias("archive"))
 
 
 def feed_members(names: list[str]) -> list[tuple[str, str]]:
@@ -60,39 +67,39 @@ def feed_members(names: list[str]) -> list[tuple[str, str]]:
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
-    """One row per feed file, its bytes included; an empty archive gives one row without a name.
+    """One row per feed file, from the directories at the archives' ends.
 
-    A member that cannot be read (a wrong checksum, encryption, an unknown method) gives its row
-    with ``member_error`` and no bytes; the members after it are read as ever.
+    An archive without feed files gives one row without a name, a broken one such a row with
+    ``member_error``.
     """
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(archive, place, name, content, error=None):
-            return pa.RecordBatch.from_pylist([{
-                "archive": archive, "file_seq": place, "file_name": name, "content": content,
-                "member_error": error}], _MEMBERS)
-
-        def read(opened, member):
-            try:
-                return opened.read(member), None
-            except Exception as failure:
-                return b"", str(failure)[:200] or type(failure).__name__
-
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch["archive"].to_pylist(), batch["content"]):
-                held = []
+            for archive in batch["archive"].to_pylist():
+                held, error = [], None
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as opened:
-                        held = feed_members(opened.namelist())
-                        for place, (base, member) in enumerate(held):
-                            yield one(archive, place, base, *read(opened, member))
-                except zipfile.BadZipFile:
+                    with open_input(archive) as file:
+                        if file.size() < zipfile.sizeEndCentDir:
+                            raise zipfile.BadZipFile("File is not a zip file")
+                        with zipfile.ZipFile(file) as opened:
+                            held = [(base, member, opened.getinfo(member).file_size)
+                                    for base, member in feed_members(opened.namelist())]
+                except zipfile.BadZipFile as failure:
                     # One broken upload is an issue of its own, not the end of the job.
-                    pass
-                if not held:
-                    yield one(archive, 0, None, b"")
+                    error = str(failure)[:200] or "not a ZIP file"
+                rows = [(archive, place, *m, None) for place, m in enumerate(held)]
+                rows = rows or [(archive, 0, None, None, None, error)]
+                yield pa.RecordBatch.from_pylist(
+                    [dict(zip(_MEMBERS.names, r)) for r in rows], _MEMBERS)
+
+    return archives.select("archive").mapInArrow(listed, from_arrow_schema(_MEMBERS))
+
 
-    return archives.select("archive", "content").mapInArrow(unpack, from_arrow_schema(_MEMBERS))
+def _pieces(archive: str, member: str, size: int) -> Iterator[bytes]:
+    """A member's bytes as a stream; only its own range of the archive is read, and the directory."""
+    with open_input(archive) as file, zipfile.ZipFile(file) as opened, opened.open(member) as stream:
+        while piece := stream.read(size):
+            yield piece
 
 
 # --- tables -------------------------------------------------------------------------------------
@@ -177,7 +184,7 @@ def sniff_csv(content: bytes) -> tuple[str, str, int] | None:
 def csv_table(content: bytes) -> list[list[str]]:
     dialect = sniff_csv(content)
     if dialect is None:
-        raise ValueError("no encoding and delimiter make this file a table")
+        raise ValueError(NO_TABLE)
     encoding, delimiter, skip = dialect
     text = content.decode(encoding).replace("\x00", "").lstrip("﻿")
     return _records(text, delimiter, skip)
@@ -241,72 +248,132 @@ def _cell_text(cell, shared: list[str]) -> str:
 
 # --- decoding -----------------------------------------------------------------------------------
 
-def decode_members(members: DataFrame) -> DataFrame:
-    """Rows of every readable member (kind ``row``) and one ``file`` row per member."""
-    if "member_error" not in members.columns:
-        members = members.withColumn("member_error", F.lit(None).cast("string"))
-    typed = members.withColumn("extension", parse_file_name(F.col("file_name"))["extension"])
+def decode_members(members: DataFrame, block: int = split_csv.BLOCK_BYTES) -> DataFrame:
+    """Rows of every readable member (kind ``row``) and one ``file`` row per member.
 
+    A CSV member of more than ``block`` bytes gives its ``block`` rows in place of both; if it breaks
+    off, a ``file`` row that says so.  A member that cannot be read (a wrong checksum, encryption, an
+    unknown method) gives its ``file`` row with the error, and the others are read as ever.
+    """
+    typed = members.withColumn("extension", parse_file_name(F.col("file_name"))["extension"])
     empty = frozenset(fv.EMPTY_CELLS)
 
+    def file_row(head: dict, header: list[str], error: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{**head, "kind": "file", "row_seq": -1, "header": header,
+                                            "error": error}], _DECODED)
+
+    def said(failure: Exception) -> str:
+        return str(failure)[:200] or type(failure).__name__
+
+    def blocks_of(head: dict, member: str) -> Iterator[pa.RecordBatch]:
+        try:
+            for number, content, ahead, lead in split_csv.cut_blocks(
+                    _pieces(head["archive"], member, block), block):
+                yield pa.RecordBatch.from_pylist(
+                    [{**head, "kind": "block", "row_seq": number, "content": content, "ahead": ahead,
+                      "lead": lead}], _DECODED)
+        except Exception as failure:
+            yield file_row(head, [], said(failure))
+
+    def rows_of(head: dict, table: list[list[str]]) -> Iterator[pa.RecordBatch]:
+        header = [scrub_cell(h) or "" for h in table[0]]
+        yield file_row(head, header, None)
+        places, rows = header_map(header), table[1:]
+        for start in range(0, len(rows), _ROWS_PER_BATCH):
+            piece = rows[start:start + _ROWS_PER_BATCH]
+            out = {name: [value] * len(piece) for name, value in head.items()}
+            out |= {"kind": ["row"] * len(piece), "row_seq": list(range(start, start + len(piece)))}
+            for field in _FEED_FIELDS:
+                i = places.get(field)
+                cells = [None if i is None or i >= len(r) else scrub_cell(r[i]) for r in piece]
+                out[field] = [None if c in empty else c for c in cells]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out.get(f.name, [None] * len(piece)), f.type) for f in _DECODED],
+                schema=_DECODED)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = batch.select(["archive", "file_seq", "file_name", "extension",
-                                  "member_error"]).to_pylist()
-            for head, content in zip(heads, batch["content"]):
-                extension = head.pop("extension")
-                header, rows, error = [], [], head.pop("member_error")
-                if error is None and extension in ("csv", "xlsx"):
-                    try:
-                        read = csv_table if extension == "csv" else xlsx_table
-                        table = read(content.as_py())
-                        header = [scrub_cell(h) or "" for h in table[0]]
-                        rows = table[1:]
-                    except Exception as failure:
-                        error = str(failure)[:200] or type(failure).__name__
-                yield pa.RecordBatch.from_pylist([{**head, "kind": "file", "row_seq": -1,
-                                                   "header": header, "error": error}], _DECODED)
-                places = header_map(header)
-                for start in range(0, len(rows), _ROWS_PER_BATCH):
-                    piece = rows[start:start + _ROWS_PER_BATCH]
-                    out = {name: [value] * len(piece) for name, value in head.items()}
-                    out |= {"kind": ["row"] * len(piece),
-                            "row_seq": list(range(start, start + len(piece))),
-                            "header": [None] * len(piece), "error": [None] * len(piece)}
-                    for field in _FEED_FIELDS:
-                        i = places.get(field)
-                        cells = [None if i is None or i >= len(r) else scrub_cell(r[i])
-                                 for r in piece]
-                        out[field] = [None if c in empty else c for c in cells]
-                    yield pa.RecordBatch.from_pydict(out, _DECODED)
+            for m in batch.to_pylist():
+                head = {k: m[k] for k, _ in _FILE}
+                extension, member, error = m["extension"], m["member"], m["member_error"]
+                if error is not None or extension not in ("csv", "xlsx"):
+                    yield file_row(head, [], error)
+                    continue
+                if extension == "csv" and m["size"] > block:
+                    yield from blocks_of(head, member)
+                    continue
+                try:
+                    read = csv_table if extension == "csv" else xlsx_table
+                    table = read(b"".join(_pieces(m["archive"], member, block)))
+                except Exception as failure:
+                    yield file_row(head, [], said(failure))
+                    continue
+                yield from rows_of(head, table)
 
     return typed.mapInArrow(decode, from_arrow_schema(_DECODED))
 
 
-def ingest_archives(spark: SparkSession, path: str, tasks: int | None = None,
-                    store: str | None = None) -> tuple[DataFrame, DataFrame]:
+def decode_blocks(blocks: DataFrame, keep) -> DataFrame:
+    """What ``decode_members`` makes of smaller members, from the blocks of large ones."""
+    records, tables = split_csv.split_tables(blocks, keep)
+    bare = F.transform("header", lambda h: sc.scrub(h))
+    files = tables.select("archive", "file_seq", F.when(F.col("encoding").isNotNull(), bare).alias("header"),
+                          F.when(F.col("encoding").isNull(), F.lit(NO_TABLE)).alias("error"))
+    named = files.join(blocks.select("archive", "file_seq", "file_name").distinct(), ["archive", "file_seq"])
+    # A row for each large member: few, and counted before they are broadcast.
+    headed = broadcast_within(named.where("error is null").select("archive", "file_seq", "file_name", *[
+        header_of(F.col("header"), required).alias(f"_{field}") for field, required in FIELDS.items()],
+        "header"))
+    joined = records.join(headed, ["archive", "file_seq"])
+
+    def cell(field: str) -> Column:
+        at = F.array_position("header", F.col(f"_{field}")).cast("int") - 1
+        value = F.when(F.col(f"_{field}").isNotNull(), sc.scrub(F.get("cells", at)))
+        return F.when(~value.isin(fv.EMPTY_CELLS), value).alias(field)
+
+    rows = joined.select("archive", "file_seq", "file_name", F.lit("row").alias("kind"), "row_seq",
+                         *[cell(f) for f in _FEED_FIELDS])
+    return named.select("archive", "file_seq", "file_name", F.lit("file").alias("kind"),
+                        F.lit(-1).cast("long").alias("row_seq"), F.coalesce("header", F.array().cast(
+                            "array<string>")).alias("header"), "error").unionByName(
+        rows, allowMissingColumns=True)
+
+
+def ingest_archives(spark: SparkSession, path: str, tasks: int | None = None, store: str | None = None,
+                    block: int = split_csv.BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Archives below ``path`` to (feed, issues).
 
     ``tasks`` is the number of tasks members are spread over; by default the session's shuffle
     partitions, put together by size.  ``store`` is where the decoded rows are written; a new folder
-    under the cluster's shared folder if not given.
+    under the cluster's shared folder if not given.  CSV members beyond ``block`` bytes are parsed in
+    blocks.
     """
     store = store or f"{shared_folder(spark)}/decoded-{uuid.uuid4().hex}"
     members = archive_members(read_archives(spark, path))
     place = ["archive", "file_seq"]
     spread = members.repartition(tasks, *place) if tasks else members.repartition(*place)
-    decode_members(spread).write.partitionBy("kind").parquet(store)
+    decode_members(spread, block).write.partitionBy("kind").parquet(store)
+    decoded = spark.read.schema(from_arrow_schema(_DECODED)).parquet(store)
+    broken = decoded.where("kind = 'file' and error is not null").select(*place)
+    blocks = decoded.where("kind = 'block'").withColumn("block", F.col("row_seq")).join(
+        broadcast_within(broken), place, "left_anti")
+    if blocks.limit(1).count():
+        names = [f for f in _DECODED.names if f not in ("content", "ahead", "lead")]
+        made = decode_blocks(blocks, lambda df: written(df, "split"))
+        made.select(*[n for n in names if n in made.columns]).write.mode("append").partitionBy(
+            "kind").parquet(store)
     return split_decoded(spark, store)
 
 
 def split_decoded(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """The feed and the issues of a decoded store."""
-    decoded = spark.read.parquet(store)
+    decoded = spark.read.schema(from_arrow_schema(_DECODED)).parquet(store).drop("content", "ahead", "lead")
     files = with_file_parts(decoded.filter("kind = 'file'").select(
         "archive", "file_seq", "file_name", "header", "error")).drop("extension")
     empty = files.filter("file_name is null").select(
         "archive", F.lit(None).cast("string").alias("file_name"),
-        F.lit("No valid files found in archive").alias("issue"))
+        F.coalesce(F.concat(F.lit("Archive cannot be opened: "), "error"),
+                   F.lit("No valid files found in archive")).alias("issue"))
     status = file_status(files.filter("file_name is not null"))
     accepted = status.filter("accepted")
     lacking = accepted.select("archive", "file_name", F.explode(F.filter(F.array(*[

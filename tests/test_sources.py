@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -9,6 +10,8 @@ from shelfline.sources import archive as ar
 from shelfline.sources import columns as sc
 from shelfline.sources import filenames as fn
 from shelfline.sources import snapshot as sn
+from shelfline.sources import split_csv
+from shelfline.session import written
 
 HEADER = "Title,Brand,Availability,Price range max.,Popularity rank"
 
@@ -206,3 +209,77 @@ def test_a_half_written_version_does_not_count(spark, tmp_path):
     assert table.first().a == 1 and facts == {"n": "1"}
     sn.save_snapshot(spark.createDataFrame([(2,)], "a int"), folder, n="2")
     assert sn.load_snapshot(spark, folder)[1] == {"n": "2"}
+
+
+# --- members read in blocks -----------------------------------------------------------------------
+
+def odd_members():
+    r = random.Random(1)
+
+    def cell():
+        return r.choice(['"a ""q"" , ; \n x\r\n"', '""', 'in"ner', '"x"y', "", " é日𝄞 ", *["w" * n for n in range(9)]])
+
+    for encoding in ["utf-16", "utf-8", "utf-8-sig", "utf-16-le", "utf-16-be", "latin-1", "cp1252"]:
+        for d in ",;\t|":
+            for skip in (0, 1, 2):
+                eol = r.choice(["\n", "\r\n", "\r"])
+                rows = [HEADER.replace(",", d)] + [d.join(cell() for _ in range(r.choice([5, 5, 5, 4])))
+                                                   for _ in range(r.randrange(1, 25))] + [""] * r.randrange(3)
+                text = "".join(r.choice(["report,of", "x", '"q', ""]) + eol for _ in range(skip)) + eol.join(
+                    rows) + r.choice(["", eol, '"open'])
+                yield text.encode(encoding, "replace")
+    yield from [b"", b"abc", b"a,b\n1,2,3\n", b'a,b\n"' + b"x\n," * 200, b"a,b\n" + b"1,2\n" * 100,
+                b"\n\n\n\n\na;b\n1;2\n" + b"\r" * 50, "a,b\n1,é日𝄞\n".encode() * 30, b"a,b\n\xff\xfe,1\n" * 20]
+
+
+@pytest.mark.parametrize("size", [16, 300])
+def test_blocks_read_like_the_whole(spark, tmp_path, size):
+    members, rows = list(odd_members()), []
+    for i, m in enumerate(members):
+        pieces = (m[k:k + 37] for k in range(0, len(m), 37))
+        rows += [("z", i, *b) for b in split_csv.cut_blocks(pieces, size)]
+    spark.createDataFrame(rows, split_csv.BLOCK_ROW).repartition(8).write.parquet(str(tmp_path / "blocks"))
+    records, tables = split_csv.split_tables(
+        spark.read.parquet(str(tmp_path / "blocks")), lambda df: written(df, "split"))
+    cells = {}
+    for x in records.collect():
+        cells.setdefault(x.file_seq, {})[x.row_seq] = x.cells
+    found = {t.file_seq: t for t in tables.collect()}
+    assert len(found) == len(members) and len(rows) > 2 * len(members)
+    for i, m in enumerate(members):
+        t, own = found[i], cells.get(i, {})
+        assert ar.sniff_csv(m) == ((t.encoding, t.delimiter, t.skip) if t.encoding else None)
+        if t.encoding:
+            assert [t.header, *(own[k] for k in range(len(own)))] == ar.csv_table(m)
+        else:
+            assert not own
+
+
+def test_archives_in_blocks_give_the_same_feed(spark, archives, tmp_path):
+    rows = "".join(f'"Ale ""{i}"", {i}",B,N/A,{i},{i}\n' for i in range(400))
+    folder = archives("feed.zip", [("Dec-2025.csv", f"{HEADER}\n{rows}".encode("utf-16")),
+                                   ("Jan-2025.csv", f"x\n{HEADER}\n{rows}".encode()),
+                                   ("Feb-2025.csv", b"nothing to split here " * 90),
+                                   ("Mar-2025.csv", f"{HEADER}\nGin,B,in,1,2\n".encode())])
+    got = []
+    for block in (512, 1 << 20):
+        feed, issues = ar.ingest_archives(spark, folder, block=block, store=str(tmp_path / f"store{block}"))
+        got.append((sorted(map(tuple, feed.collect())), sorted((r.file_name, r.issue) for r in issues.collect())))
+    assert got[0] == got[1] and len(got[0][0]) == 801 and len(got[0][1]) == 1
+
+
+def test_damaged_member_in_blocks_is_left_out(spark, archives, tmp_path):
+    rows = "".join(f"Ale {i},B,in,1,2\n" for i in range(300))
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("Dec-2025.csv", f"{HEADER}\n{rows}")
+        z.writestr("Jan-2025.csv", f"{HEADER}\n{rows}end,B,in,1,2\n")
+    data = (tmp_path / "f.zip").read_bytes()
+    (tmp_path / "f.zip").write_bytes(data.replace(b"end,B", b"enx,B", 1))
+    (tmp_path / "g.zip").write_bytes(b"PK no archive")
+    (tmp_path / "h.zip").write_bytes(b"no archive at all " * 90)
+    feed, issues = ar.ingest_archives(spark, str(tmp_path), block=256, store=str(tmp_path / "store"))
+    assert feed.count() == 300 and {r.month for r in feed.collect()} == {"Dec"}
+    found = {(r.archive.rsplit("/", 1)[1], r.issue.split(":")[0]) for r in issues.collect()}
+    undated = "December file is required but missing"
+    assert found == {("f.zip", "Error reading Jan-2025.csv"), ("g.zip", "Archive cannot be opened"),
+                     ("h.zip", "Archive cannot be opened"), ("g.zip", undated), ("h.zip", undated)}
