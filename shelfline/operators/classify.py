@@ -156,10 +156,11 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     kind = mapped_type(F.col(product_type))
     # Flags come before the grams: next to an explode they would be worked out per gram.
     # Titles are short and gramming them is not: left to their size in bytes they would be put
-    # together into a few tasks.
+    # together into a few tasks.  The hash keeps this exchange: one on the same columns would be taken
+    # for the one of ``distinct``.
     width = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flagged = titles.select(F.col(title).alias("_title"), kind.alias("_type")).distinct().repartition(
-        width, "_title", "_type").withColumn("_folded", fold_title(F.col("_title"))).select(
+        width, F.xxhash64("_title", "_type")).withColumn("_folded", fold_title(F.col("_title"))).select(
         "_title", "_type", "_folded",
         *[c.alias(n) for n, c in accessory_flags(F.col("_folded")).items()])
     opened = flagged.select(*[c for c in flagged.columns if c != "_folded"], F.explode(_grams(

@@ -1,24 +1,29 @@
 """Fuzzy classification of titles against a text taxonomy.
 
-A node scores by its keywords found in the title plus half the partial ratio of its leaf.  The
-nodes of a type are arrays of bounded length in a small table, so a title meets them inside its own
-row: no pair ever becomes a row.  The ratio adds at most 50, so only nodes within 50 points of the best keyword
-score can still win, and only their leaves go to the Python worker.
+A node scores by its keywords found in the title plus half the partial ratio of its leaf.  The taxonomy
+is a query set: it goes in blocks of bounded size to all distinct titles, no pair ever becomes a row,
+and a worker builds its index of a block once.
+
+The index filters and verifies.  Characters that a leaf and a title share, counted, bound their common
+subsequence and so the ratio from above; nodes are taken in the order of keyword score plus bound, and
+the ratio is worked out only for those whose bound reaches the best total so far.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfline.functions import fixed_values as fv
-from shelfline.functions.text import let
 from shelfline.operators.classify import mapped_type
 from shelfline.operators.taxonomy import taxonomy_keywords
-from shelfline.session import BROADCAST_ROWS, broadcast_within
+from shelfline.session import BROADCAST_BYTES, written
 
 
 def _common(needle_bits: dict[str, int], width: int, window: str) -> int:
@@ -66,7 +71,7 @@ def _directed_ratio(short: str, long: str) -> float:
 
 
 _CHUNK = 16
-_CODES = 512
+_CODES = 256
 _MAX_WIDTH = 63
 
 
@@ -121,135 +126,143 @@ class LeafMasks:
         return out
 
 
-def best_rival(scores, leaves, text: str, masks: LeafMasks) -> tuple[int, float]:
-    """(place, total) of the best of some nodes in order; the first of equals.
-
-    High keyword scores go first, some at a time: once no ratio can lift a score past the best
-    total, none of the lower ones can win either.
-    """
-    place, best = -1, -1.0
-    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
-    for start in range(0, len(order), _CHUNK):
-        chunk = [i for i in order[start:start + _CHUNK]
-                 if scores[i] + 100 * fv.FUZZY_WEIGHT >= best]
-        if not chunk:
-            break
-        for i, ratio in zip(chunk, masks.ratios([leaves[i] for i in chunk], text)):
-            total = scores[i] + fv.FUZZY_WEIGHT * ratio
-            if total > best or (total == best and i < place):
-                place, best = i, total
-    return place, best
-
-
-_WON = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("total", T.DoubleType())])
-
-
-@F.pandas_udf(_WON)
-def _best_rivals(scores: pd.Series, leaves: pd.Series, text: pd.Series) -> pd.DataFrame:
-    masks = LeafMasks()
-    return pd.DataFrame([best_rival(list(s), list(v), t, masks)
-                         for s, v, t in zip(scores, leaves, text)], columns=["place", "total"])
-
-
-_NODES_PER_ROW = 1000
-
-
-def taxonomy_nodes(paths: DataFrame) -> DataFrame:
-    """``product_type, words, nodes``: arrays of a type's nodes in order, from ``product_type,
-    path, pos``.
-
-    An array holds at most 1000 nodes; a larger type takes several rows.  Nodes name their keywords
-    by place in ``words``, so a title looks for each word once however many nodes share it.
-    """
-    node = F.struct("pos", F.col("path"), F.lower(F.element_at(F.split("path", " > "), -1)).alias(
-        "leaf"), taxonomy_keywords(F.col("path")).alias("keywords"))
-    parts = (paths.groupBy("product_type", F.floor(F.col("pos") / _NODES_PER_ROW).alias("part"))
-             .agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-             .withColumn("words", F.array_distinct(F.flatten(F.transform(
-                 "nodes", lambda n: n["keywords"])))))
-    return parts.select("product_type", "words", let(F.col("words"), lambda words: F.transform(
-        "nodes", lambda n: F.struct(
-            n["pos"].alias("pos"), n["path"].alias("path"), n["leaf"].alias("leaf"),
-            F.transform(n["keywords"], lambda k: F.array_position(words, k).cast("int") - 1).alias(
-                "keywords")))).alias("nodes"))
-
-
-def _word_points(title: Column, words: Column) -> Column:
-    """Points of every word: twice its length in the title, three times on word boundaries.
-
-    The boundary test reads the spaced-out title first and a pattern only where that says no.
-    """
-    literal = lambda k: F.concat(F.lit(r"(?Ud)\b\Q"), k, F.lit(r"\E\b"))
-    spaced = F.concat(F.lit(" "), title, F.lit(" "))
-    return let(spaced, lambda wide: F.transform(words, lambda k: F.when(
-        F.contains(wide, k) & F.contains(title, k), F.length(k) * F.when(
-            F.contains(wide, F.concat(F.lit(" "), k, F.lit(" ")))
-            & k.rlike(r"^[a-z0-9].*[a-z0-9]$"), 3)
-        .when(F.regexp_like(title, literal(k)), 3).otherwise(2)).otherwise(0)))
-
-
-def _met(titles: DataFrame, paths: DataFrame, title: str, product_type: str) -> DataFrame:
-    """Each distinct (title, type) once per part of its type's nodes."""
-    # Scoring costs far more than a title's bytes say, so the tasks are not put together by size.
-    width = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = titles.select(F.col(title).alias("_title"), mapped_type(F.col(product_type)).alias(
-        "_kind")).distinct().repartition(width, "_title", "_kind")
-    nodes = broadcast_within(taxonomy_nodes(paths).withColumnRenamed("product_type", "_kind"),
-                             rows=BROADCAST_ROWS // _NODES_PER_ROW)
-    return pairs.join(nodes, "_kind", "left").withColumn(
-        "_text", F.lower(F.coalesce("_title", F.lit(""))))
-
-
-def _scored() -> Column:
-    """The nodes of a row with the points of their keywords in its title."""
-    # Both are bound, not named by a column: a column read once inside a lambda is worked out
-    # again for every element.
-    return let(F.col("_text"), lambda text: let(_word_points(text, F.col("words")), lambda points: (
-        F.transform(F.coalesce("nodes", F.array()), lambda n: F.struct(
-            F.aggregate(n["keywords"], F.lit(0), lambda acc, i: acc + F.get(points, i)).alias(
-                "score"), n["pos"].alias("pos"), n["path"].alias("path"),
-            n["leaf"].alias("leaf"))))))
+class KindIndex:
+    """The nodes of a type in one block: keywords to nodes, character counts and masks of leaves."""
+
+    def __init__(self, nodes: list[tuple[int, str, list[str], str]]):
+        self.pos = np.array([n[0] for n in nodes])
+        self.leaves, self.names = [n[1] for n in nodes], [n[3] for n in nodes]
+        place: dict[str, int] = {}
+        pairs = [(i, place.setdefault(k, len(place))) for i, n in enumerate(nodes) for k in n[2] if k]
+        self.words = [(i, w, len(w), re.compile(rf"\b{re.escape(w)}\b")) for w, i in place.items()]
+        self.node, self.word = (np.array([p[j] for p in pairs], np.intp) for j in (0, 1))
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(self.leaves))))}
+        self.widths = np.array(list(map(len, self.leaves)))
+        self.counts = np.zeros((len(nodes), len(self.letters)), np.int32)
+        for i, leaf in enumerate(self.leaves):
+            for c in leaf:
+                self.counts[i, self.letters[c]] += 1
+        self.masks = LeafMasks()
+
+    def scores(self, text: str) -> np.ndarray:
+        """Points of the keywords of every node: twice a length, on word boundaries three times."""
+        points = np.zeros(len(self.words))
+        for i, word, size, pattern in self.words:
+            if word in text:
+                points[i] = size * (3 if pattern.search(text) else 2)
+        return np.bincount(self.node, points[self.word], len(self.leaves))
+
+    def bounds(self, text: str) -> np.ndarray:
+        """At least the partial ratio of every leaf: no stretch shares more than the characters do."""
+        own = np.zeros(len(self.letters), np.int32)
+        for c in text:
+            if (i := self.letters.get(c)) is not None:
+                own[i] += 1
+        shared = np.minimum(self.counts, own).sum(axis=1)
+        short = np.minimum(self.widths, len(text))
+        return np.where(short > 0, 200.0 * shared / np.maximum(short + shared, 1), 100.0)
+
+    def best(self, text: str) -> tuple[int, float, int, str]:
+        """(best keyword score, best total, its place and leaf); of equal totals the smallest place."""
+        scores = self.scores(text)
+        reach = scores + fv.FUZZY_WEIGHT * self.bounds(text)
+        order = np.argsort(-reach, kind="stable")
+        best, place, won = -1.0, -1, 0
+        for start in range(0, len(order), _CHUNK):
+            chunk = [i for i in order[start:start + _CHUNK].tolist() if reach[i] >= best]
+            if not chunk:
+                break
+            for i, ratio in zip(chunk, self.masks.ratios([self.leaves[i] for i in chunk], text)):
+                total = float(scores[i]) + fv.FUZZY_WEIGHT * ratio
+                if total > best or (total == best and self.pos[i] < place):
+                    best, place, won = total, int(self.pos[i]), i
+        return int(scores.max()), best, place, self.names[won]
+
+
+_SCORED = "title string, kind string, top int, total double, pos long, leaf string"
+
+
+def _blocks(paths: DataFrame, size: int) -> Iterator[dict[str, list[tuple]]]:
+    """The taxonomy's nodes by type, in blocks of about ``size`` bytes; one at a time is on the driver."""
+    leaf = F.element_at(F.split("path", " > "), -1)
+    nodes = written(paths.select(
+        "product_type", "pos", F.lower(leaf).alias("leaf"), taxonomy_keywords(F.col("path")).alias(
+            "keywords"), leaf.alias("name"), F.octet_length("path").alias("bytes")), "nodes")
+    total = nodes.agg(F.sum("bytes")).first()[0] or 0
+    # A node in a worker is some times as large as its path.
+    count = max(1, -(-16 * total // size))
+    for n in range(count):
+        own = nodes.where(F.pmod(F.xxhash64("product_type", "pos"), F.lit(count)) == n) if count > 1 else nodes
+        by: dict[str, list[tuple]] = {}
+        for r in own.collect():
+            by.setdefault(r["product_type"], []).append(
+                (r["pos"], r["leaf"], r["keywords"], r["name"]))
+        yield {kind: sorted(v) for kind, v in by.items()}
+
+
+def _scored(titles: DataFrame, paths: DataFrame, title: str, product_type: str, size: int) -> DataFrame:
+    """(title, kind, top, total, pos, leaf) of each distinct title and type the taxonomy has nodes for."""
+    spark = titles.sparkSession
+    # Scoring costs far more than a title's bytes say, so the tasks are not put together by size.  The
+    # hash keeps this exchange: one on the same columns would be taken for the one of ``distinct``.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = titles.select(F.col(f"`{title}`").alias("title"), mapped_type(F.col(product_type)).alias(
+        "kind")).distinct().repartition(width, F.xxhash64("title", "kind")).withColumn(
+        "text", F.lower(F.coalesce("title", F.lit(""))))
+    parts = []
+    for nodes in _blocks(paths, size):
+        sent = spark.sparkContext.broadcast({"nodes": nodes, "index": {}})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            nodes, index = sent.value["nodes"], sent.value["index"]
+            for batch in batches:
+                out = []
+                for name, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if kind in nodes:
+                        if kind not in index:
+                            index[kind] = KindIndex(nodes[kind])
+                        out.append((name, kind, *index[kind].best(text)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in out], t) for i, t in enumerate(
+                        (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.string()))],
+                    names=["title", "kind", "top", "total", "pos", "leaf"])
+
+        parts.append(pairs.mapInArrow(run, _SCORED))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy("title", "kind").agg(
+        F.max("top").alias("top"), F.max(F.struct("total", (-F.col("pos")).alias("place"), "leaf"))
+        .alias("best")).select("title", "kind", "top", "best.total", (-F.col("best.place")).alias("pos"),
+                               "best.leaf")
 
 
 def keyword_scores(titles: DataFrame, paths: DataFrame, title: str = "title",
-                   product_type: str = "product_type") -> DataFrame:
+                   product_type: str = "product_type", size: int = BROADCAST_BYTES) -> DataFrame:
     """``title, product_type, score``: the best keyword score of each distinct title and type."""
-    best = F.array_max(F.transform(_scored(), lambda s: s["score"]))
-    return (_met(titles, paths, title, product_type)
-            .groupBy(F.col("_title").alias(title), F.col("_kind").alias(product_type))
-            .agg(F.coalesce(F.max(best), F.lit(0)).alias("score")))
+    found = _scored(titles, paths, title, product_type, size).select(
+        F.col("title").alias("_t"), F.col("kind").alias("_k"), "top")
+    pairs = titles.select(F.col(f"`{title}`").alias(title), mapped_type(F.col(product_type)).alias(
+        product_type)).distinct()
+    return pairs.join(found, F.col(title).eqNullSafe(F.col("_t")) & (F.col(product_type) == F.col("_k")),
+                      "left").select(title, product_type, F.coalesce("top", F.lit(0)).alias("score"))
 
 
 def fuzzy_category(titles: DataFrame, paths: DataFrame, title: str = "title",
-                   product_type: str = "product_type") -> DataFrame:
+                   product_type: str = "product_type", size: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``category`` (a leaf or "Other") and ``confidence`` (0 to 1).
 
     Each distinct (title, type) is scored once: repeated titles are common in feeds and scoring is
     the costly part.  A type outside the taxonomy gives "Other" and 0.
     """
-    met = _met(titles, paths, title, product_type)
-    reach = F.lit(int(100 * fv.FUZZY_WEIGHT))
-    rivals = let(_scored(), lambda all_: let(
-        F.coalesce(F.array_max(F.transform(all_, lambda s: s["score"])), F.lit(0)),
-        lambda top: F.filter(all_, lambda s: s["score"] + reach >= top)))
-    cut = met.select("_title", "_kind", "_text", rivals.alias("_rivals"))
-    rated = cut.withColumn("_won", _best_rivals(
-        F.transform("_rivals", lambda s: s["score"]), F.transform("_rivals", lambda s: s["leaf"]),
-        F.col("_text")))
-    rival = F.get("_rivals", F.col("_won.place"))
-    # Titles stay clustered as the distinct left them, so this needs no shuffle.
-    best = rated.select("_title", "_kind", F.when(F.col("_won.place") >= 0, F.struct(
-        F.col("_won.total").alias("score"), (-rival["pos"]).alias("place"),
-        rival["path"].alias("path"))).alias("_best")).groupBy("_title", "_kind").agg(
-        F.max("_best").alias("_best"))
-    won = F.col("_best.score") > fv.FUZZY_THRESHOLD
-    # A null title or type joins like any other value.
-    back = (titles.withColumn("_kind", mapped_type(F.col(product_type)))
-            .alias("t").join(best.alias("b"), F.col(f"t.{title}").eqNullSafe(F.col("b._title"))
-                             & F.col("t._kind").eqNullSafe(F.col("b._kind")), "left"))
+    won = _scored(titles, paths, title, product_type, size).where(
+        F.col("total") > fv.FUZZY_THRESHOLD).select(
+        F.col("title").alias("_title"), F.col("kind").alias("_type"), "total", F.col("leaf").alias("_leaf"))
+    # A null title joins like any other value.
+    back = (titles.withColumn("_kind", mapped_type(F.col(product_type))).alias("t")
+            .join(won.alias("b"), F.col(f"t.{title}").eqNullSafe(F.col("b._title"))
+                  & (F.col("t._kind") == F.col("b._type")), "left"))
     return back.select(
-        *[F.col(f"t.{c}").alias(c) for c in titles.columns],
-        F.when(won, F.element_at(F.split("_best.path", " > "), -1)).otherwise(
-            F.lit(fv.NO_CATEGORY)).alias("category"),
-        F.when(won, F.least(F.col("_best.score") / 100, F.lit(1.0))).otherwise(F.lit(0.0)).alias(
-            "confidence"))
+        *[F.col(f"t.`{c}`").alias(c) for c in titles.columns],
+        F.coalesce("_leaf", F.lit(fv.NO_CATEGORY)).alias("category"),
+        F.when(F.col("total").isNull(), F.lit(0.0)).otherwise(F.least(F.col("total") / 100, F.lit(
+            1.0))).alias("confidence"))

@@ -178,7 +178,7 @@ def _(spark, sf):
         level_of(path, 2).alias("level2"), level_of(path, 3).alias("level3"))
 
 
-@query("fuzzy_keyword_score", rf"""with {PRODUCTS}, {TAXONOMY},
+FUZZY = rf"""{PRODUCTS}, {TAXONOMY},
 levels as (select product_type, path, list_transform(string_split(path, ' > '),
   lambda l: regexp_replace(trim(lower(l)), '[^a-z0-9\s&-]', '', 'g')) as ls from paths),
 words as (select distinct product_type, path, keyword from (
@@ -190,17 +190,48 @@ pairs as (select distinct title, {mapped('product_type')} as kind from products)
 points as (select p.title, p.kind, w.path, sum(case when contains(lower(coalesce(p.title, '')), w.keyword)
   then length(w.keyword) * case when regexp_matches(lower(p.title), '\b' || regexp_escape(w.keyword)
    || '\b') then 3 else 2 end else 0 end) as s
-  from pairs p left join words w on w.product_type = p.kind group by all)
-select title, kind as product_type, cast(coalesce(max(s), 0) as integer) as score from points
+  from pairs p left join words w on w.product_type = p.kind group by all)"""
+
+
+@query("fuzzy_keyword_score", f"""with {FUZZY}
+ select title, kind as product_type, cast(coalesce(max(s), 0) as integer) as score from points
  group by all""")
 def _(spark, sf):
     paths = ta.positioned(ta.taxonomy_paths(views.taxonomy(spark, sf)))
     return keyword_scores(views.products(spark, sf), paths)
 
 
-# Partial ratios need a subsequence search, which SQL has no function for; a test compares this
-# query with a plain search over all pairs.
-@query("fuzzy_category")
+# The partial ratio, window by window: the longest common subsequence of the shorter text and a window
+# is what is left of a row of bits after one step for each character.
+@query("fuzzy_category", f"""with {FUZZY},
+rivals as (select title, kind, path, s, lower(coalesce(title, '')) as text,
+  lower(string_split(path, ' > ')[-1]) as leaf from points where path is not null
+  qualify s + {100 * fv.FUZZY_WEIGHT} >= max(s) over (partition by title, kind)),
+texts as (select distinct text, leaf from rivals),
+turned as (select text, leaf, leaf as a, text as b from texts where length(leaf) <= length(text)
+  union all select text, leaf, text, leaf from texts where length(text) <= length(leaf)),
+masks as (select *, length(a) as w, (1::hugeint << length(a)) - 1 as full_row, map_from_entries(
+  list_transform(list_distinct(string_split(a, '')), lambda c: {{'k': c, 'v': list_sum(list_transform(
+    range(1, length(a) + 1), lambda i: case when a[i] = c then 1::hugeint << (i - 1) else 0::hugeint end)
+    )::hugeint}})) as bits from turned where not contains(b, a)),
+windows as (select text, leaf, w, full_row, bits, substr(b, greatest(f, 0) + 1,
+   least(f + w, length(b)) - greatest(f, 0)) as part from (
+  select *, unnest(range(1 - w, length(b))) as f from masks where w > 0)),
+stepped as (select text, leaf, w, length(part) as n, list_reduce(list_prepend(full_row, list_transform(
+   string_split(part, ''), lambda c: coalesce(bits[c], 0::hugeint))), lambda x, m:
+   ((x + (x & m)) | (x - (x & m))) & full_row) as state from windows),
+ratios as (select text, leaf, max(r) as ratio from (
+  select text, leaf, 2 * (w - bit_count(state)) / (w + n) as r from stepped
+  union all select text, leaf, case when a <> '' or b = '' then 1.0 else 0.0 end from turned
+   where contains(b, a)) group by all),
+totals as (select *, s + {fv.FUZZY_WEIGHT} * (100.0::double * ratio::double) as total
+  from rivals join ratios using (text, leaf) join paths p on p.product_type = kind and p.path = rivals.path),
+best as (select title, kind, string_split(path, ' > ')[-1] as category, total from totals
+  qualify row_number() over (partition by title, kind order by total desc, pos) = 1)
+select row_id, coalesce(b.category, '{fv.NO_CATEGORY}') as category,
+ round(case when total is null then 0.0 else least(total / 100, 1.0) end::double, 6) as confidence
+from products left join best b on b.title is not distinct from products.title
+ and b.kind = {mapped('product_type')} and total > {fv.FUZZY_THRESHOLD}""")
 def fuzzy(spark, sf):
     paths = ta.positioned(ta.taxonomy_paths(views.taxonomy(spark, sf)))
     return fuzzy_category(views.products(spark, sf), paths).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import classify as cl
 from shelfline.operators import taxonomy as ta
-from shelfline.operators.fuzzy import LeafMasks, fuzzy_category, partial_ratio
+from shelfline.operators.fuzzy import KindIndex, LeafMasks, fuzzy_category, partial_ratio
 
 DICT_SCHEMA = "product_type string, path string, pos long, keyword string"
 ENTRIES = [
@@ -206,6 +206,9 @@ def test_fuzzy_category_equals_search_over_all_pairs(spark):
         "path", ta.taxonomy_keywords(F.col("path")).alias("k")).collect()}
     got = {r.row_id: (r.category, round(r.confidence, 9))
            for r in fuzzy_category(df, table).collect()}
+    # A taxonomy beyond the bound goes in several blocks.
+    assert got == {r.row_id: (r.category, round(r.confidence, 9))
+                   for r in fuzzy_category(df, table, size=6000).collect()}
     for i, title in enumerate(titles):
         best, top = None, 0
         for path in paths:
@@ -220,6 +223,16 @@ def test_fuzzy_category_equals_search_over_all_pairs(spark):
         assert got[i] == want, title
 
 
+def test_bounds_of_leaves_are_never_below_their_ratios():
+    rng = random.Random(8)
+    text = lambda most: "".join(rng.choice("abcde ") for _ in range(rng.randint(0, most)))
+    index = KindIndex([(i, text(9), []) for i in range(50)])
+    for _ in range(100):
+        title = text(14)
+        for leaf, bound in zip(index.leaves, index.bounds(title)):
+            assert partial_ratio(leaf, title) <= bound + 1e-9
+
+
 def test_fuzzy_category_outside_the_taxonomy(spark):
     table = spark.createDataFrame([("Pets", "Dogs", 0)], "product_type string, path string, pos long")
     df = spark.createDataFrame([(1, "dogs", "Toys"), (2, None, "Pets"), (3, "dogs", None)],
