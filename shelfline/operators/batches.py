@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import re
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions import fixed_values as fv
+from shelfline.operators import answers as answer_log
 
 _SPAN_BITS = 12
 
@@ -105,17 +105,31 @@ def call_model(batches: DataFrame, model: Callable[[list[str]], list[str]],
     replies it refuses are tried again, after a growing pause; the last unreadable reply stands.
 
     The answers are a plan: each action asks again.  With ``store``, a folder that all executors
-    reach, the requests it has no reply to are asked once and written there, and the result reads
-    what is written; a later call with the same folder asks only what is missing.
+    reach, the requests it has no reply to are asked once and written there piece by piece (see
+    ``answers``), and the result reads what is written; a later call with the same folder asks only what
+    is missing, also after a call that broke off.
     """
+    ask = _asker(model, attempts, pause, readable)
     if store:
-        return _stored(batches, model, store, request, reply, error, attempts=attempts, pause=pause,
-                       parallelism=parallelism, readable=readable)
+        return _stored(batches, store, request, reply, error, ask, parallelism)
     if parallelism:
         batches = batches.repartition(parallelism)
     schema = T.StructType(batches.schema.fields + [
         T.StructField(reply, T.StringType()), T.StructField(error, T.StringType())])
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers = [ask(text) for text in frame[request]]
+            frame[reply] = [a for a, _ in answers]
+            frame[error] = [e for _, e in answers]
+            yield frame
+
+    return batches.mapInPandas(run, schema)
+
+
+def _asker(model: Callable[[list[str]], list[str]], attempts: int, pause: float,
+           readable: Callable[[str], bool] | None) -> Callable[[str], tuple[str | None, str | None]]:
+    """One request to (reply, error), with retries."""
     def ask(text: str) -> tuple[str | None, str | None]:
         problem, last = "empty reply", None
         for attempt in range(attempts):
@@ -134,35 +148,20 @@ def call_model(batches: DataFrame, model: Callable[[list[str]], list[str]],
                 time.sleep(pause * (attempt + 1))
         return (last, None) if last else (None, problem)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [ask(text) for text in frame[request]]
-            frame[reply] = [a for a, _ in answers]
-            frame[error] = [e for _, e in answers]
-            yield frame
-
-    return batches.mapInPandas(run, schema)
+    return ask
 
 
-def _stored(batches: DataFrame, model, store: str, request: str, reply: str, error: str, **call
-            ) -> DataFrame:
-    """Replies by request from a folder, after asking for those it lacks."""
-    spark = batches.sparkSession
-    schema = f"`{request}` string, `{reply}` string, `{error}` string"
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
-    else:
-        known = spark.createDataFrame([], schema)
-    todo = batches.select(request).distinct().join(
-        known.where(F.col(reply).isNotNull()).select(request), request, "left_anti")
-    call_model(todo, model, request, reply, error, **call).write.parquet(
-        f"{store}/run-{uuid.uuid4().hex}")
-    answers = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
-    # A reply goes before an error of an earlier run.
-    single = answers.groupBy(request).agg(F.min(reply).alias(reply), F.max(error).alias(error))
-    return batches.join(single.withColumn(error, F.when(F.col(reply).isNull(), F.col(error))),
-                        request, "left").select(*batches.columns, reply, error)
+def _stored(batches: DataFrame, store: str, request: str, reply: str, error: str, ask,
+            parallelism: int | None) -> DataFrame:
+    """Replies by request from a log, after asking for those it lacks."""
+    answer_log.ask(batches.select(F.col(f"`{request}`").alias("request")), store, ask, parallelism)
+    known = answer_log.answers(batches.sparkSession, store).select(
+        F.col("key").alias("_key"), F.col("request").alias("_request"), F.col("reply").alias("_reply"),
+        F.col("error").alias("_error"))
+    asked = F.col(f"`{request}`")
+    return batches.join(known, (F.xxhash64(asked) == F.col("_key")) & (asked == F.col("_request")),
+                        "left").select(*[F.col(f"`{c}`") for c in batches.columns],
+                                       F.col("_reply").alias(reply), F.col("_error").alias(error))
 
 
 def apply_answers(df: DataFrame, answers: DataFrame, column: str, row_id: str = "row_id"

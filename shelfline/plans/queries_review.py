@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
 from shelfline.functions import replies as rp
+from shelfline.operators import answers as answer_log
 from shelfline.operators import batches as ba
 from shelfline.operators import review as re_
 from shelfline.plans import stand_ins, views
 from shelfline.plans.registry import query
+from shelfline.session import shared_folder
 
 CATALOG = f"""p_partkey as row_id, {views.TITLE} as title, {views.BRAND} as brand,
  case when p_size > 30 then 'Other' else p_name end as category,
@@ -161,6 +165,25 @@ def keyword_batches(spark, sf):
         "row_id", "keyword")
 
 
+@query("stored_keywords", f"""with {_CATALOG} select row_id, case when contains(title, 'Gift')
+ then keyword else array_to_string(string_split(lower(title), ' ')[1:2], ' ') end as keyword
+ from catalog""")
+def _(spark, sf):
+    """A call that breaks off, one that resumes from its log, and one that finds all it asks for."""
+    store = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    catalog = _catalog(spark, sf)
+
+    def breaks_off(requests):
+        if stand_ins.unlucky(requests[0]):
+            raise SystemError("the model went away")
+        return stand_ins.keyword_model(requests)
+
+    re_.batch_keywords(catalog, breaks_off, store=store, attempts=1, pause=0)
+    answer_log.compact(spark, store)
+    re_.batch_keywords(catalog, stand_ins.keyword_model, store=store, pause=0)
+    return re_.batch_keywords(catalog, stand_ins.no_model, store=store, pause=0).select("row_id", "keyword")
+
+
 @query("keyword_singles", rf"""with {_CATALOG} select row_id, lower(trim(regexp_replace(
  regexp_replace(replace(array_to_string(string_split(title, ' ')[1:3], ' '), '&', 'And'),
   '[^A-Za-z0-9 ]', '', 'g'), '\s+', ' ', 'g'))) as keyword from catalog""")

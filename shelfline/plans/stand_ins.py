@@ -7,6 +7,7 @@ their answers can be stated in SQL.
 from __future__ import annotations
 
 import json
+import zlib
 
 
 def _products(request: str) -> list[tuple[str, str]]:
@@ -110,3 +111,12 @@ def pick_model(requests: list[str]) -> list[str]:
     """One brand for every title; nothing for gift titles."""
     return ["{}" if "gift" in r.lower() else '```json\n{"brand": "Pick", "vintage": null}\n```'
             for r in requests]
+
+
+def unlucky(request: str) -> bool:
+    """A third of all requests, by their text."""
+    return zlib.crc32(request.encode()) % 3 == 0
+
+
+def no_model(requests: list[str]) -> list[str]:
+    raise AssertionError("everything was asked before")

@@ -1,7 +1,11 @@
+import uuid
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfline.functions import replies as rp
+from shelfline.operators import answers as answer_log
 from shelfline.operators import batches as ba
 from shelfline.operators import merge as me
 from shelfline.operators import metrics as mt
@@ -196,3 +200,57 @@ def test_additive_merge_touches_only_new_columns_and_the_keyword(spark):
 def test_counters_treat_null_keywords_as_blank(spark):
     df = spark.createDataFrame([("a", "x"), ("a", None), (None, "")], "level3 string, keyword string")
     assert tuple(mt.catalog_stats(df).first()) == (3, 1, 1)
+
+
+def test_answers_outlive_a_job_that_dies(spark, tmp_path):
+    """The model ends the job half-way; the second call asks only what is left, the third nothing."""
+    calls, store = tmp_path / "calls", str(tmp_path / "log")
+    calls.mkdir()
+
+    def model(requests):
+        (calls / f"{requests[0]}-{uuid.uuid4().hex}").touch()
+        if requests[0] == "q17" and not (tmp_path / "up").exists():
+            raise SystemExit("killed")
+        return ["ok " + requests[0]]
+
+    def asked():
+        return Counter(p.name.rsplit("-", 1)[0] for p in calls.iterdir())
+
+    def ask(text):
+        return model([text])[0], None
+
+    df = spark.createDataFrame([(f"q{i}",) for i in range(40)] + [("q1",), (None,)], "request string")
+    with pytest.raises(Exception):
+        answer_log.ask(df, store, ask, tasks=2, piece=3)
+    kept = {r.request for r in answer_log.answers(spark, store).collect()}
+    assert 0 < len(kept) < 40 and "q17" not in kept
+    before = asked()
+    (tmp_path / "up").touch()
+    assert answer_log.ask(df, store, ask, tasks=3, piece=3) == 40 - len(kept)
+    assert all(asked()[q] == before[q] for q in kept)
+    assert answer_log.ask(df, store, ask, tasks=3, piece=3) == 0
+    for _ in range(2):
+        got = {r.request: (r.reply, r.error) for r in answer_log.answers(spark, store).collect()}
+        assert got == {f"q{i}": (f"ok q{i}", None) for i in range(40)}
+        answer_log.compact(spark, store)
+    assert not list((tmp_path / "log" / "pieces").glob("*.parquet")) and len(
+        list((tmp_path / "log" / "tables").iterdir())) == 1
+
+
+def test_a_piece_is_not_asked_twice(spark, tmp_path):
+    """A task that runs again finds its pieces; pieces with errors are asked again."""
+    count = spark.sparkContext.accumulator(0)
+
+    def ask(text):
+        count.add(1)
+        return (None, "no") if text == "bad" and not (tmp_path / "up").exists() else ("yes", None)
+
+    df = spark.createDataFrame([("a",), ("bad",), ("b",)], "request string")
+    store = str(tmp_path / "log")
+    assert answer_log.ask(df, store, ask, tasks=1) == 3
+    assert {(r.request, r.error) for r in answer_log.answers(spark, store).collect()} == {
+        ("a", None), ("bad", "no"), ("b", None)}
+    assert answer_log.ask(df, store, ask, tasks=1) == 1
+    (tmp_path / "up").touch()
+    assert answer_log.ask(df, store, ask, tasks=1) == 1 and count.value == 5
+    assert {(r.reply, r.error) for r in answer_log.answers(spark, store).collect()} == {("yes", None)}
