@@ -41,20 +41,24 @@ ROWS = f"""p_brand || '/' || cast(floor(p_partkey / {BUCKET}) as bigint) as uplo
  p_size || '.50' as price, p_size || '' as popularity_rank"""
 
 
-def sheet(rows: list[list[str]]) -> bytes:
-    """A workbook of one sheet with inline strings."""
+def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of sheets with inline strings."""
     space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    cells = "".join("<row>" + "".join(
-        f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in row) + "</row>" for row in rows)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="{link}"><sheets>'
-                      '<sheet name="Feed" sheetId="1" r:id="r1"/></sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" '
-                      'Target="worksheets/sheet1.xml"/></Relationships>')
-        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{cells}'
-                      "</sheetData></worksheet>")
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="{link}"><sheets>' + "".join(
+            f'<sheet name="{escape(name)}" sheetId="{i}" r:id="r{i}"/>' for i, name in enumerate(sheets, 1))
+            + '</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(
+            f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+            + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            cells = "".join("<row>" + "".join(
+                f'<c t="inlineStr"><is><t>{escape(v or "")}</t></is></c>' for v in row) + "</row>"
+                for row in rows)
+            book.writestr(f"xl/worksheets/sheet{i}.xml",
+                          f'<worksheet xmlns="{space}"><sheetData>{cells}</sheetData></worksheet>')
     return out.getvalue()
 
 
@@ -81,7 +85,7 @@ def upload(parts: pd.DataFrame) -> bytes:
             if month == NAMELESS and "3/" in name:
                 member = "feed/Summer.csv"
             if delimiter is None:
-                data = sheet([[v or "" for v in row] for row in table])
+                data = workbook({"Feed": table})
             elif month == BARE and "2/" in name:
                 data = b"nothing here"
             else:
@@ -105,13 +109,13 @@ def large_upload(parts: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
-def written_uploads(parts, make) -> str:
-    """The folder that holds the archive of every upload."""
+def written_uploads(parts, make, ending: str = ".zip") -> str:
+    """The folder that holds the file of every upload."""
     folder = f"{shared_folder(parts.sparkSession)}/uploads-{uuid.uuid4().hex}"
 
     def write(own: pd.DataFrame) -> pd.DataFrame:
         name = own["upload"].iloc[0]
-        write_file(f"{folder}/{name}.zip", make(own))
+        write_file(f"{folder}/{name}{ending}", make(own))
         return pd.DataFrame({"upload": [name]})
 
     parts.groupBy("upload").applyInPandas(write, "upload string").write.format("noop").mode(

@@ -177,6 +177,10 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean
           "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
 
 
+def schema_of(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[kind]) for n, kind in (x.split(" ") for x in ddl.split(", "))])
+
+
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     fields = [x.split(" ") for x in ddl.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[kind])

@@ -9,6 +9,7 @@ from shelfline.operators import consolidate as co
 from shelfline.sources import archive as ar
 from shelfline.sources import columns as sc
 from shelfline.sources import filenames as fn
+from shelfline.sources import ordered, reports
 from shelfline.sources import snapshot as sn
 from shelfline.sources import split_csv
 from shelfline.session import written
@@ -283,3 +284,76 @@ def test_damaged_member_in_blocks_is_left_out(spark, archives, tmp_path):
     undated = "December file is required but missing"
     assert found == {("f.zip", "Error reading Jan-2025.csv"), ("g.zip", "Archive cannot be opened"),
                      ("h.zip", "Archive cannot be opened"), ("g.zip", undated), ("h.zip", undated)}
+
+
+# --- order, side files, reports, updates ----------------------------------------------------------
+
+def test_lines_keep_their_order_over_blocks_and_files(spark, tmp_path):
+    for f in range(3):
+        (tmp_path / f"{f}.txt").write_text("".join(f"{f}-{i}\n" + "x" * (i % 50) + "\n" for i in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = ordered.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 10
+        got = [r.value for r in lines.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [x for f in range(3) for i in range(400) for x in (f"{f}-{i}", "x" * (i % 50))]
+
+
+def test_side_files_of_differing_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(" Title ,2024-01-01,Title\nGin,5,other\nRum,,x\n".encode("utf-16"))
+    (tmp_path / "b.csv").write_text("notes\nkeyword;Title;\n\"dry; gin\";Gin;z\n")
+    (tmp_path / "c.xlsx").write_bytes(xlsx([["Avg MSV", "Title"], [7, "Ale"]]))
+    (tmp_path / "d.csv").write_text("no table")
+    side = ordered.read_side_files(spark, str(tmp_path))
+    assert side.columns == ["Title", "Jan 2024", "keyword", "Avg MSV"]
+    assert sorted(map(tuple, side.collect()), key=str) == [
+        ("Ale", None, None, "7"), ("Gin", "5", None, None), ("Gin", None, "dry; gin", None),
+        ("Rum", None, None, None)]
+    (tmp_path / "none").mkdir()
+    assert ordered.read_side_files(spark, str(tmp_path / "none")).columns == []
+
+
+def test_report_files_are_bounded_ordered_and_committed(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    assert reports.load_report(spark, folder) is None
+    rows = [(i * 3, f'a "{i}"\n,', None if i % 2 else "", "x") for i in range(25)]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string").repartition(5)
+    reports.save_report(df.limit(3), folder)
+    reports.save_report(df, folder, rows=10, names=[" Title", "Mar 2024", "Title "])
+    table, manifest = reports.load_report(spark, folder)
+    assert table.columns == ["Title", "Mar 2024", "ordinal"]
+    assert sorted((r.file_no, r.first, r.rows) for r in manifest.collect()) == [(0, 0, 10), (1, 10, 10), (2, 20, 5)]
+    assert [tuple(r) for r in table.orderBy("ordinal").collect()] == [
+        (a, b, i) for i, (_, a, b, _) in enumerate(rows)]
+    (version,) = (tmp_path / "report").iterdir()
+    assert len(list((version / "files").glob("file_no=*/*.csv"))) == 3
+    next((version / "files").glob("file_no=1/*.csv")).unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        reports.load_report(spark, folder)
+    reports.save_report(df.limit(0), folder)
+    assert reports.load_report(spark, folder)[0].count() == 0
+
+
+def test_updates_write_what_changed(spark, tmp_path):
+    folder = str(tmp_path / "snap")
+    row = "`Row Id` long, title string"
+    sn.save_snapshot(spark.createDataFrame([(i, f"title {i}" * 9) for i in range(5000)], row), folder, kind="BWS")
+    size = lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    want, (version,) = {i: f"title {i}" * 9 for i in range(5000)}, (tmp_path / "snap").iterdir()
+    for n in range(5):
+        sn.update_snapshot(spark.createDataFrame([(n, f"new {n}"), (9000 + n, "added")], row), folder, "Row Id",
+                           removed=spark.createDataFrame([(100 + n, "")], row), most=3)
+        want |= {n: f"new {n}", 9000 + n: "added"}
+        del want[100 + n]
+        if n < 3:
+            assert size(version / "deltas") < size(version / "catalog") / 2
+        table, facts = sn.load_snapshot(spark, folder)
+        assert {r["Row Id"]: r.title for r in table.collect()} == want and facts == {"kind": "BWS"}
+        assert table.count() == len(want)
+    (now,) = (tmp_path / "snap").iterdir()
+    assert now != version and len(list((now / "deltas").iterdir())) == 1
+    with pytest.raises(ValueError):
+        sn.update_snapshot(table, str(tmp_path / "nothing"), "Row Id")
