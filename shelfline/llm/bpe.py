@@ -278,30 +278,40 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, text: str = "text", checked: str | None = None) -> DataFrame:
     """``df`` with ``ids``, ``piece_offsets`` (byte offset of each pre-token) and ``n_tokens``.
 
-    Columns of those names are replaced.
+    ``checked`` names a further column: do the ids decode to the bytes of the text.  Encoding and
+    decoding share a worker and its tables.  Columns of those names are replaced.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     name, lines = read_ranks(spark, ranks_path)
-    made = ("ids", "piece_offsets", "n_tokens")
-    kept = [c for c in df.columns if c.lower() not in made]
-    schema = columns_ddl(df, kept) + "ids array<int>, piece_offsets array<long>, n_tokens long"
+    made = ("ids", "piece_offsets", "n_tokens", *([checked] if checked else []))
+    kept = [c for c in df.columns if c.lower() not in [m.lower() for m in made]]
+    schema = columns_ddl(df, kept) + "ids array<int>, piece_offsets array<long>, n_tokens long" + (
+        f", `{checked}` boolean" if checked else "")
+
+    def same(tool: Codec, got: Encoded, texts: list[str]) -> pa.Array:
+        data, places = tool.decode(got.ids)
+        at = places[got.bounds].tolist()
+        return pa.array([data[x:y].tobytes() == t.encode("utf-8", "surrogatepass")
+                         for x, y, t in zip(at, at[1:], texts)], pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(name, lines)
         for batch in batches:
             body = batch.column(batch.num_columns - 1)
             for a, b in text_slices(body):
-                got = tool.encode(body.slice(a, b - a).to_pylist())
+                texts = body.slice(a, b - a).to_pylist()
+                got = tool.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(a, b - a) for c in batch.columns[:-1]),
                      pa.ListArray.from_arrays(pa.array(got.bounds, pa.int32()), pa.array(got.ids)),
                      pa.ListArray.from_arrays(pa.array(got.piece_bounds, pa.int32()),
                                               pa.array(got.offsets)),
-                     pa.array(np.diff(got.bounds))],
+                     pa.array(np.diff(got.bounds)),
+                     *([same(tool, got, texts)] if checked else [])],
                     names=[*batch.schema.names[:-1], *made])
 
     body = "_body"

@@ -302,6 +302,25 @@ def test_no_python_in_the_plan(spark):
 
 # --- pipeline -------------------------------------------------------------------------------------
 
+def plain_firsts(texts, least=0.8):
+    """The smallest key that each is linked to by pairs of five-word Jaccard of ``least`` or more."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+            for i, w in words.items()}
+    first = {}
+    for i in sorted(sets):
+        if i in first:
+            continue
+        first[i], todo = i, [i]
+        while todo:
+            x = todo.pop()
+            for y in sets:
+                if y not in first and len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y]):
+                    first[y] = i
+                    todo.append(y)
+    return first
+
+
 def test_pipeline_stages(spark, tables):
     docs = table(spark, tables, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES][1] == "SimHash near-dedup"
@@ -314,12 +333,7 @@ def test_pipeline_stages(spark, tables):
     model = quality.fit(docs, table(spark, tables, "labels"), remainder("doc_id", 4) != 2)
     assert set(good) == {r.doc_id for r in quality.scores(docs, model).collect()
                          if r.score >= quality.THRESHOLD}
-    from test_llm_text import plain_components, plain_simhash
-    prints = {i: plain_simhash(r.text) for i, r in good.items()}
-    parts = plain_components(list(prints.values()))
-    first = {}
-    for i, f in prints.items():
-        first[parts[f]] = min(i, first.get(parts[f], i))
+    first = plain_firsts({i: r.text for i, r in good.items()})
     assert set(single) == set(first.values())
     items = [re.findall(r"\w+", r.text.casefold()) for r in table(spark, tables, "benchmark").collect()]
     held = {i for i, r in single.items() for w in items
@@ -330,7 +344,7 @@ def test_pipeline_stages(spark, tables):
         assert clean[i].n_chars == len(clean[i].text)
         assert bool(plain_spans(r.text)) == (clean[i].text != r.text)
         assert not plain_spans(clean[i].text)
-    assert set(coded) == set(clean) and all(r.n_tokens == len(r.ids) for r in coded.values())
+    assert set(coded) == set(clean) and all(r.n_tokens == len(r.ids) and r.round_trip for r in coded.values())
     whole = corpus_pipeline.run(spark, tables)
     assert sorted(whole.columns) == sorted(seen[-1].columns) and whole.count() == len(coded)
 
