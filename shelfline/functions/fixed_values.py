@@ -42,6 +42,16 @@ CSV_COLUMN_WEIGHT = 10
 EMPTY_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+# What issues and reasons say; reports are compared by these texts.
+BAD_NAME = "Invalid filename format: "
+SECOND_OF_MONTH = "Duplicate file for month: "
+UNREADABLE = "Error reading "
+MISSING_COLUMN = "Missing required column: "
+NO_FILES = "No valid files found in archive"
+NO_DECEMBER = "December file is required but missing"
+NO_ENTITIES = "No entities extracted for: "
+NO_CANDIDATES = "No candidates generated for: "
+
 NO_PRICE = "N/A"
 NO_AVAILABILITY = "Potential Gap"
 NO_CATEGORY = "Other"

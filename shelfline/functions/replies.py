@@ -21,7 +21,7 @@ def keyword_item(row_id: Column, title: Column, brand: Column) -> Column:
     """One JSON line per product; the brand only where it says something."""
     name = prompt_field(brand)
     known = ~F.lower(name).isin("", "nan", "none")
-    shown = F.concat(prompt_field(title), F.when(known, F.concat(F.lit(" | Brand: "), name))
+    shown = F.concat(prompt_field(title), F.when(known, F.concat(F.lit(" (by "), name, F.lit(")")))
                      .otherwise(""))
     return F.concat(F.lit('{"product": "'), shown, F.lit('", "id": "'), row_id.cast("string"),
                     F.lit('"}'))

@@ -143,8 +143,8 @@ def entity_keyword(df: DataFrame, title: str = "title", into: str = "keyword",
         "_found", en.candidates())
     staged = staged.withColumn("_best", F.array_min(
         en.scored_candidates(F.col("_found"), F.col("_norm"))))
-    reason = (F.when(~en.has_entities(), F.concat(F.lit("No entities extracted for: "), shown))
-              .when(F.size("_found") == 0, F.concat(F.lit("No candidates generated for: "), shown)))
+    reason = (F.when(~en.has_entities(), F.concat(F.lit(fv.NO_ENTITIES), shown))
+              .when(F.size("_found") == 0, F.concat(F.lit(fv.NO_CANDIDATES), shown)))
     word = F.when(reason.isNull(), tx.clean_keyword(F.col("_best.candidate"))).otherwise("")
     return staged.withColumn("_word", word).withColumn("_why", reason).select(
         *[c for c in df.columns if c not in (into, error)],

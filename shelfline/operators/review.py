@@ -87,8 +87,8 @@ def single_keywords(df: DataFrame, model, column: str = "keyword", **call) -> Da
         df = df.withColumn(column, F.lit(""))
     brand = F.substring(F.translate(F.coalesce("brand", F.lit("")), '"', "'"), 1, 50)
     title = F.substring(F.translate(F.coalesce("title", F.lit("")), '"', "'"), 1, 200)
-    request = F.concat(F.lit("Title: "), title, F.when(brand != "", F.concat(
-        F.lit("\nBrand: "), brand)).otherwise(""))
+    request = F.concat(F.lit("name= "), title, F.when(brand != "", F.concat(
+        F.lit("\nmaker= "), brand)).otherwise(""))
     asked = call_model(df.withColumn("request", request), model, **call)
     return asked.withColumn(column, F.coalesce(rp.reply_keyword(F.col("reply")), column)).drop(
         "request", "reply")
@@ -123,13 +123,20 @@ def _positions(asked: DataFrame, *columns: str) -> DataFrame:
         *columns, "_n.number", "_n.row_id")
 
 
-def review_batches(df: DataFrame, category: str, size: int = fv.KEYWORD_BATCH) -> DataFrame:
-    """Review requests; rows are numbered from 1 inside their batch."""
+def review_batches(df: DataFrame, category: str, size: int = fv.KEYWORD_BATCH,
+                   categories: Column | None = None) -> DataFrame:
+    """Review requests; rows are numbered from 1 inside their batch.
+
+    With ``categories``, an array of the names there are, a line that lists them goes first.
+    """
     item = F.struct(F.col("title"), F.col("brand"), F.col(category).alias("category"))
     batches = assemble(df, item, size)
     lines = F.transform("items", lambda i, n: rp.review_item(
         n + 1, i["item"]["title"], i["item"]["brand"], i["item"]["category"]))
-    return batches.withColumn("request", F.array_join(lines, "\n\n"))
+    text = F.array_join(lines, "\n\n")
+    if categories is not None:
+        text = F.concat(rp.category_list(categories), F.lit("\n\n"), text)
+    return batches.withColumn("request", text)
 
 
 def review_results(df: DataFrame, asked: DataFrame, category: str) -> DataFrame:
@@ -143,8 +150,9 @@ def review_results(df: DataFrame, asked: DataFrame, category: str) -> DataFrame:
 
 
 def review_categories(df: DataFrame, model, category: str = "category",
-                      size: int = fv.KEYWORD_BATCH, **call) -> DataFrame:
-    return review_results(df, call_model(review_batches(df, category, size), model, **call),
+                      size: int = fv.KEYWORD_BATCH, categories: Column | None = None, **call) -> DataFrame:
+    """Ask whether categories are right; ``categories`` are the names the model is told of."""
+    return review_results(df, call_model(review_batches(df, category, size, categories), model, **call),
                           category)
 
 
@@ -159,9 +167,10 @@ def dual_results(df: DataFrame, asked: DataFrame, category: str) -> DataFrame:
         "_a.final_category")
 
 
-def dual_classify(df: DataFrame, model, category: str = "category",
-                  size: int = fv.KEYWORD_BATCH, **call) -> DataFrame:
-    return dual_results(df, call_model(review_batches(df, category, size), model, **call), category)
+def dual_classify(df: DataFrame, model, category: str = "category", size: int = fv.KEYWORD_BATCH,
+                  categories: Column | None = None, **call) -> DataFrame:
+    """Ask for the category beside the one there is; ``categories`` are the names to choose from."""
+    return dual_results(df, call_model(review_batches(df, category, size, categories), model, **call), category)
 
 
 def review_report(results: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def verify_keywords(df: DataFrame, model, title: str = "title", keyword: str = "
                     **call) -> DataFrame:
     """Ask per row whether the keyword fits the title: ``match`` (Y/N) and ``reason``."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    request = F.concat(F.lit("Product Title: "), text(title), F.lit("\nKeyword: "), text(keyword))
+    request = F.concat(F.lit("name= "), text(title), F.lit("\nphrase= "), text(keyword))
     asked = call_model(df.withColumn("request", request), model, **call)
     answer = rp.match_answer(F.col("reply"), F.col("call_error"))
     return asked.withColumn("_a", answer).select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfline.functions import fixed_values as fv
 from shelfline.functions.text import _U, strip_space, words_of
 from shelfline.operators.classify import mapped_type
+from shelfline.session import written
 
 
 def with_aliases(taxonomy: DataFrame, aliases=None) -> DataFrame:
@@ -39,6 +40,30 @@ def category_pairs(taxonomy: DataFrame) -> DataFrame:
             .distinct())
 
 
+def in_sorted_order(df: DataFrame, by: list[str], within: list[str] | None = None, into: str = "place"
+                    ) -> DataFrame:
+    """Number rows from 1 in the order of ``by``, over all of them or for each value of ``within``.
+
+    ``within`` are the first of ``by``.
+
+    Rows are dealt out by ranges and numbered within; what is summed over ranges is one count each.
+    ``by`` tells rows apart, so the numbers do not depend on the ranges.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = written(df.repartitionByRange(width, *by).sortWithinPartitions(*by).select(
+        "*", F.spark_partition_id().alias("_range"), at.alias("_at")), "ranges")
+    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(
+        F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = ranged.join(F.broadcast(counts), "_range").select(  # a row for each range
+        *df.columns, (F.col("_before") + F.col("_at") + 1).alias(into))
+    if not within:
+        return numbered
+    firsts = numbered.groupBy(*within).agg(F.min(into).alias("_first"))
+    return numbered.join(firsts, within).select(*df.columns, (F.col(into) - F.col("_first") + 1).alias(into))
+
+
 def numbered_categories(taxonomy: DataFrame) -> DataFrame:
     """Category pairs with their place in the type's sorted list."""
     place = F.row_number().over(W.partitionBy("product_type").orderBy("category"))
@@ -60,7 +85,10 @@ def category_text(taxonomy: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def deep_categories(paths: DataFrame) -> DataFrame:
-    """Distinct level names below the first, per type, from ``product_type, path``."""
+    """Distinct level names below the first, per type, from ``product_type, path``.
+
+    ``in_sorted_order`` gives lists of categories their places.
+    """
     below = F.expr("slice(split(path, ' > '), 2, greatest(size(split(path, ' > ')) - 1, 0))")
     return (paths.select(mapped_type(F.col("product_type")).alias("product_type"),
                          F.explode(below).alias("category"))

@@ -240,23 +240,28 @@ def fuzzy(spark, sf):
 
 # --- taxonomy -----------------------------------------------------------------------------------
 
-@query("taxonomy_l1_l2", f"""with {TAXONOMY} select distinct product_type,
+@query("taxonomy_l1_l2", f"""with {TAXONOMY}, c as (select distinct product_type,
  level1 || ' > ' || level2 as category from taxonomy where level1 is not null
- and level2 is not null""")
+ and level2 is not null)
+select *, row_number() over (partition by product_type order by category) as place from c""")
 def _(spark, sf):
-    return ta.category_pairs(views.taxonomy(spark, sf))
+    return ta.in_sorted_order(ta.category_pairs(views.taxonomy(spark, sf)), ["product_type", "category"],
+                              ["product_type"])
 
 
-@query("type_categories", f"""with {TAXONOMY} select distinct product_type, trim(category) as category
- from (select product_type, unnest(string_split(path, ' > ')[2:]) as category from paths)""")
+@query("type_categories", f"""with {TAXONOMY}, c as (select distinct product_type, trim(category) as category
+ from (select product_type, unnest(string_split(path, ' > ')[2:]) as category from paths))
+select *, row_number() over (partition by product_type order by category) as place from c""")
 def _(spark, sf):
-    return ta.deep_categories(ta.taxonomy_paths(views.taxonomy(spark, sf)))
+    return ta.in_sorted_order(ta.deep_categories(ta.taxonomy_paths(views.taxonomy(spark, sf))),
+                              ["product_type", "category"], ["product_type"])
 
 
-@query("all_categories", f"""with {TAXONOMY} select distinct
- trim(string_split(path, ' > ')[-1]) as category from paths""")
+@query("all_categories", f"""with {TAXONOMY}, c as (select distinct
+ trim(string_split(path, ' > ')[-1]) as category from paths)
+select *, row_number() over (order by category) as place from c""")
 def _(spark, sf):
-    return ta.leaf_categories(ta.taxonomy_paths(views.taxonomy(spark, sf)))
+    return ta.in_sorted_order(ta.leaf_categories(ta.taxonomy_paths(views.taxonomy(spark, sf))), ["category"])
 
 
 @query("taxonomy_aliases", f"""with {TAXONOMY} select product_type, level1, level2, level3

@@ -64,9 +64,9 @@ def _(spark, sf):
 
 _STATUS = f"""{_PARSED}, taken as (select archive, month, min(file_seq) as first_seq from parsed
   where month is not null and error is null group by all),
-status as (select p.*, case when p.month is null then 'Invalid filename format: ' || file_name
-  when file_seq > first_seq then 'Duplicate file for month: ' || p.month
-  when error is not null then 'Error reading ' || file_name || ': ' || error end as issue
+status as (select p.*, case when p.month is null then '{fv.BAD_NAME}' || file_name
+  when file_seq > first_seq then '{fv.SECOND_OF_MONTH}' || p.month
+  when error is not null then '{fv.UNREADABLE}' || file_name || ': ' || error end as issue
   from parsed p left join taken t on p.archive = t.archive and p.month = t.month)"""
 
 
@@ -186,15 +186,15 @@ def _(spark, sf):
     return mt.peak_seasonality(_volumes(spark, sf), ["row_id"])
 
 
-# Every year of the table.
-VOLUME_YEARS = list(range(1995, 2002))
-
-
-@query("volumes_wide", f"""with {_VOLUMES} select row_id, {', '.join(
-    f'''sum(volume) filter (where month = '{c[:3]}' and year = {c[-4:]}) as "{c}"'''
-    for c in [f"{m} {y}" for y in VOLUME_YEARS for m in fv.MONTHS])} from volumes group by all""")
+# A row without an id for every month of every year there is, so that each has its column.
+@query("volumes_wide", f"""with {_VOLUMES}, months as (select unnest([{', '.join(
+    f"'{m}'" for m in fv.MONTHS)}]) as month),
+every as (select row_id, month || ' ' || year as c, volume from volumes union all
+  select null, month || ' ' || year, null from months, (select distinct year from volumes
+   where year is not null))
+select * from (pivot every on c using sum(volume) group by row_id) where row_id is not null""")
 def _(spark, sf):
-    return me.volumes_wide(_volumes(spark, sf), ["row_id"], VOLUME_YEARS)
+    return me.volumes_wide(_volumes(spark, sf), ["row_id"])
 
 
 @query("volumes_long", f"""with {_VOLUMES} select row_id, year, month, volume from volumes""")

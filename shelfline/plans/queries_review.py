@@ -73,7 +73,7 @@ def _(spark, sf):
 @query("request_items", rf"""with {_CATALOG}, f as (select row_id, substr(trim(title), 1, 100) as t,
   substr(trim(coalesce(brand, '')), 1, 100) as b, brand, title, category from catalog)
  select row_id, '{{"product": "' || t || case when lower(b) in ('', 'nan', 'none') then ''
-   else ' | Brand: ' || b end || '", "id": "' || row_id || '"}}' as keyword_item,
+   else ' (by ' || b || ')' end || '", "id": "' || row_id || '"}}' as keyword_item,
   'item=' || row_id || chr(10) || 'name=' || title || chr(10) || 'maker='
    || coalesce(brand, '') as product_item,
   '#' || row_id || ' ' || title || chr(10) || 'made by ' || coalesce(brand, 'an unnamed maker')
@@ -211,7 +211,8 @@ _REVIEWED = f"""{_NUMBERED}, reviewed as (select row_id, title, category as assi
 
 
 def _reviewed(spark, sf):
-    return re_.review_categories(_catalog(spark, sf), stand_ins.review_model)
+    names = F.array(*[F.lit(c) for c in fv.PRODUCT_TYPES])
+    return re_.review_categories(_catalog(spark, sf), stand_ins.review_model, categories=names)
 
 
 @query("review_parse", f"with {_REVIEWED} select * from reviewed")

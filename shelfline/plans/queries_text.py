@@ -411,8 +411,8 @@ words as (select e.row_id, e.title, b.candidate, {' || '.join(f"coalesce({c}, ''
    as every, {_cleaned_keyword("coalesce(b.candidate, '')")} as ws
   from entities e left join best b on e.row_id = b.row_id)
 select row_id, {_capital(_firsts('ws') + '[1:5]')} as keyword,
- case when every = '' then 'No entities extracted for: ' || left(title, 50)
-  when candidate is null then 'No candidates generated for: ' || left(title, 50) end as keyword_error
+ case when every = '' then '{fv.NO_ENTITIES}' || left(title, 50)
+  when candidate is null then '{fv.NO_CANDIDATES}' || left(title, 50) end as keyword_error
  from words""")
 def entity_keyword(spark, sf):
     return kw.entity_keyword(views.entities(spark, sf)).select(

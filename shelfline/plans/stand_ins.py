@@ -64,6 +64,8 @@ def _reviewed(request: str) -> list[tuple[int, str, str]]:
     found = []
     for item in request.split("\n\n"):
         lines = item.split("\n")
+        if not lines[0].startswith("#"):  # the line of categories
+            continue
         number, title = lines[0].removeprefix("#").split(" ", 1)
         found.append((int(number), title, lines[2].removeprefix("filed under ")))
     return found
@@ -98,7 +100,7 @@ def check_model(requests: list[str]) -> list[str]:
     """A verdict in JSON; offers fail outright."""
     replies = []
     for request in requests:
-        title, keyword = (line.split(": ", 1)[1] for line in request.split("\n", 1))
+        title, keyword = (line.split("= ", 1)[1] for line in request.split("\n", 1))
         if "|" in title:
             raise RuntimeError("offer in title")
         verdict = "TRUE" if title.lower().startswith(keyword) else "n"

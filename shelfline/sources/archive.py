@@ -373,19 +373,19 @@ def split_decoded(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame
     empty = files.filter("file_name is null").select(
         "archive", F.lit(None).cast("string").alias("file_name"),
         F.coalesce(F.concat(F.lit("Archive cannot be opened: "), "error"),
-                   F.lit("No valid files found in archive")).alias("issue"))
+                   F.lit(fv.NO_FILES)).alias("issue"))
     status = file_status(files.filter("file_name is not null"))
     accepted = status.filter("accepted")
     lacking = accepted.select("archive", "file_name", F.explode(F.filter(F.array(*[
         F.when(header_of(F.col("header"), r).isNull(), F.lit(r)) for r in fv.REQUIRED_COLUMNS]),
         lambda r: r.isNotNull())).alias("missing")).select(
-        "archive", "file_name", F.concat(F.lit("Missing required column: "), "missing")
+        "archive", "file_name", F.concat(F.lit(fv.MISSING_COLUMN), "missing")
         .alias("issue"))
     held = accepted.groupBy("archive").agg(F.max(F.col("month") == "Dec").alias("has_december"))
     undated = files.select("archive").distinct().join(held, "archive", "left").filter(
         ~F.coalesce("has_december", F.lit(False))).select(
         "archive", F.lit(None).cast("string").alias("file_name"),
-        F.lit("December file is required but missing").alias("issue"))
+        F.lit(fv.NO_DECEMBER).alias("issue"))
     issues = (empty.unionByName(status.filter("issue is not null")
                                 .select("archive", "file_name", "issue"))
               .unionByName(lacking).unionByName(undated))

@@ -66,10 +66,10 @@ def file_status(files: DataFrame, archive: str = "archive", order: str = "file_s
     joined = files.join(taken, (F.col(archive) == F.col("_a")) & (F.col("month") == F.col("_m")),
                         "left")
     issue = (F.when(F.col("month").isNull(), F.concat(
-                F.lit("Invalid filename format: "), F.col("file_name")))
+                F.lit(fv.BAD_NAME), F.col("file_name")))
              .when(F.col(order) > F.col("_taken"), F.concat(
-                 F.lit("Duplicate file for month: "), F.col("month")))
+                 F.lit(fv.SECOND_OF_MONTH), F.col("month")))
              .when(F.col("error").isNotNull(), F.concat(
-                 F.lit("Error reading "), F.col("file_name"), F.lit(": "), F.col("error"))))
+                 F.lit(fv.UNREADABLE), F.col("file_name"), F.lit(": "), F.col("error"))))
     return joined.withColumn("issue", issue).withColumn(
         "accepted", F.col("issue").isNull()).drop("_a", "_m", "_taken")
