@@ -109,6 +109,11 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array([r[i] for r in rows], t) for i, t in enumerate(TYPES)], names=NAMES)
 
 
+def text_part(batch: int, bits: int) -> int:
+    """A range for a batch's texts: the numbers of batches are mixed, so that they spread evenly."""
+    return (batch * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) >> (64 - bits)
+
+
 def _requests(order: int, bits: int, with_texts: bool):
     shift = np.uint64(64 - bits)
 
@@ -135,7 +140,7 @@ def _requests(order: int, bits: int, with_texts: bool):
             with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(
                     compression="zstd")) as out:
                 out.write_table(head)
-            yield (batch, hash(batch) % (1 << bits), TEXTS, len(texts), None,
+            yield (batch, text_part(batch, bits), TEXTS, len(texts), None,
                    sink.getvalue().to_pybytes(), pack(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +184,13 @@ def _requests(order: int, bits: int, with_texts: bool):
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[list[tuple]]:
-    """Consecutive rows that agree in ``columns``."""
+    """Consecutive rows that agree in ``columns``; rows of texts stand alone unless a batch is wanted."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[2] == TEXTS and columns != [0]:
+                yield [row]
+                continue
             if held and any(held[-1][c] != row[c] for c in columns):
                 yield held
                 held = []
@@ -197,8 +205,7 @@ def _answers(totals_only: bool):
         for rows in _grouped(batches, [1, 2]):
             _, part, level = rows[0][:3]
             if level == TEXTS:
-                for row in rows:
-                    yield _table([row])
+                yield _table(rows)
                 continue
             asked = [unpack_sorted(r[5]) for r in rows]
             counts = np.concatenate([unpack(r[6], np.uint32) for r in rows])

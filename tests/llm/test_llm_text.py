@@ -145,6 +145,42 @@ def test_longer_histories_sum_to_one(spark):
     assert (nothing.train_tokens, nothing.n_known, nothing.n_tokens) == (0, 0, 3)
 
 
+def test_third_order_is_that_of_plain_counts(spark, monkeypatch):
+    """Histories of two words; unseen words and pairs take two failure arcs in a row."""
+    monkeypatch.setattr(ngram_lm, "BATCH_TEXT", 900)
+    rows = [(i, words(40, i, 9)) for i in range(40)] + [(90, "w1 zz w1 w2 zz zz"), (91, "w3"), (92, None)]
+    counts = [Counter(), Counter(), Counter()]
+    for i, t in rows:
+        if i < 40:
+            w = ["<s>", *(t or "").encode().lower().split(), "</s>"]
+            for k in range(3):
+                counts[k].update(zip(*(w[j:] for j in range(k + 1))))
+    n = sum(c for (x,), c in counts[0].items() if x != "<s>")
+    v, arcs = len(counts[0]) - 1, Counter()
+
+    def weight(history, x, prior=5.0):
+        if not history:
+            return (counts[0][(x,)] + 1) / (n + v + 1)
+        seen = counts[len(history)][(*history, x)]
+        arcs[len(history), seen > 0] += 1
+        return (seen + prior * weight(history[1:], x)) / (counts[len(history) - 1][history] + prior)
+
+    got = {r.doc_id: r.score for r in ngram_lm.scores(
+        docs(spark, rows), F.col("doc_id") < 40, order=3, prior=5.0).collect()}
+    for i, t in rows:
+        w = ["<s>", *(t or "").encode().lower().split(), "</s>"]
+        want = sum(math.log10(weight(tuple(w[max(0, k - 2):k]), w[k])) for k in range(1, len(w)))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    assert arcs[2, False] and arcs[1, False] and arcs[2, True]
+
+
+def test_texts_of_batches_spread_over_ranges():
+    """The first batches of many tasks, and the many batches of one."""
+    for batches in ([p << 32 for p in range(96)], [(5 << 32) + n for n in range(96)]):
+        load = Counter(ngram_lm.text_part(b, 8) for b in batches)
+        assert len(load) > 60 and max(load.values()) <= 4 and max(load) < 256
+
+
 def test_arcs_and_failure_arc_sum_to_one(spark):
     texts = ["a b a c", "a b", "b c c a"]
     vocabulary = ["a", "b", "c"]
