@@ -8,8 +8,11 @@ the entity.  In texts that hold the entity, every occurrence of a term beyond th
 further span.  Terms are the words of the whole text outside base spans.  Counts are of all texts,
 but texts of the same words are one context of the entity, so that copying does not make a term
 revealing.  Small counts are smoothed: n(t,e) / n(e) is taken with PRIOR
-more contexts of the entity, in which the term stands as often as anywhere.  There is no least number
-of contexts; the fewer an entity has, the rarer a term must be to reveal it.
+more contexts of the entity, in which the term stands as often as anywhere.  And it takes evidence: rare
+words stand beside every entity by chance, so a term counts only if fewer than ALPHA terms as rare as it
+are expected in as many of the entity's contexts (``chance``).  There is no least number of contexts and
+no least length of words; an entity of one context is revealed only where words that rare are so few
+that an average text has none.
 
 Everything is DataFrame and SQL functions.  Texts themselves are shuffled only where they hold an
 entity that some term reveals, and in ``sanitised`` once.
@@ -24,12 +27,14 @@ keeps all columns, null texts included.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfline.functions.text import let
 from shelfline.llm.common import Scratch, table, whole
 from shelfline.llm.registry import query
 
@@ -44,13 +49,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM_KIND = "term"
-# A term is a word of letters and digits; of those that begin with a letter of a cased or marked
-# script, one of three characters or more.
-TERM = (r"(?<![\p{L}\p{N}])(?:\p{Lo}|[\p{L}&&[^\p{Lo}]][\p{L}\p{M}\p{N}]{2}|\p{N}++\p{L})"
-        r"[\p{L}\p{M}\p{N}]*+")
+# A term is a word of letters and digits.
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
 # Share of the entity's information that a term must give away; contexts without evidence that smooth
-# small counts.
-DISCLOSURE, PRIOR = 0.8, 2.0
+# small counts; how many such terms an entity may be expected to have by chance.
+DISCLOSURE, PRIOR, ALPHA = 0.8, 2.0, 0.05
 RUN = 512
 
 
@@ -138,27 +141,51 @@ def entities_of(spans: str) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["value"])))
 
 
-def masked(body: Column, spans: Column) -> Column:
-    """``body`` with blanks in place of its spans; all other characters keep their places."""
+def running_most(values: Column) -> Column:
+    """Running maxima of a non-empty array, in runs as in ``running_ends``."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+    tops = F.transform(runs, lambda r: F.array_max(F.slice(values, r * RUN + 1, RUN)))
+    return let(tops, lambda most: F.flatten(F.transform(runs, lambda r: F.slice(F.aggregate(
+        F.slice(values, r * RUN + 1, RUN), F.array(F.coalesce(F.array_max(F.slice(most, 1, r)), F.lit(0))),
+        lambda a, v: F.concat(a, F.array(F.greatest(F.element_at(a, -1), v)))), 2, RUN))))
+
+
+def replaced(body: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``body`` with ``by(span, code points)`` in place of what each span adds to those before it.
+
+    A span that begins within earlier ones adds what is beyond them.  The text is taken apart into code
+    points once, so that the time goes with the text and the spans, not with their product.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"))))
-    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(a: Column, s: Column) -> Column:
-        start, end = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
-        return F.struct(
-            F.concat(a["parts"], F.array(F.substr(body, a["at"] + 1, start - a["at"]),
-                                         F.repeat(F.lit(" "), end - start))).alias("parts"),
-            end.alias("at"))
+    def pieces(chars: Column, marks: Column, ends: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.concat(F.array_join(F.slice(chars, at + 1, F.greatest(s["start"] - at, F.lit(0))), ""),
+                            by(s, at))
 
-    return F.aggregate(ordered, state, step, lambda a: F.concat(
-        F.array_join(a["parts"], ""), F.substr(body, a["at"] + 1, F.length(body))))
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(F.transform(marks, piece), ""), F.array_join(
+            F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), ""))
 
+    return F.when(F.size(spans) == 0, body).otherwise(let(F.split(body, ""), lambda chars: let(
+        ordered, lambda marks: let(running_most(F.transform(marks, lambda m: m["end"])),
+                                   lambda ends: pieces(chars, marks, ends)))))
 
-def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: float
-              ) -> DataFrame:
+
+def masked(body: Column, spans: Column) -> Column:
+    """``body`` with blanks in place of its spans; all other characters keep their places."""
+    return replaced(body, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(
+        s["end"] - F.greatest(s["start"], at), F.lit(0))))
+
+
+def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: float, scratch: Scratch,
+              alpha: float = ALPHA) -> DataFrame:
     """(entity, term, disclosure): terms that give the entity away, estimated from all texts.
 
+    Besides enough disclosure it takes evidence: fewer than ``alpha`` terms like it by ``chance``.
+
     ``bodies`` has every ``body``, ``rows`` is the written table of spans.  Rows of equal (entity,
     context) count once, for the entity, the term and all texts alike; other copies count as they stand.
     """
@@ -171,20 +198,48 @@ def revealing(bodies: DataFrame, rows: DataFrame, disclosure: float, prior: floa
     same = each.groupBy("entity", "context").agg(
         F.count("*").alias("n"), F.first("terms").alias("terms"))
     entity_texts = same.groupBy("entity").agg(
-        F.count("*").alias("n_e"), F.sum(F.col("n") - 1).alias("copies_e"))
+        F.count("*").alias("n_e"), F.sum(F.col("n") - 1).alias("copies_e"),
+        F.avg(F.size("terms")).alias("words_e"))
     pairs = same.select("entity", "n", F.explode("terms").alias("term")).groupBy(
         "entity", "term").agg(F.count("*").alias("n_te"), F.sum(F.col("n") - 1).alias("copies_te"))
-    term_texts = bodies.select(F.explode(F.array_distinct(words_of(F.col("body")))).alias(
-        "term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    term_texts = scratch.keep(bodies.select(F.explode(F.array_distinct(words_of(F.col("body")))).alias(
+        "term")).groupBy("term").agg(F.count("*").alias("n_t")))
     scored = pairs.join(entity_texts, "entity").join(term_texts, "term")
     n_e, n_te = F.col("n_e"), F.col("n_te")
     n = F.greatest(texts - F.col("copies_e"), n_e).cast("double")
     # A word that a span cuts is another word in the whole text, so n_t may be the smaller one.
-    share = F.greatest(F.col("n_t") - F.col("copies_te"), n_te) / n
+    apart = F.greatest(F.col("n_t") - F.col("copies_te"), n_te)
     own = F.log(n / n_e)
-    return scored.withColumn("disclosure", F.when(own > 0, F.log(
-        (n_te + prior * share) / (n_e + prior) / share) / own)).where(
-        F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
+    scored = scored.withColumn("apart", apart).withColumn("share", F.col("apart") / n).withColumn("disclosure", F.when(own > 0, F.log(
+        (n_te + prior * F.col("share")) / (n_e + prior) / F.col("share")) / own)).where(
+        F.col("disclosure") >= disclosure)
+    return scored.where(chance(term_texts, texts) <= alpha).select("entity", "term", "disclosure")
+
+
+def chance(term_texts: DataFrame, texts: int) -> Column:
+    """At most how many terms an entity is expected to have by chance that are as rare and as frequent
+    in its contexts as a term is.
+
+    A term of share p stands in n_te of n_e contexts with probability C(n_e, n_te) p^n_te at most.  Summed
+    over all terms that are no more frequent, which have ``rare`` occurrences in an average text, that
+    is C(n_e, n_te) p^(n_te - 1) rare.  Contexts longer than the average text hold more of everything.
+    C is bounded by its entropy.  ``rare`` is summed by powers of two: 64 rows at most.
+    """
+    def power(count: str) -> Column:
+        return F.floor(F.log2(F.col(count))).cast("int")
+
+    held = term_texts.groupBy(power("n_t").alias("power")).agg(F.sum("n_t").alias("n")).collect()
+    total = sum(r["n"] for r in held)
+    levels = [sum(r["n"] for r in held if r["power"] <= k) / max(texts, 1) for k in range(64)]
+    n_e, n_te = F.col("n_e"), F.col("n_te")
+    times = F.greatest(F.col("words_e") * max(texts, 1) / max(total, 1), F.lit(1.0))
+
+    def entropy(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+
+    rare = F.get(F.array(*[F.lit(float(x)) for x in levels]), power("apart"))
+    return F.exp(entropy(n_e) - entropy(n_te) - entropy(n_e - n_te)
+                 + (n_te - 1) * F.log(F.least(times * F.col("share"), F.lit(1.0)))) * times * rare
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -224,10 +279,11 @@ def searched(df: DataFrame, key: str, text: str, disclosure: float, prior: float
     otherwise be pushed below their making, and evaluate the patterns many times.
     """
     bodies = df.select(F.col(f"`{key}`").alias("key"), whole(text).alias("body"))
-    rows = Scratch(df.sparkSession, "privacy").keep(with_spans(bodies).select(
+    scratch = Scratch(df.sparkSession, "privacy")
+    rows = scratch.keep(with_spans(bodies).select(
         "key", F.xxhash64("body").alias("hash"), "spans",
         F.when(F.size("spans") > 0, F.col("body")).alias("body")))
-    terms = revealing(bodies, rows, disclosure, prior)
+    terms = revealing(bodies, rows, disclosure, prior, scratch)
     return rows, term_spans(rows, terms)
 
 
@@ -253,21 +309,8 @@ def said(spans: Column) -> Column:
 
 def redacted(body: Column, spans: Column) -> Column:
     """``body`` with each span replaced by its kind in brackets; spans that overlap become one."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        return F.struct(
-            F.when(fresh, F.concat(a["parts"], F.array(
-                F.substr(body, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])),
-                F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(
-                a["parts"]).alias("parts"),
-            F.greatest(a["at"], s["end"]).alias("at"))
-
-    return F.aggregate(ordered, state, step, lambda a: F.concat(
-        F.array_join(a["parts"], ""), F.substr(body, a["at"] + 1, F.length(body))))
+    return replaced(body, spans, lambda s, at: F.when(s["start"] >= at, F.concat(
+        F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")))
 
 
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text",

@@ -228,7 +228,7 @@ def test_revealing_terms(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choices(filler, k=6)) + " Zorbatron wrote to jane@corp.example about "
              + " ".join(r.choices(filler, k=6)), None) for i in range(8)]
-    rows += [(100 + i, " ".join(r.choices(filler, k=15)) + " wrote about that", None)
+    rows += [(100 + i, " ".join(r.choices(filler, k=15)) + " wrote to us about that", None)
              for i in range(80)]
     # A copied text makes none of its words revealing.
     rows += [(300 + i, "uniquely strange words stand beside bob@corp.example here", None)
