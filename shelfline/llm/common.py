@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Sent:
+    """A fitted model broadcast with its code, so that workers need no install to read it."""
+
+    def __init__(self, spark: SparkSession, model):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def model(self):
+        """In a task: the model, built once a call."""
+        return pickle.loads(self.held.value)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that a lost executor costs no recomputation."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import bounded_batches, remainder, table, text_slices, whole
+from shelfline.llm.common import Sent, bounded_batches, remainder, table, text_slices, whole
 from shelfline.llm.registry import query
 
 PLACES = 1 << 13
@@ -149,11 +149,11 @@ def predictions(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     """(key, lang_pred, score, rejected) for every row of ``df``."""
     spark = df.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.model()
         for batch in batches:
             made = [own.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import bounded_batches, remainder, table, text_slices, whole
+from shelfline.llm.common import Sent, bounded_batches, remainder, table, text_slices, whole
 from shelfline.llm.labelled import FIT_ROWS, gathered, sample
 from shelfline.llm.registry import query
 
@@ -198,11 +198,11 @@ def scores(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """(key, score) for every row of ``df``."""
     spark = df.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.model()
         for batch in batches:
             body, made = batch.column(1), []
             for a, b in text_slices(body):
@@ -219,11 +219,11 @@ def accepted(df: DataFrame, model: Model, text: str = "text", threshold: float =
     """The rows of ``df`` whose text scores at least ``threshold``, with all their columns."""
     spark = df.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.model()
         for batch in batches:
             body, keep = pa.compute.fill_null(batch.column(at), ""), []
             for a, b in text_slices(body):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import Scratch, bounded_batches, remainder, table, text_slices, whole
+from shelfline.llm.common import Scratch, Sent, bounded_batches, remainder, table, text_slices, whole
 from shelfline.llm.labelled import FIT_ROWS, gathered, sample
 from shelfline.llm.registry import query
 
@@ -324,11 +324,11 @@ def scores(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """(key, score) for every row of ``df``."""
     spark = df.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.model()
         for batch in batches:
             body = batch.column(1)
             made = [own.scores(body.slice(a, b - a).to_pylist()) for a, b in text_slices(body)]
