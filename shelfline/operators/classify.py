@@ -11,19 +11,21 @@ equi-join instead:
 
 Only grams leave a title, never title-keyword pairs; how many there are does not depend on how
 many keywords share a word.  A match is one packed number, so its minimum is a hash aggregation.
+A dictionary beyond the broadcast bound is joined by a shuffle past the grams that many titles share:
+those are few, and their entries are broadcast.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
 from shelfline.functions.text import leaf_of, let, level_of, path_parts
-from shelfline.session import BROADCAST_BYTES, BROADCAST_ROWS, written
+from shelfline.session import BROADCAST_BYTES, BROADCAST_ROWS, join_past_heavy, written
 
 _RUN = r"(?Ud)(\w+|\W+)"
 _WORD_START = r"(?Ud)^\w"
@@ -152,7 +154,6 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     if deepest > 1 << (_LENGTH_BIT - _DEPTH_BIT):
         raise ValueError(f"a path of {deepest} levels is deeper than a packed match can say")
     small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    sized = F.broadcast if small else (lambda df: df)
     kind = mapped_type(F.col(product_type))
     # Flags come before the grams: next to an explode they would be worked out per gram.
     # Titles are short and gramming them is not: left to their size in bytes they would be put
@@ -169,17 +170,24 @@ def match_categories(titles: DataFrame, dictionary: DataFrame, title: str = "tit
     # Paths sharing a keyword and the same traits match the same titles, so only the best of them
     # is probed.
     traits = list(_path_traits(F.lit("")))
-    probes = sized(entries.groupBy("entry_type", "keyword", *traits).agg(
-        F.min("rank").alias("rank")))
-    matched = opened.join(probes, (F.col("_gram") == F.col("keyword"))
-                          & (F.col("entry_type") == F.col("_type")) & _allowed())
+    probes = entries.groupBy("entry_type", "keyword", *traits).agg(F.min("rank").alias("rank"))
+
+    def joined(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str],
+               condition: Column | None = None) -> DataFrame:
+        if not small:
+            return join_past_heavy(left, right, left_on, right_on, condition)
+        same = reduce(and_, [F.col(a) == F.col(b) for a, b in zip(left_on, right_on)])
+        return left.join(F.broadcast(right), same if condition is None else same & condition)
+
+    matched = joined(opened, probes, ["_gram", "_type"], ["keyword", "entry_type"], _allowed())
     position = F.col("_rank").bitwiseAND((1 << _DEPTH_BIT) - 1)
     best = matched.groupBy("_title", "_type").agg(F.min("rank").alias("_rank")).select(
         "_title", "_type", position.alias("_pos"))
 
-    places = entries.select(F.col("entry_type").alias("_type"), F.col("pos").alias("_pos"),
+    places = entries.select(F.col("entry_type").alias("_place_type"), F.col("pos").alias("_place"),
                             F.col("path").alias(path)).distinct()
-    named = best.join(sized(places), ["_type", "_pos"]).select("_title", "_type", path)
+    named = joined(best, places, ["_type", "_pos"], ["_place_type", "_place"]).select(
+        "_title", "_type", path)
     return (titles.withColumn("_kind", kind).alias("t")
             .join(named.alias("b"), (F.col(f"t.{title}") == F.col("b._title"))
                   & (F.col("t._kind") == F.col("b._type")), "left")

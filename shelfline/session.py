@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest table this library broadcasts; anything above joins by shuffle.
@@ -47,6 +47,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Share of the rows beyond which a join key is joined apart; there are at most 1 / HEAVY such keys.
+HEAVY = 0.001
+
+
+def join_past_heavy(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str],
+                    condition: Column | None = None) -> DataFrame:
+    """Inner join where some keys of ``left`` may hold a large share of its rows.
+
+    A sketch of bounded size finds the keys beyond HEAVY of the rows (and maybe some others).  Their rows
+    of ``right`` are broadcast, so their rows of ``left`` stay where they are; all other rows are
+    shuffled.  ``left`` is read twice.  Rows with a null key join nothing.
+    """
+    mine, theirs = F.xxhash64(*left_on), F.xxhash64(*right_on)
+    heavy = left.select(mine.alias("key")).stat.freqItems(["key"], HEAVY).first()
+    keys = heavy["key_freqItems"] if heavy else []
+    same = None
+    for a, b in zip(left_on, right_on):
+        equal = F.col(a) == F.col(b)
+        same = equal if same is None else same & equal
+    same = same if condition is None else same & condition
+    apart = left.where(mine.isin(keys)).join(broadcast_within(right.where(theirs.isin(keys))), same)
+    return apart.unionByName(left.where(~mine.isin(keys)).join(right.where(~theirs.isin(keys)), same))
+
+
 def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast after counting that it stays within ``rows``.
 

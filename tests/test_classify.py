@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import classify as cl
 from shelfline.operators import taxonomy as ta
+from shelfline.session import join_past_heavy
 from shelfline.operators.fuzzy import KindIndex, LeafMasks, fuzzy_category, partial_ratio
 
 DICT_SCHEMA = "product_type string, path string, pos long, keyword string"
@@ -123,6 +124,35 @@ def test_beyond_the_broadcast_bound_the_match_shuffles(spark, monkeypatch, rows,
     assert got == {i: c[2:] for i, c in enumerate(CASES)}
 
 
+def test_heavy_grams_are_joined_apart(spark, monkeypatch):
+    """A gram that half of all titles share, beyond the bound: one broadcast, one shuffle, equal rows."""
+    rows = [(i, f"{'wine' if i % 2 else 'beer'} {i}" + (" pale ale" if i % 50 == 0 else ""), "BWS")
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, title string, product_type string")
+    whole = sorted(map(tuple, cl.with_category_levels(df, dictionary(spark)).collect()))
+    monkeypatch.setattr(cl, "BROADCAST_ROWS", 0)
+    split = cl.with_category_levels(df, dictionary(spark))
+    assert sorted(map(tuple, split.collect())) == whole and len({r[4] for r in whole}) > 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cl.with_category_levels(df, dictionary(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan and "NestedLoop" not in plan
+
+
+def test_join_past_heavy_keys_is_the_join(spark):
+    left = spark.createDataFrame([(i % 3 if i < 900 else i, i, "x") for i in range(1500)] + [(None, -1, "x")],
+                                 "k long, v long, c string")
+    right = spark.createDataFrame([(i, c) for i in range(0, 1500, 2) for c in "xy"] + [(None, "x")], "k2 long, c2 string")
+    both = lambda df: sorted(map(tuple, df.collect()))
+    for condition in (None, F.col("c") == F.col("c2")):
+        same = F.col("k") == F.col("k2")
+        want = left.join(right, same if condition is None else same & condition)
+        assert both(join_past_heavy(left, right, ["k"], ["k2"], condition)) == both(want)
+    assert join_past_heavy(left.limit(0), right, ["k"], ["k2"]).count() == 0
+
+
 def test_keyword_index(spark):
     paths = spark.createDataFrame([
         ("T", "Spirits > Gin > London Dry Gin", 0), ("T", "Liqueurs & Cordials", 1),
@@ -226,7 +256,7 @@ def test_fuzzy_category_equals_search_over_all_pairs(spark):
 def test_bounds_of_leaves_are_never_below_their_ratios():
     rng = random.Random(8)
     text = lambda most: "".join(rng.choice("abcde ") for _ in range(rng.randint(0, most)))
-    index = KindIndex([(i, text(9), []) for i in range(50)])
+    index = KindIndex([(i, text(9), [], "") for i in range(50)])
     for _ in range(100):
         title = text(14)
         for leaf, bound in zip(index.leaves, index.bounds(title)):
