@@ -42,6 +42,8 @@ from shelfline.llm.registry import query
 WORDS, LEAST, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 # Bytes of text in one shard, and bytes of text for each range that sums counts.
 SHARD_TEXT, RANGE_TEXT = 8 << 20, 8 << 20
+# Tokens held as such.
+TOKENS = 1 << 16
 NONE = "und"
 # All ends of pieces become the first; none of them can stand in a word.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
@@ -152,25 +154,47 @@ def pair_parts(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 INDEX = "shard long, groups array<string>, sizes array<int>, words array<binary>, counts binary, bwt binary"
 
 
-def built(shard: int, held: dict[str, list[bytes]]) -> pa.RecordBatch | None:
+class Words:
+    """The words of one group in a shard, numbered as they come."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.numbers: list[np.ndarray] = []
+        self.tokens: list[bytes] = []
+
+    def add(self, text: str) -> None:
+        self.tokens += tokens_of(text)
+        self.tokens.append(b".")
+        if len(self.tokens) > TOKENS:
+            self.flush()
+
+    def flush(self) -> None:
+        """Numbers in place of tokens, which take much more room."""
+        coded = pa.array(self.tokens, pa.binary()).dictionary_encode()
+        number = np.array([self.known.setdefault(w, len(self.known)) for w in coded.dictionary.to_pylist()],
+                          np.int32)
+        self.numbers.append(number[coded.indices.to_numpy(zero_copy_only=False)])
+        self.tokens.clear()
+
+
+def built(shard: int, held: dict[str, Words]) -> pa.RecordBatch | None:
     """One row of the index: words by group, their counts, and the transform."""
     groups, sizes, words, symbols, last = [], [], [], [], 0
-    for group, tokens in sorted(held.items()):
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        own = coded.dictionary.to_pylist()
+    for group, given in sorted(held.items()):
+        given.flush()
         # Empty tokens lie between blanks; "." closes a piece.
-        kept = [w for w in own if w not in (b"", b".")]
+        kept = sorted(w for w in given.known if w not in (b"", b"."))
         if not kept:
             continue
-        number = {w: i for i, w in enumerate(sorted(kept), last + 1)} | {b".": 0, b"": -1}
-        place = np.array([number[w] for w in own], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        number = {w: i for i, w in enumerate(kept, last + 1)} | {b".": 0, b"": -1}
+        place = np.array([number[w] for w in given.known], np.int64)[np.concatenate(given.numbers)]
         place = place[place >= 0]
         # Ends that follow an end close nothing.
         place = place[np.append(True, (place[1:] != 0) | (place[:-1] != 0))]
         symbols.append(place[1:] if place[0] == 0 else place)
         groups.append(group)
         sizes.append(len(kept))
-        words += sorted(kept)
+        words += kept
         last += len(kept)
     if not groups:
         return None
@@ -190,13 +214,11 @@ def index(df: DataFrame, group: str, text: str, shard_text: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, Words] = {}
         for batch in batches:
             for g, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = body.as_py()
-                own = held.setdefault(g, [])
-                own += tokens_of(body)
-                own.append(b".")
+                held.setdefault(g, Words()).add(body)
                 size += len(body) + 8
                 if size >= shard_text:
                     if (made := built(number, held)) is not None:
