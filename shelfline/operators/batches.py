@@ -22,17 +22,19 @@ from shelfline.operators import answers as answer_log
 _SPAN_BITS = 12
 
 
-def with_ordinal(df: DataFrame, row_id: str = "row_id", into: str = "ordinal",
-                 levels: int = 5) -> DataFrame:
+def with_ordinal(df: DataFrame, row_id: str = "row_id", into: str = "ordinal") -> DataFrame:
     """Number the rows 0, 1, 2, ... in ``row_id`` order (unique, not negative).
 
     A null or negative id is an error when the plan runs.
 
     Ids fall into spans of 4096.  A row's number is its place in its span plus the rows of all
     earlier spans, and the counts of spans are summed the same way one level up, so no window ever
-    holds more than 4096 rows, whether the ids are dense or hashed.  The last level counts spans of
-    2**60 ids each: eight rows at most.  The rows are shuffled once, by span; no sort of the whole, no sampling.
+    holds more than 4096 rows, whether the ids are dense or hashed.  There are as many levels as the
+    largest id needs, one for ids below 2**24, so that id is asked for first.  The rows are shuffled
+    once, by span; no sort of the whole, no sampling.
     """
+    most = df.agg(F.max(row_id)).first()[0] or 0
+    levels = max(1, -(-most.bit_length() // _SPAN_BITS) - 1)
     span = lambda level: F.shiftright(F.col(row_id), _SPAN_BITS * level)
     bad = F.col(row_id).isNull() | (F.col(row_id) < 0)
     keyed = df.withColumn(row_id, F.when(bad, F.raise_error(F.lit(
