@@ -2,7 +2,7 @@
 
 Words are runs of word characters, case folded.  Seeds are windows of five words (an item of fewer
 words is one window) found by a rolling hash and joined with the benchmark's.  For each document and
-item that share a seed, matches are grown along their diagonals, and the longest match whose words
+item that share a seed, matches are grown along their diagonals from where they begin, and the longest match whose words
 are all unmarked is marked as a tile again and again until none of five words is left.  Coverage is
 the share of the item's words under tiles, so a passage whose parts were moved about is still found.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
-from shelfline.llm.common import bounded_batches, table, text_slices, whole
+from shelfline.llm.common import Scratch, bounded_batches, table, text_slices, whole
 from shelfline.llm.registry import query
 
 WORD = re.compile(r"\w+")
@@ -35,6 +35,8 @@ WINDOW = 5
 COVERAGE = 0.8
 # Bytes of benchmark text in one broadcast block.
 BLOCK_TEXT = 16 << 20
+# Pairs of places that share a window, looked at together.
+PAIRS = 1 << 20
 BASE = np.uint64(0x100000001B3 * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF | 1)
 
 
@@ -63,11 +65,8 @@ def rolling(keys: np.ndarray, window: int) -> np.ndarray:
 
 
 def tiles(seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (text start, item start, words) from the seeds of one document and one item.
-
-    Of matches of one length the first in the document, then in the item, goes first.
-    """
-    heap: list[tuple[int, int, int]] = []
+    """Greedy tiles (text start, item start, words) from the seeds of one document and one item."""
+    matches = []
     seeds = sorted(seeds, key=lambda s: (s[0] - s[1], s[0]))
     at = 0
     while at < len(seeds):
@@ -75,28 +74,38 @@ def tiles(seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int, int
         while end < len(seeds) and (seeds[end][0] - seeds[at][0] == seeds[end][1] - seeds[at][1]
                                     == end - at):
             end += 1
-        heap.append((-(end - at + window - 1), *seeds[at]))
+        matches.append((*seeds[at], end - at + window - 1))
         at = end
+    return tiles_of(matches, window)
+
+
+def tiles_of(matches: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles from the maximal matches (text start, item start, words) of one pair.
+
+    Of matches of one length the first in the document, then in the item, goes first.  It ends when the
+    item has fewer unmarked words than a tile takes.
+    """
+    if not matches:
+        return []
+    heap = [(-n, i, j) for i, j, n in matches]
     heapq.heapify(heap)
-    text_marks: set[int] = set()
-    item_marks: set[int] = set()
-    out = []
-    while heap:
+    text_free = np.ones(max(i + n for i, _, n in matches), bool)
+    item_free = np.zeros(max(j + n for _, j, n in matches), bool)
+    for _, j, n in matches:
+        item_free[j:j + n] = True
+    left, out = int(item_free.sum()), []
+    while heap and left >= window:
         size, i, j = heapq.heappop(heap)
-        free = [i + k not in text_marks and j + k not in item_marks for k in range(-size)]
-        if all(free):
+        free = text_free[i:i - size] & item_free[j:j - size]
+        if free.all():
             out.append((i, j, -size))
-            text_marks.update(range(i, i - size))
-            item_marks.update(range(j, j - size))
+            text_free[i:i - size] = item_free[j:j - size] = False
+            left += size
             continue
-        k = 0
-        while k < -size:
-            end = k
-            while end < -size and free[end]:
-                end += 1
+        edges = np.flatnonzero(np.diff(free, prepend=False, append=False))
+        for k, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if end - k >= window:
                 heapq.heappush(heap, (k - end, i + k, j + k))
-            k = end + 1
     return sorted(out)
 
 
@@ -104,15 +113,14 @@ class Items:
     """A block of benchmark items, with the windows of each size in hash order."""
 
     def __init__(self, ids: list, texts: list[str], window: int):
-        keys, sizes = word_keys(texts)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = ids
-        self.keys = [keys[a:b] for a, b in zip(bounds, bounds[1:])]
+        self.flat, sizes = word_keys(texts)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids, self.sizes = ids, sizes
         by: dict[int, list] = {}
-        for number, own in enumerate(self.keys):
-            if len(own):
-                w = min(window, len(own))
-                hashes = rolling(own, w)
+        for number, size in enumerate(sizes.tolist()):
+            if size:
+                w = min(window, size)
+                hashes = rolling(self.flat[self.bounds[number]:self.bounds[number + 1]], w)
                 by.setdefault(w, []).append((hashes, np.full(len(hashes), number),
                                              np.arange(len(hashes))))
         self.windows = {}
@@ -121,27 +129,71 @@ class Items:
             order = np.argsort(hashes, kind="stable")
             self.windows[w] = hashes[order], numbers[order], places[order]
 
-    def seeds(self, texts: list[str]) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
-        """(text number, item number, window, shared seeds) for every pair that shares one."""
+    def matches(self, texts: list[str], coverage: float
+                ) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+        """(text number, item number, window, maximal matches) of pairs that may be covered enough.
+
+        Of the places that share a window only those are kept whose words before differ: the starts of
+        matches along diagonals, of which a pair has no more than it has words, however often a window
+        is repeated.  Pairs whose matches together are too short for ``coverage`` are left out at once.
+        """
         keys, sizes = word_keys(texts)
         ends = np.cumsum(sizes)
-        starts = ends - sizes
-        for w, (hashes, numbers, places) in self.windows.items():
-            own = rolling(keys, w)
-            first = np.searchsorted(hashes, own)
-            hit = np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == own)
-            owner = np.searchsorted(ends, hit, "right")
-            hit, owner = hit[hit + w <= ends[owner]], owner[hit + w <= ends[owner]]
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for at, doc in zip(hit.tolist(), owner.tolist()):
-                k = int(first[at])
-                while k < len(hashes) and hashes[k] == own[at]:
-                    number, place = int(numbers[k]), int(places[k])
-                    if np.array_equal(keys[at:at + w], self.keys[number][place:place + w]):
-                        found.setdefault((doc, number), []).append((at - int(starts[doc]), place))
-                    k += 1
-            for (doc, number), pairs in found.items():
-                yield doc, number, w, pairs
+        for w, index in self.windows.items():
+            found = [self._grown(keys, ends, ends - sizes, w, at, first, index) for at, first in _shares(
+                keys, ends, w, index[0])]
+            if not found:
+                continue
+            doc, number, i, j, n = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((j, i, number, doc))
+            doc, number, i, j, n = (x[order] for x in (doc, number, i, j, n))
+            new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(number) != 0))[:len(doc)])
+            if not len(new):
+                continue
+            enough = np.add.reduceat(n, new) >= np.maximum(coverage * self.sizes[number[new]], 1)
+            stops = np.append(new[1:], len(doc))
+            for x, y in zip(new[enough].tolist(), stops[enough].tolist()):
+                yield int(doc[x]), int(number[x]), w, list(zip(
+                    i[x:y].tolist(), j[x:y].tolist(), n[x:y].tolist()))
+
+    def _grown(self, keys, ends, starts, w, at, first, index):
+        """(text, item, places in both, words) of the matches that begin at some shared windows."""
+        _, numbers, places = index
+        number, place = numbers[first], places[first]
+        flat = self.bounds[number] + place
+        owner = np.searchsorted(ends, at, "right")
+        begins = (at == starts[owner]) | (place == 0)
+        begins |= keys[np.maximum(at - 1, 0)] != self.flat[np.maximum(flat - 1, 0)]
+        for k in range(w):  # equal hashes are not yet equal words
+            begins &= keys[at + k] == self.flat[flat + k]
+        at, flat, number, place, owner = (x[begins] for x in (at, flat, number, place, owner))
+        most = np.minimum(ends[owner] - at, self.sizes[number] - place)
+        size, going = np.full(len(at), w), np.flatnonzero(most > w)
+        while len(going):
+            same = keys[at[going] + size[going]] == self.flat[flat[going] + size[going]]
+            going = going[same]
+            size[going] += 1
+            going = going[size[going] < most[going]]
+        return owner, number, at - starts[owner], place, size
+
+
+def _shares(keys: np.ndarray, ends: np.ndarray, w: int, hashes: np.ndarray
+            ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the texts, place among the items' windows) of equal hashes, some at a time."""
+    own = rolling(keys, w)
+    first, last = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+    hit = np.flatnonzero(last > first)
+    owner = np.searchsorted(ends, hit, "right")
+    hit = hit[hit + w <= ends[owner]]
+    count = (last - first)[hit]
+    total = np.cumsum(count)
+    at = 0
+    while at < len(hit):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        n = count[at:end]
+        base = np.repeat(first[hit[at:end]] - (np.cumsum(n) - n), n)
+        yield np.repeat(hit[at:end], n), base + np.arange(int(n.sum()))
+        at = end
 
 
 SCHEMA = ("item_words int, tiled_words int, coverage double, "
@@ -172,7 +224,8 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     item_arrow = to_arrow_type(item_type)
     schema = f"key {key_type.simpleString()}, item {item_type.simpleString()}, {SCHEMA}"
     rows = df.select(F.col(f"`{key}`").alias("key"), whole(text).alias("body")).where("body <> ''")
-    out = None
+    out, scratch = None, Scratch(spark, "tiling")
+    items_in_all = benchmark.where(whole(item_text) != "").count()
     for ids, texts in blocks(benchmark, item, item_text, block):
         sent = spark.sparkContext.broadcast((ids, texts))
 
@@ -181,8 +234,8 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             for batch in batches:
                 body, made = batch.column(1), []
                 for a, b in text_slices(body):
-                    for doc, number, w, pairs in items.seeds(body.slice(a, b - a).to_pylist()):
-                        own, size = tiles(pairs, w), len(items.keys[number])
+                    for doc, number, w, pairs in items.matches(body.slice(a, b - a).to_pylist(), coverage):
+                        own, size = tiles_of(pairs, w), int(items.sizes[number])
                         covered = sum(t[2] for t in own)
                         if covered >= coverage * size:
                             made.append((a + doc, number, size, covered, covered / size, own))
@@ -198,6 +251,10 @@ def overlaps(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                         names=["key", "item", "item_words", "tiled_words", "coverage", "tiles"])
 
         part = rows.mapInArrow(run, schema)
+        if len(texts) < items_in_all:
+            # Of several blocks one is held at a time.
+            part = scratch.keep(part)
+            sent.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -213,7 +270,8 @@ def uncontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    at = df.columns.index(text)
+    at, scratch = df.columns.index(text), Scratch(spark, "tiling")
+    items_in_all = benchmark.where(whole(item_text) != "").count()
     for ids, texts in blocks(benchmark, item, item_text, block):
         sent = spark.sparkContext.broadcast((ids, texts))
 
@@ -223,13 +281,16 @@ def uncontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item
                 body = pa.compute.fill_null(batch.column(at), "")
                 keep = np.ones(batch.num_rows, bool)
                 for a, b in text_slices(body):
-                    for doc, number, w, pairs in items.seeds(body.slice(a, b - a).to_pylist()):
+                    for doc, number, w, pairs in items.matches(body.slice(a, b - a).to_pylist(), coverage):
                         if keep[a + doc]:
-                            covered = sum(t[2] for t in tiles(pairs, w))
-                            keep[a + doc] = covered < coverage * len(items.keys[number])
+                            covered = sum(t[2] for t in tiles_of(pairs, w))
+                            keep[a + doc] = covered < coverage * items.sizes[number]
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(run, df.schema)
+        if len(texts) < items_in_all:
+            df = scratch.keep(df)
+            sent.unpersist()
     return df
 
 

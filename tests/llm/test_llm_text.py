@@ -366,6 +366,42 @@ def test_tiles_are_greedy():
         assert tiling.tiles(seeds, window) == plain_tiles(text, item, window)
 
 
+def test_matches_are_the_runs_of_all_pairs(monkeypatch):
+    """Few kinds of words, so that windows repeat; some pairs at a time; nothing short of coverage."""
+    r = random.Random(13)
+    for pairs in (3, 1 << 20):
+        monkeypatch.setattr(tiling, "PAIRS", pairs)
+        for _ in range(40):
+            texts = [" ".join(r.choices("abc", k=r.randint(0, 25))) for _ in range(4)]
+            own = [" ".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(3)]
+            items = tiling.Items([0, 1, 2], own, 3)
+            got = {(d, n): (w, m) for d, n, w, m in items.matches(texts, 0.0)}
+            for d, t in enumerate(texts):
+                for n, u in enumerate(own):
+                    a, b = t.split(), u.split()
+                    w = min(3, len(b))
+                    want = []
+                    for i in range(len(a)):
+                        for j in range(len(b)):
+                            if not (i and j and a[i - 1] == b[j - 1]):
+                                k = 0
+                                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                                    k += 1
+                                if k >= w > 0:
+                                    want.append((i, j, k))
+                    assert got.get((d, n), (w, []))[1] == want
+                    assert tiling.tiles_of(want, w or 1) == (plain_tiles(a, b, w) if w else [])
+            bound = {(d, n): sum(x[2] for x in m) for (d, n), (_, m) in got.items()}
+            assert {(d, n) for d, n, _, _ in items.matches(texts, 0.9)} == {
+                k for k, v in bound.items() if v >= 0.9 * len(own[k[1]].split())}
+
+
+def test_repeated_words_take_bounded_work():
+    items = tiling.Items([0, 1], ["go " * 400, "stop " * 3], 5)
+    (found,) = items.matches(["go " * 20_000], 0.8)
+    assert len(found[3]) <= 20_400 and tiling.tiles_of(found[3], 5) == [(0, 0, 400)]
+
+
 def test_overlaps(spark):
     item = words(40, 21, 900)
     w = item.split()
