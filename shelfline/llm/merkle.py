@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import bounded_batches, shuffle_width, table, whole
+from shelfline.llm.common import Scratch, bounded_batches, shuffle_width, table, whole
 from shelfline.llm.registry import query
 
 SEGMENT = re.compile(r"[^.!?]{1,32}[.!?]*|[.!?]+")
@@ -82,6 +82,43 @@ def likeness(a: Counter, b: Counter) -> float:
     return 2.0 * sum(min(n, b[k]) for k, n in a.items() if k in b) / total
 
 
+def near(a: Tree, b: Tree) -> float:
+    """The likeness of two texts, found by descending their trees: equal branches count as a whole.
+
+    Equal roots are equal texts.  Otherwise equal sections are set aside, then equal paragraphs of what is
+    left, then equal leaves; that is ``likeness`` of all leaves, as what is set aside is equal on both sides.
+    """
+    sizes = [sum(n for _, ps in t.sections for _, leaves in ps for _, n in leaves) for t in (a, b)]
+    if not sum(sizes):
+        return 1.0
+    if a.root == b.root:
+        return 1.0
+    shared, left = 0, [a.sections, b.sections]
+    for _ in range(2):
+        common = Counter(h for h, _ in left[0]) & Counter(h for h, _ in left[1])
+        below = []
+        for side, nodes in enumerate(left):
+            unused, rest = Counter(common), []
+            for h, children in nodes:
+                if unused[h]:
+                    unused[h] -= 1
+                    shared += 0 if side else sum(_size(c) for c in children)
+                else:
+                    rest += children
+            below.append(rest)
+        left = below
+    mine, theirs = Counter(), Counter()
+    for total, leaves in zip((mine, theirs), left):
+        for h, n in leaves:
+            total[h] += n
+    return 2.0 * (shared + (mine & theirs).total()) / sum(sizes)
+
+
+def _size(node: tuple) -> int:
+    """Characters under a paragraph or a leaf."""
+    return node[1] if isinstance(node[1], int) else sum(n for _, n in node[1])
+
+
 def differing(a: Tree, b: Tree) -> list[tuple[int, int, int]]:
     """(section number, start, end) of the paragraphs of ``b`` that ``a`` lacks, in ``b``'s text.
 
@@ -135,43 +172,6 @@ def tree_nodes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         run, f"key {kind}, {NODES}").withColumnRenamed("key", key)
 
 
-def with_next(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """(bucket, guest, key, body) such that each row's successor by descending key is in its bucket.
-
-    The rows are dealt out by ranges of the key; the first row of each bucket is also sent, as a
-    guest, to the bucket before it, and the very first row to the last bucket.  What the driver sees
-    is one key per bucket.  Rows of one key stand in the order of their text's hash; null keys come
-    last.
-    """
-    rows = df.select(F.col(f"`{key}`").alias("key"), whole(text).alias("body"))
-    keys = rows.select(F.col("key").cast("double").alias("place"))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(keys.approxQuantile("place", shares, 0.1 / buckets))) if shares else []
-    edges = [-float("inf"), *cuts, float("inf")]
-
-    def placed(x: DataFrame) -> DataFrame:
-        cut = Bucketizer(splits=edges, inputCol="place", outputCol="range", handleInvalid="keep")
-        return cut.transform(x.withColumn("place", F.col("key").cast("double"))).withColumn(
-            "bucket", F.when(F.col("key").isNull(), F.lit(len(edges)))
-            .otherwise(F.lit(len(edges) - 1) - F.col("range").cast("int"))).drop("range", "place")
-
-    heads = sorted((r[0], r[1]) for r in placed(rows.select("key")).groupBy("bucket").agg(
-        F.max("key")).collect())
-    if not heads:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "key", "body")
-    hosts = [(heads[i - 1][0], bucket, head) for i, (bucket, head) in enumerate(heads)]
-    kind = df.schema[key].dataType.simpleString()
-    heads_df = F.broadcast(df.sparkSession.createDataFrame(  # one row per bucket
-        hosts, f"host int, of int, head {kind}"))
-    return placed(rows).join(heads_df, (F.col("bucket") == F.col("of")) & F.col("key").eqNullSafe(
-        F.col("head")), "left").withColumn("to", F.explode(F.when(
-            F.col("host").isNull(), F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest"))))
-            .otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")),
-                               F.struct(F.col("host").alias("bucket"),
-                                        F.lit(True).alias("guest")))))).select(
-        "to.bucket", "to.guest", "key", "body")
-
-
 RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, edited_from long")
 
@@ -182,62 +182,90 @@ def edited(text: str, other: str) -> str:
     return text[:len(text) - n] + other[:n] if n else text
 
 
+class Text:
+    """A text with its tree, as one side of a comparison."""
+
+    def __init__(self, key, body: str):
+        self.key, self.body, self.tree = key, body, Tree(body)
+
+    def compared(self, other: Text) -> tuple:
+        """A row of RESULT: this text against its edited form and against the next text."""
+        new = edited(self.body, other.body)
+        tree = Tree(new) if new != self.body else self.tree
+        changed = differing(self.tree, tree)
+        return (len(self.body), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), self.tree.root.hex(),
+                tree.root.hex(), near(self.tree, tree), near(self.tree, other.tree),
+                changed[0][1] if changed else None)
+
+
+RESULT_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
+# Compared rows, and the first and the last text of each range.
+DONE, FIRST, LAST = 0, 1, 2
+
+
 def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text",
                       buckets: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they are.
 
     ``edited_from`` is where the first differing paragraph of the edited text begins (null: none).
+
+    Keys may be of any type with an order.  Rows are dealt out by ranges of (key descending, hash of the
+    text), null keys last, so that a key many rows share is spread over ranges; each range compares its
+    neighbours.  Of every range the first and last text are written as well, and compared with their
+    neighbours afterwards: two texts a range, however many rows there are.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    width = shuffle_width(spark)
-    dealt = with_next(df, key, text, buckets or 4 * width)
     kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(f"`{key}`").alias("key"), whole(text).alias("body")).withColumn(
+        "hash", F.xxhash64("body"))
+    order = [F.col("key").desc_nulls_last(), F.col("hash")]
 
-    def rows_of(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield tuple(c[i].as_py() for c in batch.columns)
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, names, out = TaskContext.get().partitionId(), None, ["kind", "range", "key", "body"], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = None
-        names = ["key", *(x.split()[0] for x in RESULT.split(", "))]
-        types = None
-
-        def made():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in out], type=p) for c, p in enumerate(types)], names=names)
-
-        def watched():
-            nonlocal types
-            for b in batches:
-                types = types or [b.schema.field(2).type, pa.int64(), pa.string(), pa.string(),
-                                  pa.string(), pa.float64(), pa.float64(), pa.int64()]
-                yield b
-
-        for bucket, guest, k, body in rows_of(watched()):
-            tree = Tree(body)
-            weights = tree.weights()
-            if held and held[0] == bucket:
-                _, mine, t, tr, w = held
-                new = edited(t, body)
-                tree2 = Tree(new) if new != t else tr
-                changed = differing(tr, tree2)
-                out.append((mine, len(t), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(),
-                            tr.root.hex(), tree2.root.hex(),
-                            likeness(w, tree2.weights()) if tree2 is not tr else 1.0,
-                            likeness(w, weights), changed[0][1] if changed else None))
-                if len(out) >= 1024:
-                    yield made()
-                    out.clear()
-            held = None if guest else (bucket, k, body, tree, weights)
-        if out:
-            yield made()
+        def made(key_type: pa.DataType) -> pa.RecordBatch:
+            types = [pa.int32(), pa.int32(), key_type, pa.string(), *RESULT_TYPES]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
+                                              names=names + RESULT_NAMES)
 
-    return dealt.repartition(width, "bucket").sortWithinPartitions(
-        F.col("bucket"), F.col("guest"), F.col("key").desc_nulls_last(), F.xxhash64("body"),
-        F.col("body")).mapInArrow(run, f"key {kind}, {RESULT}").withColumnRenamed("key", key)
+        key_type = None
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = Text(k, body.as_py())
+                if held is None:
+                    out.append((FIRST, part, k, own.body, *[None] * 7))
+                else:
+                    out.append((DONE, part, held.key, None, *held.compared(own)))
+                held = own
+                if len(out) >= 512:
+                    yield made(key_type)
+                    out.clear()
+        if held is not None:
+            out.append((LAST, part, held.key, held.body, *[None] * 7))
+            yield made(key_type)
+
+    kept = Scratch(spark, "merkle").keep(rows.repartitionByRange(
+        buckets or 4 * shuffle_width(spark), *order).sortWithinPartitions(*order, "body").select(
+        "key", "body").mapInArrow(within, f"kind int, range int, key {kind}, body string, {RESULT}"))
+    ranges = sorted(r["range"] for r in kept.where(F.col("kind") == FIRST).select("range").collect())
+    follows = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1])), "range int, next int")
+    firsts = kept.where(F.col("kind") == FIRST).select(F.col("range").alias("next"), F.col("body").alias("other"))
+    ends = kept.where(F.col("kind") == LAST).select("range", "key", "body").join(
+        F.broadcast(follows), "range").join(firsts, "next").select("key", "body", "other")  # a row a range
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Text(None, a.as_py()).compared(Text(None, b.as_py()))
+                     for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array([r[i] for r in found], t) for i, t in enumerate(RESULT_TYPES)]],
+                names=["key", *RESULT_NAMES])
+
+    return kept.where(F.col("kind") == DONE).select("key", *RESULT_NAMES).unionByName(
+        ends.mapInArrow(across, f"key {kind}, {RESULT}")).withColumnRenamed("key", key)
 
 
 @query("op1_merkle_fingerprints")

@@ -67,6 +67,37 @@ def test_fingerprint_order_over_many_ranges(spark):
                                                    merkle.Tree(texts[j]).weights())
 
 
+def test_keys_of_any_type_and_one_key_of_all_rows(spark):
+    rows = [(f"key {i % 5:03d}" if i % 3 else None, words(12, i)) for i in range(60)] + [("key 001", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = Counter((r.doc_id, r.edited_sha256) for r in merkle.compare_with_next(df, buckets=9).collect())
+    hashed = spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).distinct()
+    place = {t: h for t, h in hashed.collect()}
+    order = sorted(sorted(((i, t or "") for i, t in rows), key=lambda r: place[r[1]]),
+                   key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    order = [x for k in dict.fromkeys(i for i, _ in order) for x in sorted(
+        (r for r in order if r[0] == k), key=lambda r: place[r[1]])]
+    want = Counter((i, hashlib.sha256(merkle.edited(t, u).encode()).hexdigest())
+                   for (i, t), (_, u) in zip(order, order[1:] + order[:1]))
+    assert got == want
+    same = spark.createDataFrame([(1, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    assert merkle.compare_with_next(same, buckets=8).count() == 50
+    (alone,) = merkle.compare_with_next(same.limit(1)).collect()
+    assert alone.near_next == 1.0
+    assert merkle.compare_with_next(same.limit(0)).count() == 0
+
+
+def test_descending_gives_the_likeness_of_all_leaves():
+    r = random.Random(4)
+    for _ in range(120):
+        a, b = ("".join(r.choice(["one. two! ", "three four five. ", "six\n", "\n", "one. two! \n\n", "é"])
+                        for _ in range(r.randrange(40))) for _ in "ab")
+        if r.random() < 0.6:
+            b = a[:len(a) // 2] + b + a[len(a) // 2:]
+        x, y = merkle.Tree(a), merkle.Tree(b)
+        assert merkle.near(x, y) == pytest.approx(merkle.likeness(x.weights(), y.weights()))
+
+
 def test_likeness_and_differing_branches():
     base = "".join(f"Paragraph number {i} says this. And that too.\n" for i in range(60))
     changed = base.replace("number 30 says", "number 30 shouts")
