@@ -6,8 +6,8 @@ begin in, the state it ends in.  Such outcomes compose, and one pass over them,
 gives every block its beginning.  The text before a block's first end of record goes to the block where
 that record began.  Each block is then read by itself, from the start of a record.
 
-The dialect is judged the same way for all encodings, delimiters and numbers of skipped lines at once:
-what blocks count is summed over the member.  The result is that of reading the member at once.
+The dialect is judged the same way for all encodings, delimiters and numbers of skipped lines that the
+first block does not rule out: what blocks count is summed over the member.  The result is that of reading the member at once.
 
 Encodings are told apart by whole members too: a block is decoded from its first whole character to the
 end of its last, which may lie in the next block, and what one block takes the next one must have left.
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
+from shelfline.session import broadcast_within
 from shelfline.sources.columns import scrub
 
 BLOCK_BYTES = 4 << 20
@@ -167,6 +168,7 @@ BLOCK_ROW = "archive string, file_seq long, block long, content binary, ahead bi
 OUTCOME = ("archive string, file_seq long, block long, encoding string, delimiter string, left int, "
            "taken int, closed boolean, steps array<int>, lines array<int>, heads array<string>")
 # What a block needs to be read: its beginning under one dialect, or what a later block hands it.
+DIALECT = "archive string, file_seq long, encoding string, delimiter string, skip int"
 BEGINNING = ("archive string, file_seq long, block long, encoding string, delimiter string, skip int, "
              "lines int, state int, piece long, text string")
 # How often dialects were whole, or what a block holds under one: records, longest, first of them.
@@ -192,18 +194,55 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The dialects that a member's first block does not rule out.
+
+    One is ruled out if its header has a single column, or a whole record after it has more columns than
+    the header: the member makes no table in it, whatever comes later.
+    """
+    for archive, seq, _, content, ahead, lead in _rows(batches):
+        made, known = [], {}
+        for encoding, (text, _, _) in readings(content, ahead, lead, True).items():
+            for delimiter in fv.CSV_DELIMITERS:
+                for skip in fv.CSV_SKIP_ROWS:
+                    if (text, delimiter, skip) not in known:
+                        known[text, delimiter, skip] = _may_be_table(text, delimiter, skip, bool(ahead))
+                    if known[text, delimiter, skip]:
+                        made.append((archive, seq, encoding, delimiter, skip))
+        if made:
+            yield _batch(made, DIALECT)
+
+
+def _may_be_table(text: str, delimiter: str, skip: int, goes_on: bool) -> bool:
+    header, last = None, None
+    for record in _records(text[after_lines(text, skip)[0]:], delimiter):
+        # A record counts once another follows: the last one may not be whole.
+        if last is not None:
+            if header is None:
+                header = last
+                if len(header) < 2:
+                    return False
+            elif len(last) > len(header):
+                return False
+        last = record
+    return goes_on or header is not None or last is not None
+
+
 def _outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every encoding and delimiter of a block, what it does.
+    """For every encoding and delimiter of a block that may be its member's, what it does.
 
     ``steps`` and ``lines`` are, by number of lines to skip first, the composed steps after them and the
     lines still to skip; ``heads`` is, by state, the text up to the first end of record, null where
     none ends; ``closed``: does the text end with an end of line, null without text.
     """
     most = max(fv.CSV_SKIP_ROWS)
-    for archive, seq, block, content, ahead, lead in _rows(batches):
+    for archive, seq, block, content, ahead, lead, pairs in _rows(batches):
         made, known = [], {}
+        wanted = {(p["encoding"], p["delimiter"]) for p in pairs}
         for encoding, (text, left, taken) in readings(content, ahead, lead, block == 0).items():
             for delimiter in fv.CSV_DELIMITERS:
+                if (encoding, delimiter) not in wanted:
+                    continue
                 if (text, delimiter) not in known:
                     kind, places = symbols(text, delimiter)
                     ends = [after_lines(text, n) for n in range(most + 1)]
@@ -367,12 +406,19 @@ def split_tables(blocks: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     """
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _typed(blocks, BLOCK_ROW)
-    outcomes = blocks.mapInArrow(_outcomes, OUTCOME)
-    # The outcomes of a member are small and have an order; blocks themselves are not moved here.
+    dialect = ["encoding", "delimiter", "skip"]
+    may = keep(blocks.where("block = 0").mapInArrow(_plausible, DIALECT))
+    # Some dialects of each member beyond a block: bounded by a check before they are broadcast.
+    pairs = broadcast_within(may.groupBy(*MEMBER).agg(F.collect_set(F.struct(
+        "encoding", "delimiter")).alias("pairs")))
+    # A few blocks a task: one task wrote all blocks of a member, and would read them as one batch.
+    spread = blocks.repartition(width, *MEMBER, "block").join(pairs, MEMBER)
+    outcomes = spread.select(*blocks.columns, "pairs").mapInArrow(_outcomes, OUTCOME)
+    # The outcomes of a member are small and have an order.
     begun = keep(outcomes.repartition(width, *MEMBER).sortWithinPartitions(
         *MEMBER, "block", "encoding", "delimiter").mapInArrow(_beginnings, BEGINNING))
+    begun = begun.join(broadcast_within(may), [*MEMBER, *dialect], "left_semi")
     sizes = blocks.groupBy(*MEMBER).agg(F.count("*").alias("blocks"))
-    dialect = ["encoding", "delimiter", "skip"]
     whole = begun.where("piece is null").groupBy(*MEMBER, *dialect).agg(F.count("*").alias("blocks")).join(
         sizes, [*MEMBER, "blocks"], "left_semi").drop("blocks")
     ready = begun.join(whole, [*MEMBER, *dialect], "left_semi")
