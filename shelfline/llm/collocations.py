@@ -41,7 +41,7 @@ from shelfline.llm.registry import query
 
 WORDS, LEAST, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 # Bytes of text in one shard, and bytes of text for each range that sums counts.
-SHARD_TEXT, RANGE_TEXT = 8 << 20, 8 << 20
+SHARD_TEXT, RANGE_TEXT = 5 << 20, 8 << 20
 # Tokens held as such.
 TOKENS = 1 << 16
 NONE = "und"
