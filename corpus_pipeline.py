@@ -20,8 +20,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every component of five-word Jaccard similarity 0.8 or more."""
-    return overlap.deduplicated(docs)
+    """The document of smallest id of every component of near copies.
+
+    Links are SimHash fingerprints within three bits, and five-word Jaccard similarity of 0.8 or more, which
+    catches the near copies whose fingerprints lie farther apart.
+    """
+    return overlap.deduplicated(docs, distance=3)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Near copies by shared word shingles: min-hash bands name candidates, an exact check decides.
+"""Near copies by shared word shingles, and by SimHash where a distance is given.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or
-more; words are split and lower-cased as ``simhash`` does.  Texts of equal words are collapsed first.
+more: min-hash bands name candidates, an exact check decides.  With a ``distance``, they also are if their
+SimHash fingerprints lie within so many bits, found and linked as ``simhash`` does; both kinds of links
+make one set of components.  Words are split and lower-cased as ``simhash`` does.  Texts of equal words
+are collapsed first.
 A pair of similarity s meets in some band with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8;
 bands of equal members are one bucket.  In a bucket shingle sets are compared exactly, and give a
 spanning forest; a bucket of many texts is dealt out to pairs of chunks, as ``simhash`` deals hot keys.
 
 Defined results: a null text is an empty text.  A text of fewer than five words is one shingle, so it
-is linked to texts of the same words only.
+is linked by shingles to texts of the same words only.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from shelfline.llm.common import Scratch, bounded_batches, shuffle_width, whole
-from shelfline.llm.simhash import SEED, component_ids, one_of_each
+from shelfline.llm.simhash import SEED, component_ids, near_links, one_of_each, simhash
 
 WORDS, LEAST = 5, 0.8
+# Words of a fingerprint's shingles, as of ``op4_simhash``.
+PRINT_WORDS = 3
 BANDS, ROWS = 24, 5
 # Texts of a bucket compared in one group are twice as many at most; shingles min-hashed at a time.
 CHUNK, PIECE = 512, 2048
@@ -68,8 +73,11 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed((mixed(least).reshape(BANDS, ROWS) * FOLD).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, hash, fp, bands) of every row: hash of the text, hash of its words, its band values."""
+def sketches(df: DataFrame, key: str, text: str, words: int, printed: bool) -> DataFrame:
+    """(key, hash, fp, sim, bands) of every row: hash of the text and of its words, fingerprint, band values.
+
+    The fingerprint is 0 unless ``printed``.
+    """
     bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
@@ -77,17 +85,22 @@ def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
         known: dict[bytes, int] = {}
         for batch in batches:
             prints, values = np.zeros(batch.num_rows, np.uint64), []
+            sims = np.zeros(batch.num_rows, np.uint64)
             for i, x in enumerate(batch.column(2)):
-                tokens = tokens_of(x.as_py())
+                body = x.as_py()
+                tokens = tokens_of(body)
+                if printed:
+                    sims[i] = simhash(body, PRINT_WORDS)
                 prints[i] = xxh64_intdigest(b" ".join(tokens), SEED)
                 values.append(bands(shingles(tokens, words, known)) if len(tokens) >= words else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(prints.view(np.int64)),
-                 pa.array(values, pa.list_(pa.int64()))], names=["key", "hash", "fp", "bands"])
+                 pa.array(sims.view(np.int64)), pa.array(values, pa.list_(pa.int64()))],
+                names=["key", "hash", "fp", "sim", "bands"])
 
     return df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(whole(text)).alias("hash"),
                      whole(text).alias("body")).mapInArrow(
-        run, f"key {kind}, hash long, fp long, bands array<bigint>")
+        run, f"key {kind}, hash long, fp long, sim long, bands array<bigint>")
 
 
 def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -167,18 +180,33 @@ def overlap_links(df: DataFrame, reps: DataFrame, text: str, scratch: Scratch, w
         lambda b: _links(b, words, least), "u long, v long")
 
 
+def print_links(reps: DataFrame, scratch: Scratch, distance: int) -> DataFrame:
+    """(u, v) links of ``fp`` that connect what fingerprints ``sim`` within ``distance`` bits connect."""
+    # One text stands for each fingerprint; the others of the same fingerprint are linked to it.
+    firsts = scratch.keep(reps.groupBy("sim").agg(F.min("fp").alias("first"), F.count("*").alias("n")))
+    near = scratch.keep(near_links(firsts.select(F.col("sim").alias("fp")), scratch, distance))
+    end = lambda c, name: firsts.select(F.col("sim").alias(c), F.col("first").alias(name))
+    equal = reps.join(firsts.where("n > 1"), "sim").where("fp <> first").select(
+        F.col("fp").alias("u"), F.col("first").alias("v"))
+    return near.join(end("u", "_u"), "u").join(end("v", "_v"), "v").select(
+        F.col("_u").alias("u"), F.col("_v").alias("v")).unionByName(equal)
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-                least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+                least: float = LEAST, chunk: int = CHUNK, distance: int | None = None) -> DataFrame:
     """(key, fp, component_id) for every row: hash of its words, the smallest key it is linked to."""
     scratch = Scratch(df.sparkSession, "overlap")
-    prints = scratch.keep(sketches(df, key, text, words))
+    prints = scratch.keep(sketches(df, key, text, words, distance is not None))
     reps = scratch.keep(prints.groupBy("fp").agg(
-        F.min("key").alias("rep"), F.min("hash").alias("hash"), F.first("bands").alias("bands")))
+        F.min("key").alias("rep"), F.min("hash").alias("hash"), F.first("sim").alias("sim"),
+        F.first("bands").alias("bands")))
     links = overlap_links(df, reps, text, scratch, words, least, chunk)
+    if distance is not None:
+        links = print_links(reps, scratch, distance).unionByName(links)
     return component_ids(prints.select("key", "fp"), reps.select("fp", "rep"), links, scratch, key)
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-                 least: float = LEAST) -> DataFrame:
+                 least: float = LEAST, distance: int | None = None) -> DataFrame:
     """The rows of ``df`` of which one stays for each component of near copies; see ``one_of_each``."""
-    return one_of_each(df, key, text, partial(near_copies, words=words, least=least))
+    return one_of_each(df, key, text, partial(near_copies, words=words, least=least, distance=distance))

@@ -363,6 +363,23 @@ def test_near_dedup_stage_drops_copies_beyond_three_bits(spark):
     assert corpus_pipeline.near_dedup_stage(spark, docs(spark, []), "").count() == 0
 
 
+def test_near_dedup_stage_links_fingerprints_within_three_bits(spark):
+    """Texts of one repeated line share few of their shingles, but nearly all bits."""
+    line = words(12, 10, 900)
+    one, other = (" ".join([line] * 60 + [words(6, k, 900)]) for k in (6, 7))
+    rows = [(1, one), (2, other), (3, words(40, 8, 900)), (4, one.upper())]
+    a, b = plain_simhash(one), plain_simhash(other)
+    assert a != b and (a ^ b).bit_count() <= 3 and plain_copies(rows) == [0, 1, 2, 0]
+    kept = corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    # A fingerprint that two texts share, one of them linked by shingles only.
+    text = words(200, 9, 5000).split()
+    light = " ".join(text[:100] + ["changed"] * 3 + text[103:])
+    rows += [(11, " ".join(text)), (12, light)]
+    got = overlap.near_copies(docs(spark, rows), distance=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 1, 11: 11, 12: 11}
+
+
 # --- tiling ---------------------------------------------------------------------------------------
 
 def plain_tiles(text, item, window):
