@@ -5,6 +5,7 @@ from shelfline.functions import fixed_values as fv
 from shelfline.functions.peaks import peak_months, to_number
 from shelfline.functions.text import product_key
 from shelfline.operators import consolidate as co
+from shelfline.operators import merge
 from shelfline.plans import views
 from shelfline.plans.catalog import consolidate
 
@@ -90,3 +91,18 @@ def test_consolidation_shuffles_the_feed_once(spark, tables):
     assert "lineitem" not in rest  # the feed is not read again
     for node in ("NestedLoopJoin", "CartesianProduct", "Python"):
         assert node not in plan and node not in rest
+
+
+def test_volumes_are_made_wide_after_they_are_dealt_by_id(spark):
+    """No wide row is held ahead of the last shuffle, where each task would have one of nearly every id."""
+    rows = [(1, 2023, "Jan", 2.0), (1, 2023, "Jan", 3.0), (1, 2024, "Dec", None), (2, None, "Jan", 7.0),
+            (None, 2024, "Feb", 4.0), (3, 2024, None, 1.0), (3, 2024, "Dec", 6.0)]
+    long = spark.createDataFrame(rows, "row_id int, year int, month string, volume double")
+    wide = merge.volumes_wide(long, ["row_id"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    last = plan.index("Exchange hashpartitioning(row_id")
+    assert "2023" in plan[:last] and "2023" not in plan[last:]
+    got = {r.row_id: {c: v for c, v in r.asDict().items() if v is not None and c != "row_id"}
+           for r in wide.collect()}
+    assert len(wide.columns) == 25 and wide.count() == 4
+    assert got == {1: {"Jan 2023": 5.0}, 2: {}, None: {"Feb 2024": 4.0}, 3: {"Dec 2024": 6.0}}
