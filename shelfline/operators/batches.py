@@ -31,7 +31,8 @@ def with_ordinal(df: DataFrame, row_id: str = "row_id", into: str = "ordinal") -
     earlier spans, and the counts of spans are summed the same way one level up, so no window ever
     holds more than 4096 rows, whether the ids are dense or hashed.  There are as many levels as the
     largest id needs, one for ids below 2**24, so that id is asked for first.  The rows are shuffled
-    once, by span; no sort of the whole, no sampling.
+    once, by span; no sort of the whole, no sampling.  The sums of the last level leave one task, so
+    they go to the rows by merge: sent to them, the rows would all follow in that task.
     """
     most = df.agg(F.max(row_id)).first()[0] or 0
     levels = max(1, -(-most.bit_length() // _SPAN_BITS) - 1)
@@ -52,11 +53,11 @@ def with_ordinal(df: DataFrame, row_id: str = "row_id", into: str = "ordinal") -
         above = before(lifted.groupBy(up).agg(F.sum("_n").alias("_n")), level + 1)
         earlier = W.partitionBy(up).orderBy(me).rowsBetween(W.unboundedPreceding, -1)
         inside = lifted.select(me, up, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_i"))
-        return (inside.join(above.withColumnRenamed("_b", "_a"), up)
+        return (inside.join(above.withColumnRenamed("_b", "_a").hint("merge"), up)
                 .select(me, (F.col("_i") + F.col("_a")).alias("_b")))
 
     place = F.row_number().over(W.partitionBy("_s1").orderBy(row_id)) - 1
-    return (keyed.withColumn("_p", place).join(before(counts, 1), "_s1")
+    return (keyed.withColumn("_p", place).join(before(counts, 1).hint("merge"), "_s1")
             .select(*df.columns, (F.col("_p") + F.col("_b")).cast("bigint").alias(into)))
 
 

@@ -19,6 +19,14 @@ def test_ordinals_over_sparse_and_hot_spans(spark):
     assert got == {x: n for n, x in enumerate(sorted(ids))}
 
 
+def test_sums_of_spans_do_not_draw_the_rows_into_one_task(spark, tmp_path):
+    # The sums leave one task; a table whose files are small would be broadcast to it.
+    for n, ids in enumerate(([0, 5, 9000], [0, 5, 2 ** 36])):
+        spark.createDataFrame([(i,) for i in ids], "row_id long").write.parquet(str(tmp_path / str(n)))
+        plan = ba.with_ordinal(spark.read.parquet(str(tmp_path / str(n))))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_batches_are_contiguous_and_limited(spark):
     df = spark.range(45).select((F.col("id") * 3).alias("row_id"), F.col("id").cast("string").alias("t"))
     got = {r.batch_no: [i.row_id for i in r["items"]] for r in ba.assemble(df, F.col("t"), 20).collect()}
