@@ -110,18 +110,23 @@ def reply_keyword(reply: Column) -> Column:
     return F.when(word != "", word)
 
 
-def _answer_line(reply: Column, number: Column) -> Column:
+def answer_lines(reply: Column) -> Column:
+    """The lines of a reply, without space at their ends."""
+    return F.transform(F.split(strip_space(reply), "\n"), lambda x: strip_space(x))
+
+
+def answer_line(lines: Column, number: Column) -> Column:
+    """The first line that answers ``number``; null where there is none."""
     lead = F.concat(number.cast("string"), F.lit("|"))
-    lines = F.transform(F.split(strip_space(reply), "\n"), lambda x: strip_space(x))
     return F.get(F.filter(lines, lambda x: F.startswith(x, lead)), F.lit(0))
 
 
-def review_answer(reply: Column, number: Column, assigned: Column) -> Column:
-    """``struct<suggested, is_correct, confidence, parse_error>`` of line ``number`` of a reply.
+def review_answer(line: Column, assigned: Column) -> Column:
+    """``struct<suggested, is_correct, confidence, parse_error>`` of the line that answers a row.
 
     A missing or short line leaves the assigned category standing, with unknown confidence.
     """
-    parts = F.split(_answer_line(reply, number), r"\|")
+    parts = F.split(line, r"\|")
 
     def read(p: Column) -> Column:
         whole = F.size(p) >= 4
@@ -135,11 +140,10 @@ def review_answer(reply: Column, number: Column, assigned: Column) -> Column:
     return let(parts, read)
 
 
-def dual_answer(reply: Column, number: Column, keyword_category: Column) -> Column:
+def dual_answer(line: Column, keyword_category: Column) -> Column:
     """``struct<model_category, agree, final_category>``: the model's answer wins."""
     mine = F.coalesce(keyword_category, F.lit(fv.NO_CATEGORY))
-    answer = F.coalesce(strip_space(F.get(F.split(_answer_line(reply, number), r"\|"), F.lit(1))),
-                        mine)
+    answer = F.coalesce(strip_space(F.get(F.split(line, r"\|"), F.lit(1))), mine)
     return let(answer, lambda a: F.struct(
         a.alias("model_category"), (a == mine).alias("agree"), a.alias("final_category")))
 

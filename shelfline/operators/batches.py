@@ -10,7 +10,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,14 +120,14 @@ def call_model(batches: DataFrame, model: Callable[[list[str]], list[str]],
     schema = T.StructType(batches.schema.fields + [
         T.StructField(reply, T.StringType()), T.StructField(error, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [ask(text) for text in frame[request]]
-            frame[reply] = [a for a, _ in answers]
-            frame[error] = [e for _, e in answers]
-            yield frame
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces:
+            answers = [ask(text) for text in piece.column(request).to_pylist()]
+            # The other columns go through as they are.
+            said = [pa.array([a[i] for a in answers], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *said], names=[*piece.schema.names, reply, error])
 
-    return batches.mapInPandas(run, schema)
+    return batches.mapInArrow(run, schema)
 
 
 def _asker(model: Callable[[list[str]], list[str]], attempts: int, pause: float,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import fixed_values as fv
 from shelfline.functions import replies as rp
-from shelfline.functions.text import leaf_of, normalize_title
+from shelfline.functions.text import leaf_of, let, normalize_title
 from shelfline.operators.batches import (apply_answers, assemble, call_model, holds_object,
                                           holds_pairs)
 from shelfline.operators.keywords import entity_keyword
@@ -113,14 +113,14 @@ def entity_keywords(df: DataFrame, model, **call) -> DataFrame:
 
 # --- category review ----------------------------------------------------------------------------
 
-def _numbered(items: Column) -> Column:
-    return F.transform(items, lambda i, n: F.struct((n + 1).alias("number"), i["row_id"].alias(
-        "row_id")))
+def _answered(asked: DataFrame) -> DataFrame:
+    """``row_id, line``: every row of ``items, reply`` batches with the line that answers its number.
 
-
-def _positions(asked: DataFrame, *columns: str) -> DataFrame:
-    return asked.select(*columns, F.explode(_numbered(F.col("items"))).alias("_n")).select(
-        *columns, "_n.number", "_n.row_id")
+    A reply is cut into lines once for its batch, not once for each of its rows.
+    """
+    rows = let(rp.answer_lines(F.col("reply")), lambda lines: F.transform("items", lambda i, n: F.struct(
+        i["row_id"].alias("row_id"), rp.answer_line(lines, n + 1).alias("line"))))
+    return asked.select(F.explode(rows).alias("_n")).select("_n.*")
 
 
 def review_batches(df: DataFrame, category: str, size: int = fv.KEYWORD_BATCH,
@@ -141,9 +141,9 @@ def review_batches(df: DataFrame, category: str, size: int = fv.KEYWORD_BATCH,
 
 def review_results(df: DataFrame, asked: DataFrame, category: str) -> DataFrame:
     """Verdict per row from ``items, reply`` batches; a failed call leaves rows as correct."""
-    placed = _positions(asked, "reply").join(
+    placed = _answered(asked).join(
         df.select("row_id", "title", F.col(category).alias("assigned")), "row_id")
-    answer = rp.review_answer(F.col("reply"), F.col("number"), F.col("assigned"))
+    answer = rp.review_answer(F.col("line"), F.col("assigned"))
     return placed.withColumn("_a", answer).select(
         "row_id", "title", "assigned", "_a.suggested", "_a.is_correct", "_a.confidence",
         "_a.parse_error")
@@ -159,9 +159,9 @@ def review_categories(df: DataFrame, model, category: str = "category",
 def dual_results(df: DataFrame, asked: DataFrame, category: str) -> DataFrame:
     """Keyword and model category side by side; the model's answer is final."""
     mine = F.coalesce(F.col(category), F.lit(fv.NO_CATEGORY))
-    placed = _positions(asked, "reply").join(
+    placed = _answered(asked).join(
         df.select("row_id", "title", mine.alias("keyword_category")), "row_id")
-    answer = rp.dual_answer(F.col("reply"), F.col("number"), F.col("keyword_category"))
+    answer = rp.dual_answer(F.col("line"), F.col("keyword_category"))
     return placed.withColumn("_a", answer).select(
         "row_id", "title", "keyword_category", "_a.model_category", "_a.agree",
         "_a.final_category")

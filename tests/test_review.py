@@ -53,6 +53,14 @@ def test_call_model_retries_only_quota_and_empty_replies(spark):
     assert calls.value == 1 + 3 + 1 + 3
 
 
+def test_columns_of_a_request_go_through_as_they_are(spark):
+    rows = [("a", 2 ** 53 + 1, [(1, None)]), ("b", None, None)]
+    df = spark.createDataFrame(rows, "request string, n long, items array<struct<x:int,y:long>>").coalesce(1)
+    got = ba.call_model(df, lambda requests: ["ok"], pause=0)
+    assert [(r.request, r.n, r["items"], r.reply) for r in got.collect()] == [(*r, "ok") for r in rows]
+    assert got.filter("false").collect() == []
+
+
 def test_unreadable_replies_and_resource_errors_are_tried_again(spark):
     calls = spark.sparkContext.accumulator(0)
 
@@ -142,6 +150,14 @@ def test_review_replies(spark):
     assert rv.review_report(out.filter("false")).first().accuracy == 0.0
 
 
+def test_a_reply_is_cut_into_lines_once_a_batch(spark):
+    df = spark.createDataFrame([(1, "t", "b", "c")], "row_id long, title string, brand string, category string")
+    for read in (rv.review_categories, rv.dual_classify):
+        plan = read(df, lambda requests: ["1|x" for _ in requests])._jdf.queryExecution().optimizedPlan()
+        rows, batches = plan.toString().split("Generate", 1)
+        assert "reply#" not in rows and "reply#" in batches
+
+
 def test_failed_review_call_leaves_rows_correct(spark):
     df = spark.createDataFrame([(1, "t", None, "c")],
                                "row_id long, title string, brand string, category string")
