@@ -127,7 +127,7 @@ def decoded(spark, sf, columns=ROWS, make=upload, **more):
     """(feed, issues) of all uploads, named by what they were written as."""
     folder = written_uploads(views.select_from(spark, sf, "part", columns), make)
     feed, issues = ar.ingest_archives(spark, folder, **more)
-    name = lambda c: F.regexp_extract(c, "([^/]*/[^/]*)[.]zip$", 1)
+    name = lambda c: F.regexp_replace(F.substring_index(c, "/", -2), "[.]zip$", "")
     return feed.withColumn("feed_id", name("feed_id")), issues.withColumn("archive", name("archive"))
 
 

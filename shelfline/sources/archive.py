@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from shelfline.functions import fixed_values as fv
+from shelfline.functions.text import let
 from shelfline.session import broadcast_within, shared_folder, written
 from shelfline.sources import columns as sc
 from shelfline.sources import split_csv
@@ -329,7 +330,7 @@ def decode_blocks(blocks: DataFrame, keep) -> DataFrame:
     def cell(field: str) -> Column:
         at = F.array_position("header", F.col(f"_{field}")).cast("int") - 1
         value = F.when(F.col(f"_{field}").isNotNull(), sc.scrub(F.get("cells", at)))
-        return F.when(~value.isin(fv.EMPTY_CELLS), value).alias(field)
+        return let(value, lambda v: F.when(~v.isin(fv.EMPTY_CELLS), v)).alias(field)
 
     rows = joined.select("archive", "file_seq", "file_name", F.lit("row").alias("kind"), "row_seq",
                          *[cell(f) for f in _FEED_FIELDS])
@@ -344,14 +345,15 @@ def ingest_archives(spark: SparkSession, path: str, tasks: int | None = None, st
     """Archives below ``path`` to (feed, issues).
 
     ``tasks`` is the number of tasks members are spread over; by default the session's shuffle
-    partitions, put together by size.  ``store`` is where the decoded rows are written; a new folder
+    partitions.  ``store`` is where the decoded rows are written; a new folder
     under the cluster's shared folder if not given.  CSV members beyond ``block`` bytes are parsed in
     blocks.
     """
     store = store or f"{shared_folder(spark)}/decoded-{uuid.uuid4().hex}"
     members = archive_members(read_archives(spark, path))
     place = ["archive", "file_seq"]
-    spread = members.repartition(tasks, *place) if tasks else members.repartition(*place)
+    # The rows are names: put together by size, all members would be read in one task.
+    spread = members.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), *place)
     decode_members(spread, block).write.partitionBy("kind").parquet(store)
     decoded = spark.read.schema(from_arrow_schema(_DECODED)).parquet(store)
     broken = decoded.where("kind = 'file' and error is not null").select(*place)
@@ -389,7 +391,8 @@ def split_decoded(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame
     issues = (empty.unionByName(status.filter("issue is not null")
                                 .select("archive", "file_name", "issue"))
               .unionByName(lacking).unionByName(undated))
-    kept = accepted.select("archive", "file_seq", "month", "year")
+    # A row for each member, counted before they are broadcast: rows that go to them follow in one task.
+    kept = broadcast_within(accepted.select("archive", "file_seq", "month", "year"))
     feed = decoded.filter("kind = 'row'").join(kept, ["archive", "file_seq"]).select(
         F.col("archive").alias("feed_id"), "month", "year", "file_seq", "row_seq", *_FEED_FIELDS)
     return feed, issues

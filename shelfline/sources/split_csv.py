@@ -168,7 +168,7 @@ BLOCK_ROW = "archive string, file_seq long, block long, content binary, ahead bi
 OUTCOME = ("archive string, file_seq long, block long, encoding string, delimiter string, left int, "
            "taken int, closed boolean, steps array<int>, lines array<int>, heads array<string>")
 # What a block needs to be read: its beginning under one dialect, or what a later block hands it.
-DIALECT = "archive string, file_seq long, encoding string, delimiter string, skip int"
+DIALECT = "archive string, file_seq long, encoding string, delimiter string, skip int, endless boolean"
 BEGINNING = ("archive string, file_seq long, block long, encoding string, delimiter string, skip int, "
              "lines int, state int, piece long, text string")
 # How often dialects were whole, or what a block holds under one: records, longest, first of them.
@@ -195,7 +195,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The dialects that a member's first block does not rule out.
+    """The dialects that a member's first block does not rule out; ``endless``: no record ends there.
 
     One is ruled out if its header has a single column, or a whole record after it has more columns than
     the header: the member makes no table in it, whatever comes later.
@@ -207,25 +207,28 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for skip in fv.CSV_SKIP_ROWS:
                     if (text, delimiter, skip) not in known:
                         known[text, delimiter, skip] = _may_be_table(text, delimiter, skip, bool(ahead))
-                    if known[text, delimiter, skip]:
-                        made.append((archive, seq, encoding, delimiter, skip))
+                    possible, endless = known[text, delimiter, skip]
+                    if possible:
+                        made.append((archive, seq, encoding, delimiter, skip, endless))
         if made:
             yield _batch(made, DIALECT)
 
 
-def _may_be_table(text: str, delimiter: str, skip: int, goes_on: bool) -> bool:
-    header, last = None, None
-    for record in _records(text[after_lines(text, skip)[0]:], delimiter):
+def _may_be_table(text: str, delimiter: str, skip: int, goes_on: bool) -> tuple[bool, bool]:
+    """(may the member be a table, does no record end in its first block)."""
+    header, last, own = None, None, text[after_lines(text, skip)[0]:]
+    for record in _records(own, delimiter):
         # A record counts once another follows: the last one may not be whole.
         if last is not None:
             if header is None:
                 header = last
                 if len(header) < 2:
-                    return False
+                    return False, False
             elif len(last) > len(header):
-                return False
+                return False, False
         last = record
-    return goes_on or header is not None or last is not None
+    return (goes_on or header is not None or last is not None,
+            header is None and first_end(*symbols(own, delimiter), START) is None)
 
 
 def _outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +410,8 @@ def split_tables(blocks: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _typed(blocks, BLOCK_ROW)
     dialect = ["encoding", "delimiter", "skip"]
-    may = keep(blocks.where("block = 0").mapInArrow(_plausible, DIALECT))
+    may = keep(_typed(blocks.where("block = 0").repartition(width, *MEMBER), BLOCK_ROW).mapInArrow(
+        _plausible, DIALECT))
     # Some dialects of each member beyond a block: bounded by a check before they are broadcast.
     pairs = broadcast_within(may.groupBy(*MEMBER).agg(F.collect_set(F.struct(
         "encoding", "delimiter")).alias("pairs")))
@@ -417,18 +421,22 @@ def split_tables(blocks: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     # The outcomes of a member are small and have an order.
     begun = keep(outcomes.repartition(width, *MEMBER).sortWithinPartitions(
         *MEMBER, "block", "encoding", "delimiter").mapInArrow(_beginnings, BEGINNING))
-    begun = begun.join(broadcast_within(may), [*MEMBER, *dialect], "left_semi")
+    begun = begun.join(broadcast_within(may), [*MEMBER, *dialect])
     sizes = blocks.groupBy(*MEMBER).agg(F.count("*").alias("blocks"))
-    whole = begun.where("piece is null").groupBy(*MEMBER, *dialect).agg(F.count("*").alias("blocks")).join(
-        sizes, [*MEMBER, "blocks"], "left_semi").drop("blocks")
-    ready = begun.join(whole, [*MEMBER, *dialect], "left_semi")
     spanned = F.col("piece").isNotNull() & F.col("text").isNull()
+    # Where no record ends in any block there is one record, and no table.  Text of one byte a character
+    # reads so in encodings of two; without this, a member's first block would be handed all of its text.
+    whole = begun.groupBy(*MEMBER, *dialect, "endless").agg(
+        F.count_if(F.col("piece").isNull()).alias("blocks"),
+        F.count_if(spanned & (F.col("block") == 0)).alias("spans")).where(
+        "not endless or spans < blocks - 1").join(sizes, [*MEMBER, "blocks"], "left_semi")
+    ready = begun.drop("endless").join(whole.select(*MEMBER, *dialect), [*MEMBER, *dialect], "left_semi")
     if ready.where(spanned).limit(1).count():
         texts = ready.where(spanned).join(blocks.select(*MEMBER, F.col("block").alias("piece"), "content",
                                                         "ahead", "lead"), [*MEMBER, "piece"])
         ready = ready.where(~spanned).unionByName(keep(texts.select(
-            *[x.split(" ")[0] for x in BEGINNING.split(", ")], "content", "ahead", "lead").mapInArrow(
-            _whole_texts, BEGINNING)))
+            *[x.split(" ")[0] for x in BEGINNING.split(", ")], "content", "ahead", "lead").repartition(
+            width, *MEMBER, "piece").mapInArrow(_whole_texts, BEGINNING)))
     counts = _typed(_parts(blocks, ready), PART).mapInArrow(_counts, COUNTED)
     judged = keep(counts.groupBy(*MEMBER, *dialect).agg(
         F.sum("records").alias("records"), F.max("longest").alias("longest"),

@@ -256,6 +256,25 @@ def test_blocks_read_like_the_whole(spark, tmp_path, size):
             assert not own
 
 
+def test_a_first_block_is_not_handed_all_text_of_a_reading_without_records(spark, tmp_path):
+    # Text of one byte a character is one endless record in UTF-16.
+    content, kept = b"a;b\n" + b"12;3\n" * 200, []
+    rows = [("z", 0, *b) for b in split_csv.cut_blocks(iter([content]), 64)]
+    spark.createDataFrame(rows, split_csv.BLOCK_ROW).write.parquet(str(tmp_path / "blocks"))
+    records, tables = split_csv.split_tables(spark.read.parquet(str(tmp_path / "blocks")), lambda df: (
+        kept.append(written(df, "split")) or kept[-1]))
+    assert records.count() == 200 and tables.first().header == ["a", "b"]
+    handed = [df.where("piece is not null").select(F.max(F.length("text"))).first()[0] or 0
+              for df in kept if "text" in df.columns]
+    assert max(handed) < 64 and len(handed) == 1
+
+
+def test_feed_rows_are_not_sent_to_their_files(spark, archives, tmp_path):
+    folder = archives("feed.zip", [("Dec-2025.csv", f"{HEADER}\nAle,B,in,1,1\n")])
+    feed, _ = ar.ingest_archives(spark, folder, store=str(tmp_path / "store"))
+    assert "rightHint=(strategy=broadcast)" in feed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_archives_in_blocks_give_the_same_feed(spark, archives, tmp_path):
     rows = "".join(f'"Ale ""{i}"", {i}",B,N/A,{i},{i}\n' for i in range(400))
     folder = archives("feed.zip", [("Dec-2025.csv", f"{HEADER}\n{rows}".encode("utf-16")),
